@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.plans.shared import buckets_for, materialise, prefix_sums, ranked
+from foliant.plans.shared import buckets_for, materialise, prefix_sums, ranked, side
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,11 +53,11 @@ def plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float,
     # permuted blocks of each source: the first ones, up to the rest of the quota, are drawn once more
     order = F.xxhash64(F.lit(seed + 1), "source", "__block")
     ahead = prefix_sums(blocks.withColumn("__o", order), ["source"], F.col("__o"), [F.col("__o"), F.col("__block")], buckets_for(n_blocks, 4096, 1), F.col("words"), "ahead").drop("__o")
-    ahead = ahead.join(F.broadcast(named) if sources.count() <= 100_000 else named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    ahead = ahead.join(side(named), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     ahead = materialise(ahead.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("ahead")))), "quotas")
     # the block in which the quota ends gives its first documents in hash order
     last = ahead.where("extra > 0 and extra < words").select(F.col("source").alias("__s"), F.col("__block").alias("__b"), "extra")
-    ends = base.join(F.broadcast(last) if last.count() <= 100_000 else last, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    ends = base.join(side(last), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     ends = ends.groupBy("__s", "__b", "extra", "__h").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("__s", "__b").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("before", F.coalesce(F.sum("s").over(run), F.lit(0))).where("s > 0 and before < extra")
@@ -115,8 +115,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     sized = _sized(docs.select(*kept), seed)
     quotas, n_blocks = plan(sized, weights, share, cap, n_shards, rows_per_block, seed, whole)
     rows = sized.withColumn("__block", F.pmod("__h", F.lit(n_blocks)).cast("int"))
-    small = quotas.count() <= 50_000  # else the text is shuffled by (source, block)
-    rows = rows.join(F.broadcast(quotas) if small else quotas, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__blk")))
+    rows = rows.join(side(quotas, 50_000), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__blk")))
     more = F.when(F.col("extra") == F.col("words"), F.col("__size"))
     more = more.when((F.col("extra") > 0) & (F.col("__h") < F.col("cut.__h")), F.col("__size"))
     more = more.when((F.col("extra") > 0) & (F.col("__h") == F.col("cut.__h")), F.col("cut.w")).otherwise(F.lit(0))

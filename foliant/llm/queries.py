@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import langid, licenses, main_text, toxicity
+from foliant.llm.decontaminate import leaks
 from foliant.llm.media import media_columns
 from foliant.llm.mixing import mix
 from foliant.llm.sharding import shard
@@ -26,6 +28,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,11 +39,35 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("starts")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def _held_out(mod: int, rest: int):
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest).alias("held_out")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return out.select("doc_id", _held_out(5, 0), "lang_pred", "score", "rejected", "entropy")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,7 +79,10 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_token_files, op6_mixing, op9_sharding, op10_simhash_components)
+    f.__name__: f for f in (
+        op1_media_columns, op2_main_text, op3_token_files, op4_license_scan, op5_decontamination,
+        op6_mixing, op7_language_id, op8_toxicity, op9_sharding, op10_simhash_components,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
