@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliant_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="foliant-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "foliant"), "zip", os.path.dirname(top), os.path.basename(top)))
+    sc._foliant_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
@@ -40,6 +54,11 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
