@@ -23,6 +23,8 @@ IDENTITY_TERMS = (
 _GROUP = {t: row for row in IDENTITY_TERMS for t in row}
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: A weight starts at, and is drawn to, this share of the feature's log-odds less so many standard errors.
+PRIOR, DOUBT = 0.8, 2.5
 #: Lengths of word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
 
@@ -60,26 +62,28 @@ class Classifier:
         return 1 / (1 + np.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(active: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], n_features: int, l2: float = 2e-4, pull: float = 5.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the logistic loss + l2 |w|^2 + pull x mean (score change of a swap)^2, by Adam.
+def fit(active: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], prior: np.ndarray, l2: float = 5e-6, pull: float = 5.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logistic loss + l2 |w - prior|^2 + pull x mean (score change of a swap)^2, by Adam.
 
     ``active``: the features of each text. ``swaps``: for a sentence and its
     counterfactual, the features it gains and loses; the change of its logit
-    is what the penalty holds near zero.
+    is what the penalty holds near zero. The prior is a share of each
+    feature's own cautious log-odds, so that features that mostly come together still
+    count when one comes alone.
     """
-    n = len(labels)
+    n, n_features = len(labels), len(prior)
     rows = np.repeat(np.arange(n), [len(a) for a in active])
     cols = np.array([c for a in active for c in a], np.int64)
     srows = np.repeat(np.arange(len(swaps)), [len(g) + len(x) for g, x in swaps])
     scols = np.array([c for g, x in swaps for c in (*g, *x)], np.int64)
     signs = np.array([s for g, x in swaps for s in [1.0] * len(g) + [-1.0] * len(x)])
-    w, b = np.zeros(n_features), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
+    w, b = prior.copy(), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, steps + 1):
         z = b + np.bincount(rows, w[cols], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         off = (p - labels) / n
-        g = np.bincount(cols, off[rows], n_features) + 2 * l2 * w
+        g = np.bincount(cols, off[rows], n_features) + 2 * l2 * (w - prior)
         if len(swaps):
             change = np.bincount(srows, signs * w[scols], len(swaps))
             g += np.bincount(scols, 2 * pull * signs * change[srows] / len(swaps), n_features)
@@ -92,7 +96,7 @@ def fit(active: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int]
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, most_features: int = 20_000, least_docs: int = 3, least_z: float = 4.0) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, most_features: int = 20_000, least_docs: int = 3, least_z: float = 3.5) -> Classifier:
     """A classifier of ``labels.toxic`` on the texts of ``docs``.
 
     Learned from a sample of about ``most_rows`` labelled documents (the
@@ -148,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
         odds = np.log((a + 0.5) / (n_pos - a + 0.5)) - np.log((c + 0.5) / (n_neg - c + 0.5))
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
         if z >= least_z:
-            ranked.append((-z, f))
-    names = [f for _, f in sorted(ranked)[:most_features]]
+            ranked.append((-z, f, max(0.0, odds * (1 - DOUBT / z))))
+    ranked = sorted(ranked)[:most_features]
+    names, prior = [f for _, f, _ in ranked], PRIOR * np.array([o for _, _, o in ranked])
     place = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
     got.sort(key=lambda r: (r.y, r.active))
     y = np.array([float(r.y == 1) for r in got])
     swaps = [(list(s.gain), list(s.lose)) for r in got for s in r.swaps]
-    weights, bias = fit([list(r.active) for r in got], y, swaps, len(names))
+    weights, bias = fit([list(r.active) for r in got], y, swaps, prior)
     return Classifier(names, weights, bias)
 
 
