@@ -25,18 +25,18 @@ def words_of(text: Column) -> Column:
 
 def _shingles(words: str, of: str) -> Column:
     """The word shingles of an array column by ``of`` (a SQL function over words); under SHINGLE words the whole sequence is one."""
-    parts = ", ".join(f"get({words}, i + {k})" for k in range(SHINGLE))
+    parts = ", ".join(f"get({words}, __i + {k})" for k in range(SHINGLE))
     whole = f"{of}({', '.join(f'coalesce(get({words}, {k}), \"\")' for k in range(SHINGLE))})"
     return F.expr(
         f"case when size({words}) = 0 then array() when size({words}) < {SHINGLE} then array({whole}) "
-        f"else transform(sequence(0, size({words}) - {SHINGLE}), i -> {of}({parts})) end"
+        f"else transform(sequence(0, size({words}) - {SHINGLE}), __i -> {of}({parts})) end"
     )
 
 
 def simhash(words: str) -> Column:
     """The 64-bit SimHash of an array column of words."""
-    majority = f"2 * size(filter(transform({words}, w -> xxhash64(w)), h -> getbit(h, b) = 1)) > size({words})"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if({majority}, 1L, 0L), b))")
+    majority = f"2 * size(filter(transform({words}, __x -> xxhash64(__x)), __x -> getbit(__x, __bit) = 1)) > size({words})"
+    return F.expr(f"aggregate(sequence(0, 63), 0L, (__acc, __bit) -> __acc | shiftleft(if({majority}, 1L, 0L), __bit))")
 
 
 def _flipped(block: int, value: Column, masks: list[int]) -> Column:

@@ -22,7 +22,7 @@ DROPPED = frozenset(
     "head script style noscript template iframe object svg math canvas audio video form fieldset button select option textarea input label"
     " nav menu aside footer dialog".split()
 )
-CONTAINER = frozenset("article main section div td body blockquote".split())
+CONTAINER = frozenset("article main section div body".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Block elements whose start ends an open one of these, unless one of the second row stands between.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
