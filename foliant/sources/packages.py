@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
 import io
@@ -421,7 +422,7 @@ def parse(data: bytes, path: str = "") -> list[tuple]:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"no reader for {suffix}")]
     try:
         return [(path, suffix, page, name, k, *rest, None) for k, (page, name, *rest) in enumerate(reader(data))]
-    except (ValueError, KeyError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
+    except (ValueError, csv.Error, KeyError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
