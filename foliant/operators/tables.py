@@ -141,3 +141,32 @@ def best_gap(candidates: DataFrame, keys: list[str], margin: float = 0.15) -> Da
     d = d.withColumn("__best", F.min("__p").over(Window.partitionBy(*keys))).where(F.col("__p") <= F.col("__best") + margin)
     taste = F.when(F.col("gap") == 1, 0).when(F.col("gap") == 0, 1).otherwise(2)
     return d.groupBy(*keys).agg(F.min_by("gap", F.struct(F.col("summary.severe"), taste, F.col("summary.blank_line"), F.col("__p"))).alias("gap"))
+
+
+def header_rows(pairs: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """(keys, n): how many leading rows two tables share, from rows (side 0 or 1, row, cells)."""
+    a = pairs.where(f"side = 0 and row < {most}").select(*keys, "row", F.col("cells").alias("p"))
+    b = pairs.where(f"side = 1 and row < {most}").select(*keys, "row", F.col("cells").alias("q"))
+    j = a.join(b, [*keys, "row"]).withColumn("__off", (F.col("p") != F.col("q")).cast("int"))
+    w = Window.partitionBy(*keys).orderBy("row")
+    j = j.withColumn("__bad", F.sum("__off").over(w))
+    return j.groupBy(*keys).agg(F.count_if(F.col("__bad") == 0).alias("n"))
+
+
+def mergeable(p, c, width_tolerance: float = 0.1) -> Column:
+    """Whether a table (n_cols, width, last_cols, footnotes, caption) goes on in the next page's (n_cols, width, first_cols, caption)."""
+    from foliant.functions.text import is_continued_caption
+
+    goes_on = F.coalesce(is_continued_caption(c["caption"]), F.lit(False))
+    named = F.coalesce(F.trim(c["caption"]), F.lit("")) != ""
+    notes = F.coalesce(p["footnotes"], F.lit(0))
+    widths = F.abs(p["width"] - c["width"]) / F.least(p["width"], c["width"]) < width_tolerance
+    return (~named | goes_on) & (notes <= F.when(goes_on, 1).otherwise(0)) & widths & ((p["n_cols"] == c["n_cols"]) | (p["last_cols"] == c["first_cols"]))
+
+
+def merged(first: DataFrame, second: DataFrame, keys: list[str], headers: DataFrame) -> DataFrame:
+    """(keys, row, col, value): the first table's cells and then the second's, without the header rows that they share (keys, n)."""
+    rows = first.groupBy(*keys).agg((F.max("row") + 1).alias("__rows"))
+    tail = second.join(headers, keys, "left").join(rows, keys).withColumn("n", F.coalesce("n", F.lit(0))).where("row >= n")
+    tail = tail.select(*keys, (F.col("row") - F.col("n") + F.col("__rows")).cast("int").alias("row"), "col", "value")
+    return first.select(*keys, F.col("row").cast("int").alias("row"), "col", "value").unionByName(tail)

@@ -593,3 +593,97 @@ def sliding_counts(spark, d):
 @query("""SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def session_counts(spark, d):
     return ingest.sessions(table(spark, d, "events"))
+
+
+# ---- content, pictures, formats
+
+@query()
+def html_main_content(spark, d):
+    from foliant.sources.main_content import main_content
+
+    return main_content(table(spark, d, "pages"))
+
+
+@query()
+def html_metadata(spark, d):
+    from foliant.sources.metadata import read_metadata
+
+    p = table(spark, d, "pages")
+    return read_metadata(p.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content")))
+
+
+@query()
+def parse_files(spark, d):
+    """Every page as an HTML file and every order's row as a CSV file through the same reader."""
+    from foliant.sources.packages import read_documents
+
+    p = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    c = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(";", "n_name", "n_nationkey"))), "\n").alias("t"))
+    c = c.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.col("t").cast("binary").alias("content"))
+    return read_documents(p.unionByName(c)).groupBy("suffix", "type").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
+
+
+@query("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS money, format('{:.0f}%', (o_orderkey % 7) * 100.0) AS percent, strftime(DATE '1899-12-30' + CAST(o_orderkey % 9000 + 100 AS INTEGER), '%Y/%m/%d') AS day FROM orders")
+def number_formats(spark, d):
+    from foliant.functions.formats import formatted
+
+    o = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", formatted(F.col("o_totalprice"), F.lit("#,##0.00")).alias("money"), formatted(o % 7, F.lit("0%")).alias("percent"), formatted(o % 9000 + 100, F.lit("yyyy/mm/dd")).alias("day"))
+
+
+@query(f"""WITH b AS (SELECT doc, idx, CASE idx % 4 WHEN 1 THEN 'caption' WHEN 2 THEN 'table' WHEN 3 THEN 'footnote' ELSE 'text' END AS type FROM ({BOXES_SQL}) x GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) AS pos FROM b)
+ SELECT doc, child, parent FROM (SELECT c.doc, c.idx AS child, t.idx AS parent, row_number() OVER (PARTITION BY c.doc, c.idx ORDER BY abs(t.pos - c.pos), CASE WHEN c.type = 'caption' THEN -t.pos ELSE t.pos END) AS rn FROM p c JOIN p t ON c.doc = t.doc AND t.type = 'table'
+ AND c.type IN ('caption', 'footnote') AND (c.type = 'caption' OR t.pos < c.pos) WHERE NOT EXISTS (SELECT 1 FROM p u WHERE u.doc = c.doc AND u.pos > least(c.pos, t.pos) AND u.pos < greatest(c.pos, t.pos) AND NOT (u.type = 'caption' OR (c.type = 'footnote' AND u.type = 'footnote')))) WHERE rn = 1""")
+def caption_parents(spark, d):
+    from foliant.operators.visual import caption_parents as parents
+
+    one = boxes(spark, d).groupBy("doc", "idx").agg(F.struct(*[F.lit(v).cast("double").alias(s) for v, s in zip((0, 0, 1, 1), bbox.SIDES)]).alias("b"))
+    i = F.col("idx") % 4
+    kind = F.when(i == 1, "caption").when(i == 2, "table").when(i == 3, "footnote").otherwise("text")
+    return parents(one.withColumn("type", kind).withColumn("text", F.lit("")), ["doc"])
+
+
+@query("""WITH a AS (SELECT n_regionkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, n_name AS value FROM nation) SELECT k, CAST(0 AS INTEGER) AS row, 'Name' AS value FROM region, (SELECT r_regionkey AS k FROM region) z WHERE r_regionkey = 0
+ UNION ALL SELECT k, CAST(row AS INTEGER), value FROM a UNION ALL SELECT k, CAST(row + (SELECT count(*) FROM a b WHERE b.k = a.k) AS INTEGER), lower(value) FROM a""")
+def table_merge(spark, d):
+    w = Window.partitionBy("k").orderBy("n_nationkey")
+    n = table(spark, d, "nation").withColumn("k", F.col("n_regionkey")).withColumn("row", F.row_number().over(w))
+    head = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.lit(0).alias("row"), F.lit("Name").alias("value"))
+    first = head.unionByName(n.select("k", "row", F.col("n_name").alias("value"))).withColumn("col", F.lit(0))
+    second = head.unionByName(n.select("k", "row", F.lower("n_name").alias("value"))).withColumn("col", F.lit(0))
+    rows = lambda t, side: t.groupBy("k", "row").agg(F.collect_list("value").alias("cells")).withColumn("side", F.lit(side))
+    shared = tables.header_rows(rows(first, 0).unionByName(rows(second, 1)), ["k"])
+    return tables.merged(first, second, ["k"], shared).select("k", "row", "value")
+
+
+@query(r"""SELECT doc, CASE WHEN reason IS NULL THEN 'text' ELSE 'ocr' END AS verdict, reason FROM (SELECT doc, CASE WHEN max(greatest(w / h, h / w)) > 10 THEN 'aspect' WHEN sum(n) < 50 * count(*) THEN 'few characters'
+ WHEN sum(odd) >= 0.04 * sum(n) THEN 'broken encoding' WHEN sum(CASE WHEN imgs > 0 AND n < 50 THEN 1 ELSE 0 END) > count(*) / 2 THEN 'pictures of pages' END AS reason FROM (SELECT doc_id % 97 AS doc, 600.0 AS w, CASE WHEN doc_id % 97 = 5 THEN 30.0 ELSE 800.0 END AS h, doc_id % 2 AS imgs,
+ length(t) AS n, length(t) - length(regexp_replace(t, '[\x{FFFD}\x{E000}-\x{F8FF}\x00-\x08]', '', 'g')) AS odd FROM (SELECT *, CASE WHEN doc_id % 97 = 3 THEN 'x' ELSE text END AS t FROM documents)) GROUP BY doc)""")
+def text_or_ocr(spark, d):
+    from foliant.sources.fixed_layout import text_or_ocr as verdicts
+
+    i = F.col("doc_id")
+    p = table(spark, d, "documents").select((i % 97).alias("doc"), F.lit(600.0).alias("width"), F.when(i % 97 == 5, 30.0).otherwise(800.0).alias("height"), F.when(i % 97 == 3, "x").otherwise(F.col("text")).alias("text"), (i % 2).alias("n_images"))
+    return verdicts(p, "doc")
+
+
+@query()
+def chars_to_lines(spark, d):
+    """Names set as characters of ten points, two a page, and read back as lines."""
+    from foliant.sources.fixed_layout import distinct_glyphs, lines_of
+
+    n = table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("page_idx"), (F.col("n_nationkey") * 20.0).alias("y"), F.posexplode(F.split("n_name", "")).alias("i", "char")).where("char <> ''")
+    c = n.select("page_idx", (F.col("y") * 100 + F.col("i")).cast("int").alias("char_idx"), "char", (F.col("i") * 5.0).alias("x0"), F.col("y").alias("y0"), (F.col("i") * 5.0 + 5).alias("x1"), (F.col("y") + 10).alias("y1"), F.lit(10.0).alias("size"))
+    twice = c.unionByName(c.withColumn("char_idx", F.col("char_idx") + 1_000_000).withColumn("x0", F.col("x0") + 0.1))
+    return lines_of(distinct_glyphs(twice, ["page_idx"]), ["page_idx"])
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def bundle_round_trip(spark, d):
+    from foliant.plans.shared import shared_path
+
+    path = shared_path(spark, "bundle")
+    n = table(spark, d, "nation").withColumn("json", F.to_json(F.struct("n_regionkey", "n_nationkey", "n_name")))
+    render.write_bundle(n, path, "n_nationkey", "json")
+    j = F.from_json(F.col("content").cast("string"), "n_regionkey int, n_nationkey int, n_name string")
+    return render.load_bundle(spark, path).select(j.alias("j")).select("j.*")
