@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.shared import forget, materialise, shared_path
+from foliant.plans.shared import forget, materialise, shared_path, side
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hub: int, hubs: bool) -> DataFrame:
+    """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself).
+
+    Nodes with over ``hub`` edges, at most edges / hub of them, would each
+    meet in one task: their edges are joined to a broadcast list of them
+    instead (if that list is short), where they lie.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    out = lambda d: d.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not hubs:
+        return out(both.join(least.drop("n"), "u"))
+    heavy = side(materialise(least.where(F.col("n") > hub).select("u", "m"), "hubs"))
+    light = both.join(heavy, "u", "left_anti").join(least.where(F.col("n") <= hub).drop("n"), "u")
+    return out(light).union(out(both.join(heavy, "u")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,7 +32,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to_least.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, hub: int = 100_000) -> DataFrame:
     """One row (node, component) for each node that has an edge; a component's id is its smallest node.
 
     Each round contracts stars (two joins and distinct edges), is written to
@@ -31,12 +42,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     path = shared_path(spark, "components")
-    now, mark = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "", path), None
+    now, mark, most = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "", path), None, None
     for _ in range(max_rounds):
-        after = _small_star(_large_star(now)).where("u <> v").distinct()
+        if most is None:
+            most = now.groupBy("v").count().agg(F.max("count")).first()[0] or 0
+        after = _small_star(_large_star(now, hub, most > hub)).where("u <> v").distinct()
         new = shared_path(spark, "components")
         after = materialise(after, "", new)
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        by_root = after.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        *seen, most = by_root.agg(F.sum("n"), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first()
         forget(spark, path)
         now, path, done, mark = after, new, seen == mark, seen
         if done:
