@@ -44,7 +44,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumn("similarity", F.round("similarity", 6))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every window that shares a shingle with an item against every such item; other queries hash or learn as SQL can't.
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT ws, list_sort(list(item_id)) AS item_ids FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0 GROUP BY ws),
+i AS (SELECT row_number() OVER () AS item, * FROM b),
+dg AS (SELECT doc_id, k, array_to_string(ws[k + 1 : k + 5], ' ') AS g FROM d, unnest(range(0, greatest(len(ws) - 4, least(len(ws), 1)))) u(k) WHERE len(ws) > 0),
+ig AS (SELECT item, len(ws) AS n, k, array_to_string(ws[k + 1 : k + 5], ' ') AS g FROM i, unnest(range(0, greatest(len(ws) - 4, 1))) u(k)),
+places AS (SELECT DISTINCT doc_id, dg.k - ig.k AS start, n FROM dg JOIN ig USING (g)),
+windows AS (SELECT DISTINCT doc_id, ws[greatest(start, 0) + 1 : start + n] AS w FROM places JOIN d USING (doc_id)),
+single AS (SELECT row_number() OVER () AS wid, w FROM (SELECT DISTINCT w FROM windows WHERE len(w) > 0)),
+wg AS (SELECT wid, array_to_string(w[k + 1 : k + 5], ' ') AS g, count(*) AS c FROM single, unnest(range(0, greatest(len(w) - 4, 1))) u(k) GROUP BY wid, 2),
+ic AS (SELECT item, g, count(*) AS c FROM ig GROUP BY item, g),
+wt AS (SELECT g, 1 + ln((SELECT count(*) FROM i) / count(*)) AS weight FROM ic GROUP BY g),
+tot AS (SELECT item, sum(c * weight) AS total FROM ic JOIN wt USING (g) GROUP BY item),
+sim AS (SELECT wid, ic.item, sum(least(wg.c, ic.c) * weight) / any_value(total) AS similarity FROM wg JOIN ic USING (g) JOIN wt USING (g) JOIN tot ON tot.item = ic.item GROUP BY wid, ic.item HAVING sum(least(wg.c, ic.c) * weight) / any_value(total) >= 0.8 - 1e-9),
+hit AS (SELECT doc_id, wid, similarity, unnest(item_ids) AS item_id FROM sim JOIN single USING (wid) JOIN windows USING (w) JOIN i ON i.item = sim.item)
+SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids, round(max(similarity), 6) AS similarity, count(DISTINCT wid) AS n_windows FROM hit GROUP BY doc_id""",
+}
