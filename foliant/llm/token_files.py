@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,30 +148,37 @@ class Encoder:
     _ODD = re.compile(r"\s\s|[^\S \n]")
     _TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?*#%&$|]+)", re.S)
 
-    def __init__(self, path: str, end_id: int, width: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, width: int, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.type, self.most, self.known = f"<u{width}", most, {}
-        self.end = np.array([end_id], self.type).tobytes()
+        self.code, self.most, self.known = "HI"[width == 4], most, {}
+        self.end = self._bytes([end_id])
         self.splits = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        data = array(self.code, ids)
+        if sys.byteorder == "big":
+            data.byteswap()
+        return data.tobytes()
 
     def _learn(self, parts: set[str]) -> None:
         """Ids of parts: a part stands for itself after a space, or bare if it starts with a line feed or NUL mark."""
-        if len(self.known) + len(parts) > self.most:
-            self.known.clear()
         known, tails, todo = self.known, [], set()
-        for p in parts:
-            if p in known:
-                continue
+        new = [p for p in parts if p not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = parts
+        for p in new:
             if (m := self._TAIL.fullmatch(p)) and not p.startswith(("\n", "\0")):
-                tails.append((p, m[1], "\0" + m[2]))
-                todo |= {m[1], "\0" + m[2]} - known.keys()
+                head, tail = m[1], "\0" + m[2]
+                tails.append((p, head, tail))
+                todo.update(x for x in (head, tail) if x not in known)
             else:
                 todo.add(p)
         todo = list(todo)
@@ -190,7 +199,7 @@ class Encoder:
         for s in range(0, len(cut), 256):
             some = cut[s : s + 256]
             need = set().union(*[p for _, p in some])
-            self._learn(need if len(self.known) + len(need) > self.most else need - self.known.keys())
+            self._learn(need)
             get = self.known.__getitem__
             for k, parts in some:
                 out[k] = b"".join(map(get, parts)) + self.end
