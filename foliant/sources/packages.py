@@ -8,6 +8,7 @@ import email.policy
 import io
 import posixpath
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -15,6 +16,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.sources import compound
 from foliant.sources.delimited import records
 from foliant.sources.detect import suffix_of
 from foliant.sources.markup import html_blocks, table_html
@@ -411,7 +413,27 @@ def delimited(data: bytes, delimiter: str | None = None) -> Iterator[Block]:
         yield 0, "", "table", None, "\n".join("\t".join(c[1] for c in r) for r in grid), table_html(grid), None, None
 
 
-READERS = {"docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "mhtml": mhtml, "rtf": rtf, "html": html, "csv": delimited, "tsv": lambda d: delimited(d, "\t")}
+def _as_table(page: int, name: str, rows: list[list[tuple[str, str, int, int]]]) -> Block:
+    return page, name, "table", None, "\n".join("\t".join(c[1] for c in r) for r in rows), table_html(rows), None, None
+
+
+def old_doc(data: bytes) -> Iterator[Block]:
+    for kind, body in compound.doc(data):
+        yield (0, "", "text", None, body, None, None, None) if kind == "text" else _as_table(0, "", [[("td", c, 1, 1) for c in r] for r in body])
+
+
+def old_xls(data: bytes) -> Iterator[Block]:
+    for k, name, cells, merged in compound.xls(data):
+        if rows := grid_rows(cells, merged):
+            yield _as_table(k, name, rows)
+
+
+def old_ppt(data: bytes) -> Iterator[Block]:
+    for slide, title, text in compound.ppt(data):
+        yield slide, "", "paragraph_title" if title else "text", 2 if title else None, text, None, None, None
+
+
+READERS = {"doc": old_doc, "xls": old_xls, "ppt": old_ppt, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "mhtml": mhtml, "rtf": rtf, "html": html, "csv": delimited, "tsv": lambda d: delimited(d, "\t")}
 
 
 def parse(data: bytes, path: str = "") -> list[tuple]:
@@ -422,7 +444,7 @@ def parse(data: bytes, path: str = "") -> list[tuple]:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"no reader for {suffix}")]
     try:
         return [(path, suffix, page, name, k, *rest, None) for k, (page, name, *rest) in enumerate(reader(data))]
-    except (ValueError, csv.Error, KeyError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
+    except (ValueError, csv.Error, struct.error, KeyError, IndexError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
