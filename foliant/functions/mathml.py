@@ -53,3 +53,36 @@ def mathml_to_latex(markup: str) -> str | None:
         return " ".join(to_latex(ET.fromstring(markup)).split())
     except ET.ParseError:
         return None
+
+
+def omml_to_latex(e: ET.Element) -> str:
+    """The LaTeX of an Office formula's element; elements without a rule give what is in them."""
+    tag = e.tag.rsplit("}", 1)[-1]
+    kids = {k.tag.rsplit("}", 1)[-1]: k for k in e}
+    of = lambda name: "{" + (omml_to_latex(kids[name]).strip() if name in kids else "") + "}"
+    value = lambda part, name, default: next((next(iter(x.attrib.values()), "") for x in kids.get(part, ()) if x.tag.endswith("}" + name)), default)
+    if tag == "t":
+        return "".join(SYMBOLS.get(c, c) + (" " if SYMBOLS.get(c, "-")[0] == "\\" else "") for c in e.text or "")
+    if tag == "f":
+        return r"\frac" + of("num") + of("den")
+    if tag in ("sSup", "sSub", "sSubSup"):
+        return of("e") + ("_" + of("sub") if "sub" in kids else "") + ("^" + of("sup") if "sup" in kids else "")
+    if tag == "rad":
+        deg = of("deg")[1:-1]
+        return r"\sqrt" + (f"[{deg}]" if deg else "") + of("e")
+    if tag == "nary":
+        sign = value("naryPr", "chr", "∫")
+        return SYMBOLS.get(sign, sign) + ("_" + of("sub") if of("sub") != "{}" else "") + ("^" + of("sup") if of("sup") != "{}" else "") + of("e")
+    if tag == "d":
+        inner = ",".join(omml_to_latex(k).strip() for k in e if k.tag.endswith("}e"))
+        return r"\left" + value("dPr", "begChr", "(") + inner + r"\right" + value("dPr", "endChr", ")")
+    if tag == "acc":
+        mark = {"̂": r"\hat", "̅": r"\overline", "⃗": r"\vec", "̇": r"\dot", "̃": r"\tilde"}.get(value("accPr", "chr", "̂"), r"\hat")
+        return mark + of("e")
+    if tag == "m":
+        rows = [" & ".join(omml_to_latex(c).strip() for c in r if c.tag.endswith("}e")) for r in e if r.tag.endswith("}mr")]
+        return r"\begin{matrix}" + r" \\ ".join(rows) + r"\end{matrix}"
+    if tag == "func":
+        name = of("fName")[1:-1].strip()
+        return ("\\" + name if name in FUNCTIONS else name) + of("e")
+    return "".join(omml_to_latex(k) for k in e if not k.tag.endswith("Pr"))

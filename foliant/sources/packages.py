@@ -16,6 +16,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.functions.mathml import omml_to_latex
 from foliant.sources import compound
 from foliant.sources.delimited import records
 from foliant.sources.detect import suffix_of
@@ -123,6 +124,10 @@ def docx(data: bytes) -> Iterator[Block]:
             deep = next((attr(x, "val") for x in e.iter() if local(x.tag) == "ilvl"), "0")
             link = next((links.get(attr(x, "id"), (None,))[0] for x in e.iter() if local(x.tag) == "hyperlink"), None)
             t, level = text(e).strip(), levels.get(style)
+            formulas = [omml_to_latex(x).strip() for x in e.iter() if local(x.tag) == "oMath"]
+            if formulas and not t.replace("".join("".join(x.itertext()) for x in e.iter() if local(x.tag) == "oMath"), "").strip():
+                yield 0, "", "equation", None, " ".join(formulas), None, None, None
+                continue
             if any(local(x.tag) == "blip" for x in e.iter()):
                 yield 0, "", "image", None, "", None, None, None
             if not t:

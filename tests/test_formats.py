@@ -1,16 +1,18 @@
 import io
 import zipfile
 import zlib
+from xml.etree import ElementTree as ET
 
 import numpy as np
 import pytest
 
 from foliant.functions import images
 from foliant.functions.formats import format_value
-from foliant.functions.mathml import mathml_to_latex
+from foliant.functions.mathml import mathml_to_latex, omml_to_latex
 from foliant.sources.fixed_layout import deltas, lines_of, ofd, pdf, read_chars
 from foliant.sources.main_content import select, text_of
 from foliant.sources.metadata import properties
+from foliant.sources.packages import parse
 
 
 @pytest.mark.parametrize(
@@ -33,6 +35,17 @@ def test_mathml():
     assert m("<semantics><mi>x</mi><annotation encoding='application/x-tex'> y </annotation></semantics>") == "y"
 
 
+def test_office_formulas():
+    ns = "xmlns:m='http://m'"
+    m = lambda x: omml_to_latex(ET.fromstring(f"<m:oMath {ns}>{x}</m:oMath>")).strip()
+    r = lambda t: f"<m:r><m:t>{t}</m:t></m:r>"
+    assert m(f"<m:f><m:num>{r('a')}</m:num><m:den>{r('π')}</m:den></m:f>") == r"\frac{a}{\pi}" and m(f"<m:sSup><m:e>{r('x')}</m:e><m:sup>{r('2')}</m:sup></m:sSup>") == "{x}^{2}"
+    assert m(f"<m:rad><m:deg/><m:e>{r('y')}</m:e></m:rad>") == r"\sqrt{y}" and m(f"<m:nary><m:naryPr><m:chr m:val='∑'/></m:naryPr><m:sub>{r('i')}</m:sub><m:sup>{r('n')}</m:sup><m:e>{r('i')}</m:e></m:nary>") == r"\sum_{i}^{n}{i}"
+    w = "xmlns:w='http://w'"
+    doc = zipped({"word/document.xml": f"<w:document {w} {ns}><w:body><w:p><m:oMathPara><m:oMath>{r('z')}</m:oMath></m:oMathPara></w:p></w:body></w:document>"})
+    assert [(b[5], b[7]) for b in parse(doc)] == [("equation", "z")]
+
+
 def test_images():
     mask = np.array([[1, 0, 0, 0], [0, 1, 0, 1], [0, 0, 0, 1]], np.uint8)
     n, lab, stats = images.labels(mask)

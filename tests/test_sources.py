@@ -133,3 +133,15 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.total) for r in spark.table("tumbled").orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
+
+
+def test_data_source(spark, tmp_path):
+    from foliant.sources.datasource import register
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.docx").write_bytes(DOCX)
+    (tmp_path / "b.csv").write_bytes(b"a,b\n1,2\n")
+    register(spark)
+    got = spark.read.format("foliant_documents").option("filesPerPartition", 1).load(str(tmp_path))
+    assert {(r.suffix, r.type) for r in got.collect()} == {("docx", "paragraph_title"), ("docx", "text"), ("docx", "list_item"), ("docx", "table"), ("csv", "table")}
+    assert spark.read.format("foliant_documents").option("suffixes", "csv").load(str(tmp_path)).count() == 1
