@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import sys
@@ -145,7 +146,8 @@ class Encoder:
     is encoded whole. At most ``most`` parts are remembered.
     """
 
-    _ODD = re.compile(r"\s\s|[^\S \n]")
+    _OTHER = re.compile(r"[^\S \n]")
+    _MARKS = frozenset(".,;:!?*#%&$|")
     _TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?*#%&$|]+)", re.S)
 
     def __init__(self, path: str, end_id: int, width: int, most: int = 1_000_000):
@@ -167,6 +169,14 @@ class Encoder:
             data.byteswap()
         return data.tobytes()
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text can't be cut: white space other than lone spaces and line feeds, a NUL, a special token."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
+            return True
+        if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else self._OTHER.search(text):
+            return True
+        return bool(self.special and self.special.search(text))
+
     def _learn(self, parts: set[str]) -> None:
         """Ids of parts: a part stands for itself after a space, or bare if it starts with a line feed or NUL mark."""
         known, tails, todo = self.known, [], set()
@@ -175,24 +185,33 @@ class Encoder:
             known.clear()
             new = parts
         for p in new:
-            if (m := self._TAIL.fullmatch(p)) and not p.startswith(("\n", "\0")):
+            if p[-1:] in self._MARKS and p[0] not in "\n\0" and (m := self._TAIL.fullmatch(p)):
                 head, tail = m[1], "\0" + m[2]
                 tails.append((p, head, tail))
                 todo.update(x for x in (head, tail) if x not in known)
             else:
                 todo.add(p)
         todo = list(todo)
-        bare = [p[1:] if p[0:1] == "\0" else p if p[0:1] == "\n" else " " + p for p in todo]
+        bare = [" " + p if p[:1] not in ("\n", "\0") else p.lstrip("\0") for p in todo]
         known.update(zip(todo, self._encode(bare)))
         for p, head, tail in tails:
             known[p] = known[head] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian bytes."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a collection would walk all that is remembered
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole, cut = [], []
         for k, t in enumerate(texts):
-            if not self.splits or "\0" in t or self._ODD.search(t) or (self.special and self.special.search(t)):
+            if not self.splits or self._whole(t):
                 whole.append(k)
             else:
                 cut.append((k, ("\0" + t).replace("\n", " \n").split(" ")))
