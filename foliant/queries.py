@@ -318,7 +318,7 @@ def nearest_parent(spark, d):
 
 
 @query(f"""SELECT doc, child, min(parent) AS parent FROM (SELECT c.doc, c.idx AS child, p.idx AS parent FROM ({BOXES_SQL}) c JOIN ({BOXES_SQL}) p ON c.doc = p.doc AND c.idx % 2 = 0 AND p.idx % 2 = 1
- WHERE greatest(0, least(c.x1, p.x1 + 200) - greatest(c.x0, p.x0 - 200)) * greatest(0, least(c.y1, p.y1 + 100) - greatest(c.y0, p.y0 - 100)) >= 0.8 * (c.x1 - c.x0) * (c.y1 - c.y0)) GROUP BY doc, child""")
+ WHERE greatest(0, least(c.x1, p.x1 + 200) - greatest(c.x0, p.x0 - 200)) * greatest(0, least(c.y1, p.y1 + 100) - greatest(c.y0, p.y0 - 100)) / ((c.x1 - c.x0) * (c.y1 - c.y0)) >= 0.8) GROUP BY doc, child""")
 def text_in_list(spark, d):
     b = F.col("b")
     c = boxes(spark, d).where("idx % 2 = 0").select("doc", F.col("idx").alias("child"), b.alias("child_box"))
