@@ -11,7 +11,7 @@ from foliant.llm import langid
 from foliant.llm.decontaminate import decontaminated
 from foliant.llm.mixing import mixed_rows
 from foliant.llm.sharding import shard
-from foliant.llm.trie_join import near_dedup
+from foliant.llm.similar import similar_dedup
 from foliant.plans.shared import materialise, ship
 
 
@@ -22,9 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near copies, the one of the smallest doc_id."""
+    """One document of each group of texts with five-word Jaccard similarity of at least 0.8, the one of the smallest doc_id."""
     ship(spark)
-    return near_dedup(docs)
+    return similar_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding),
 ]
 
-#: SQL has no Kneser-Ney model and no trie join; tests hold the stages against brute force.
+#: SQL has no Kneser-Ney model; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -244,12 +244,16 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, seed: int
 
 
 def near_dedup(docs: DataFrame, words: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each near-copy component, the one of the smallest doc_id.
+    """``docs`` with one row of each near-copy component, the one of the smallest doc_id; see ``firsts``."""
+    return firsts(docs, near_components(docs, words, budget, seed))
+
+
+def firsts(docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``docs`` with the row of the smallest doc_id of each component in ``comp`` (doc_id, component_id).
 
     Rows whose doc_id is null have no name to be dropped by: they stay.
     Rows that repeat a doc_id are one document: the least of them by text stays.
     """
-    comp = near_components(docs, words, budget, seed)
     ids = materialise(comp.select("doc_id", "component_id"), "decisions")
     gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")

@@ -28,3 +28,17 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert comp.where("doc_id <> component_id").count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == docs.count() and {r.shard for r in out.collect()} <= set(range(8))
+
+
+def test_near_duplicates_go_by_similarity_of_five_words(spark):
+    rng = random.Random(18)
+    base = [prose(rng, 60).split() for _ in range(20)]
+    data = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):  # one word changed: 51 of 61 shingles are shared
+        data.append((100 + i, " ".join(b[:30] + ["zzz"] + b[31:])))
+    for i, b in enumerate(base):  # two words far apart: 46 of 66, too few
+        data.append((200 + i, " ".join(b[:15] + ["yyy"] + b[16:45] + ["xxx"] + b[46:])))
+    docs = spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {r.doc_id for r in got.collect()} == set(range(20)) | set(range(200, 220))
