@@ -511,6 +511,13 @@ def occupied_matrix(spark, d):
     return tables.occupied(cells, ["o_orderkey"])
 
 
+@query("""SELECT o_orderkey, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(k) AS owner FROM (SELECT o_orderkey, k, unnest(range(k % 3, k % 3 + 1 + k % 2)) AS r FROM (SELECT o_orderkey, unnest(range(0, 4)) AS k FROM orders)), unnest(range(k, k + 1 + k % 3)) u(c) GROUP BY o_orderkey, r, c""")
+def occupied_matrix_all(spark, d):
+    k = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    cells = k.select("o_orderkey", (F.col("k") % 3).alias("row"), F.col("k").alias("col"), (1 + F.col("k") % 2).alias("rowspan"), (1 + F.col("k") % 3).alias("colspan"), F.col("k").cast("long").alias("cell"))
+    return tables.occupied(cells, ["o_orderkey"])
+
+
 @query("""WITH b AS (SELECT conv_id, turn // 2 AS page, turn AS idx, CASE role WHEN 'assistant' THEN 'table' WHEN 'system' THEN 'header' ELSE CASE WHEN turn % 4 = 0 THEN 'table' ELSE 'text' END END AS type FROM conversations), m AS (SELECT * FROM b WHERE type <> 'header'),
  e AS (SELECT conv_id, page, arg_min(type, idx) AS a, min(idx) AS ai, arg_max(type, idx) AS z, max(idx) AS zi FROM m GROUP BY ALL) SELECT p.conv_id, p.page AS prev_page, p.zi AS prev_idx, c.ai AS idx FROM e p JOIN e c ON p.conv_id = c.conv_id AND c.page = p.page + 1 WHERE p.z = 'table' AND c.a = 'table'""")
 def cross_page_table_pairs(spark, d):
