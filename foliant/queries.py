@@ -179,6 +179,16 @@ def list_marker_kind(spark, d):
     return table(spark, d, "orders").where(~(o % 26).isin(2, 3, 8, 11, 12, 21, 23)).select("o_orderkey", m["kind"].alias("kind"), m["value"].cast("long").alias("value"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'unordered' WHEN 1 THEN CASE WHEN o_orderkey > 1000000 THEN 'explicit' ELSE 'ordered' END WHEN 2 THEN 'explicit' WHEN 3 THEN 'explicit' WHEN 4 THEN 'ordered' ELSE 'none' END AS kind,
+ CASE o_orderkey % 6 WHEN 1 THEN CASE WHEN o_orderkey <= 1000000 THEN o_orderkey END WHEN 4 THEN CASE o_orderkey % 26 WHEN 2 THEN 100 WHEN 3 THEN 500 WHEN 8 THEN 1 WHEN 11 THEN 50 WHEN 12 THEN 1000 WHEN 21 THEN 5 WHEN 23 THEN 10 ELSE o_orderkey % 26 + 1 END END AS value FROM orders""")
+def list_marker_kind_all(spark, d):
+    o = F.col("o_orderkey")
+    n = o.cast("string")
+    mark = F.when(o % 6 == 0, "-").when(o % 6 == 1, F.concat(n, F.lit("."))).when(o % 6 == 2, F.concat(F.lit("["), n, F.lit("]"))).when(o % 6 == 3, F.concat(n, F.lit(")"))).when(o % 6 == 4, F.concat(F.chr(97 + o % 26), F.lit("."))).otherwise("")
+    m = T.list_marker(F.concat(mark, F.lit(" x"), n))
+    return table(spark, d, "orders").select("o_orderkey", m["kind"].alias("kind"), m["value"].cast("long").alias("value"))
+
+
 @query(f"""SELECT doc_id, line_no, ends_with(t, '(continued)') OR regexp_matches(t, '(^|[^a-z])continued$') OR ends_with(t, '(cont.)') OR contains(t, '(continued)') AS continued
  FROM (SELECT doc_id, line_no, lower(trim(CASE WHEN line_no % 3 = 0 THEN line || ' (Continued)' WHEN line_no % 3 = 1 THEN line || ' continued' ELSE line END)) AS t FROM ({LINES_SQL}) l)""")
 def continuation_caption(spark, d):

@@ -16,3 +16,13 @@ def orders(spark):
 def test_every_order_has_an_occupied_matrix(spark, orders):
     got = QUERIES["occupied_matrix_all"](spark, SF).select("o_orderkey").distinct()
     assert got.count() == orders.select("o_orderkey").distinct().count()
+
+
+def test_one_letter_marks_that_are_roman_numerals_have_their_values(spark, orders):
+    got = QUERIES["list_marker_kind_all"](spark, SF)
+    assert got.count() == orders.count()
+    o = F.col("o_orderkey")
+    letters = got.where(o % 6 == 4).select(F.chr(97 + o % 26).alias("c"), "value").distinct().collect()
+    roman = {"c": 100, "d": 500, "i": 1, "l": 50, "m": 1000, "v": 5, "x": 10}
+    assert roman.keys() & {r.c for r in letters}
+    assert all(r.value == roman.get(r.c, ord(r.c) - 96) for r in letters)
