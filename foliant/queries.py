@@ -565,6 +565,16 @@ def span_algebra(spark, d):
     return s.select("doc_id", spans.plain(F.col("s")).alias("plain"), spans.plain(spans.cut(F.col("s"), F.lit(5), F.lit(15))).alias("cut"), F.size(spans.normalise(F.col("s"))).alias("n_same"))
 
 
+@query("SELECT doc_id, t AS plain, substr(t, greatest(m - 5, 0) + 1, m + 5 - greatest(m - 5, 0)) AS cut, CASE WHEN t = '' THEN 0 ELSE 1 END AS n_same FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 2 AS m FROM documents)")
+def span_algebra_whole(spark, d):
+    none = F.array().cast("array<string>")
+    middle = F.coalesce(F.expr("length(text) div 2"), F.lit(0)).cast("int")
+    part = lambda a, n: spans.span(F.lit("text"), F.substr("text", a, n), none, F.lit(None).cast("string"))
+    s = table(spark, d, "documents").withColumn("m", middle).withColumn("s", F.array(part(F.lit(1), F.col("m")), part(F.col("m") + 1, F.length("text"))))
+    cut = spans.cut(F.col("s"), F.greatest(F.col("m") - 5, F.lit(0)), F.col("m") + 5)
+    return s.select("doc_id", spans.plain(F.col("s")).alias("plain"), spans.plain(cut).alias("cut"), F.size(spans.normalise(F.col("s"))).alias("n_same"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -26,3 +26,13 @@ def test_one_letter_marks_that_are_roman_numerals_have_their_values(spark, order
     roman = {"c": 100, "d": 500, "i": 1, "l": 50, "m": 1000, "v": 5, "x": 10}
     assert roman.keys() & {r.c for r in letters}
     assert all(r.value == roman.get(r.c, ord(r.c) - 96) for r in letters)
+
+
+def test_spans_of_whole_null_empty_and_short_texts(spark, tmp_path):
+    texts = {1: None, 2: "", 3: "a", 4: "ab", 5: "short text", 6: "Ünï 漢字 " * 500}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.plain, r.cut, r.n_same) for r in QUERIES["span_algebra_whole"](spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        t = t or ""
+        m = len(t) // 2
+        assert got[i] == (t, t[max(m - 5, 0) : m + 5], int(t != ""))
