@@ -12,8 +12,8 @@ from foliant.functions import bbox
 MAIN = ("image", "table", "chart", "code")
 
 
-def caption_parents(blocks: DataFrame, keys: list[str], reach: int = 8) -> DataFrame:
-    """(keys, child, parent): each caption's or footnote's block among the MAIN blocks at most ``reach`` places away.
+def caption_parents(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, child, parent): each caption's or footnote's block among the MAIN blocks, at any distance.
 
     Only captions may stand between a caption and its block, and captions or
     footnotes between a footnote and its; a footnote never comes first. Of
@@ -24,9 +24,12 @@ def caption_parents(blocks: DataFrame, keys: list[str], reach: int = 8) -> DataF
     b = blocks.withColumn("pos", F.row_number().over(order))
     other = F.when(~F.col("type").isin("caption", "footnote"), 1).otherwise(0)
     b = b.withColumn("solid", F.sum(other).over(order)).withColumn("noncaption", F.sum(F.when(F.col("type") == "caption", 0).otherwise(1)).over(order))
-    child = b.where(F.col("type").isin("caption", "footnote")).select(*keys, F.col("idx").alias("child"), F.col("pos").alias("cp"), F.col("type").alias("ct"), F.col("b").alias("cb"), F.col("solid").alias("cs"), F.col("noncaption").alias("cn"), F.explode(F.array(*[F.col("pos") + d for d in range(-reach, reach + 1) if d])).alias("pos"))
-    main = b.where(F.col("type").isin(*MAIN)).select(*keys, "pos", F.col("idx").alias("parent"), F.col("type").alias("pt"), F.col("b").alias("pb"), "solid", "noncaption")
-    j = child.join(main, [*keys, "pos"])
+    # no MAIN block may stand between, so only the last one before and the first one after can be legal
+    main = F.when(F.col("type").isin(*MAIN), F.struct("pos", F.col("idx").alias("parent"), F.col("type").alias("pt"), F.col("b").alias("pb"), "solid", "noncaption"))
+    ends = [F.last(main, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("pos"), F.desc("pos"))]
+    b = b.withColumn("ends", F.array(*ends)).where(F.col("type").isin("caption", "footnote"))
+    child = b.select(*keys, F.col("idx").alias("child"), F.col("pos").alias("cp"), F.col("type").alias("ct"), F.col("b").alias("cb"), F.col("solid").alias("cs"), F.col("noncaption").alias("cn"), F.explode("ends").alias("m"))
+    j = child.where(F.col("m").isNotNull()).select("*", "m.*")
     # blocks strictly between, other than the allowed ones
     before = F.col("pos") < F.col("cp")
     solid = F.when(before, F.col("cs") - F.col("solid")).otherwise(F.col("solid") - 1 - F.col("cs"))

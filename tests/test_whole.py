@@ -36,3 +36,14 @@ def test_spans_of_whole_null_empty_and_short_texts(spark, tmp_path):
         t = t or ""
         m = len(t) // 2
         assert got[i] == (t, t[max(m - 5, 0) : m + 5], int(t != ""))
+
+
+def test_captions_and_footnotes_find_their_block_at_any_distance(spark):
+    from foliant.operators.visual import caption_parents
+
+    kinds = ["caption"] * 12 + ["table"] + ["footnote"] * 20 + ["text", "footnote"]
+    box = {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
+    rows = [(1, i, k, box, "") for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc int, idx int, type string, b struct<x0 double, y0 double, x1 double, y1 double>, text string")
+    got = {r.child: r.parent for r in caption_parents(docs, ["doc"]).collect()}
+    assert got == {i: 12 for i in [*range(12), *range(13, 33)]}
