@@ -47,3 +47,20 @@ def test_captions_and_footnotes_find_their_block_at_any_distance(spark):
     docs = spark.createDataFrame(rows, "doc int, idx int, type string, b struct<x0 double, y0 double, x1 double, y1 double>, text string")
     got = {r.child: r.parent for r in caption_parents(docs, ["doc"]).collect()}
     assert got == {i: 12 for i in [*range(12), *range(13, 33)]}
+
+
+def test_lines_with_backslashes_are_escaped(spark, tmp_path):
+    text = "plain\na\\b\n\\*x*\n\\\\*x\n\\\\\\_\nC:\\a_b ~^&%$#{}\n\\"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def markdown(line):
+        out, slashes = "", 0
+        for c in line:
+            out += ("\\" if c in "*_`~$" and slashes % 2 == 0 else "") + c
+            slashes = slashes + 1 if c == "\\" else 0
+        return out
+
+    tex = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
+    for name, brute in (("markdown_escape_all", markdown), ("latex_escape_all", lambda line: "".join(tex.get(c, c) for c in line))):
+        got = {r.line_no: r[2] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: brute(line) for i, line in enumerate(text.split("\n"))}
