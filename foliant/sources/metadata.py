@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import suppress
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
@@ -22,21 +23,26 @@ SCHEMA = "path string, suffix string, title string, authors array<string>, subje
 FIELDS = {"title": "title", "creator": "author", "initial-creator": "author", "subject": "subject", "language": "language", "created": "created", "creation-date": "created", "modified": "modified", "date": "modified"}
 
 
+class _Body(Exception):
+    """The body begins."""
+
+
 class _Head(HTMLParser):
-    """Reads title and meta elements and stops caring at the body."""
+    """Reads title and meta elements and stops at the body."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: dict[str, list[str]] = {}
-        self.inside = self.body = False
+        self.inside = False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        self.body = self.body or tag == "body"
-        self.inside = tag == "title" and not self.body
+        if tag == "body":
+            raise _Body
+        self.inside = tag == "title"
         if tag == "html" and a.get("lang"):
             self.found.setdefault("language", []).append(a["lang"])
-        if tag == "meta" and not self.body and a.get("content"):
+        if tag == "meta" and a.get("content"):
             name = (a.get("property") or a.get("name") or "").lower()
             key = {"og:title": "og", "author": "author", "dc.creator": "author", "dc.title": "og", "description": "subject", "dc.language": "language", "article:published_time": "created", "article:modified_time": "modified"}.get(name)
             if key:
@@ -79,7 +85,8 @@ def properties(data: bytes, path: str = "") -> tuple:
             pages = sum(local(e.tag) == "itemref" for e in root.iter())
         elif suffix in ("html", "mhtml"):
             h = _Head()
-            h.feed(data[: 1 << 20].decode("utf-8", "replace"))
+            with suppress(_Body):
+                h.feed(data.decode("utf-8", "replace"))
             found = h.found
             if "og" in found:
                 found["title"] = found["og"][:1]

@@ -64,3 +64,11 @@ def test_lines_with_backslashes_are_escaped(spark, tmp_path):
     for name, brute in (("markdown_escape_all", markdown), ("latex_escape_all", lambda line: "".join(tex.get(c, c) for c in line))):
         got = {r.line_no: r[2] for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {i: brute(line) for i, line in enumerate(text.split("\n"))}
+
+
+def test_a_head_is_read_behind_a_large_script(spark):
+    from foliant.sources.metadata import properties
+
+    page = "<html lang='en'><head><script>" + "x = 1;\n" * 300_000 + "</script><title>Late</title><meta name='author' content='Ann'></head><body><title>No</title>"
+    row = properties(page.encode(), "a.html")
+    assert row[1:4] == ("html", "Late", ["Ann"]) and row[5] == "en"
