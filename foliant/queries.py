@@ -651,12 +651,13 @@ def html_metadata(spark, d):
 
 @query()
 def parse_files(spark, d):
-    """Every page as an HTML file and every order's row as a CSV file through the same reader."""
+    """Every page as an HTML file and every order as a row of its customer's CSV file through the same reader."""
     from foliant.sources.packages import read_documents
 
     p = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    c = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(";", "n_name", "n_nationkey"))), "\n").alias("t"))
-    c = c.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.col("t").cast("binary").alias("content"))
+    o = table(spark, d, "orders")
+    c = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(";", *o.columns))), "\n").alias("t"))
+    c = c.select(F.concat(F.lit("customer"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), F.col("t").cast("binary").alias("content"))
     return read_documents(p.unionByName(c)).groupBy("suffix", "type").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
 
 

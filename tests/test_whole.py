@@ -72,3 +72,8 @@ def test_a_head_is_read_behind_a_large_script(spark):
     page = "<html lang='en'><head><script>" + "x = 1;\n" * 300_000 + "</script><title>Late</title><meta name='author' content='Ann'></head><body><title>No</title>"
     row = properties(page.encode(), "a.html")
     assert row[1:4] == ("html", "Late", ["Ann"]) and row[5] == "en"
+
+
+def test_every_customers_orders_are_a_file(spark, orders):
+    got = {r.suffix: (r.n, r.errors) for r in QUERIES["parse_files"](spark, SF).collect()}
+    assert got["csv"] == (orders.select("o_custkey").distinct().count(), 0)
