@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import re
+import hashlib
 import struct
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,94 +136,218 @@ class TokenFile:
         self.src.close()
 
 
+class Remembered:
+    """Ids of words by 128-bit hashes: an open-addressed table of arrays, a run of ids for each entry."""
+
+    def __init__(self, most: int, kind: str):
+        self.most, self.kind = most, kind
+        self.mask = np.uint64((1 << (most + most // 3).bit_length()) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        size = int(self.mask) + 1
+        self.k1, self.k2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.entry = np.full(size, -1, np.int32)
+        self.n, self.starts, self.lens = 0, np.zeros(self.most, np.int64), np.zeros(self.most, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out = np.full(len(h1), -1, np.int32)
+        rows, at = np.arange(len(h1)), (h1 & self.mask).astype(np.int64)
+        while len(rows):
+            got = self.entry[at]
+            same = (self.k1[at] == h1[rows]) & (self.k2[at] == h2[rows]) & (got >= 0)
+            out[rows[same]] = got[same]
+            go = ~same & (got >= 0)
+            rows, at = rows[go], (at[go] + 1) & int(self.mask)
+        return out
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """New, different hashes with their ids end to end; together with the others at most ``most``."""
+        n = len(h1)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
+        self.lens[self.n : self.n + n] = lens
+        names = np.arange(self.n, self.n + n, dtype=np.int32)
+        self.n, self.used = self.n + n, self.used + len(ids)
+        rows, at = np.arange(n), (h1 & self.mask).astype(np.int64)
+        while len(rows):
+            free = self.entry[at] < 0
+            self.entry[at[free]] = names[rows[free]]  # of several that want a place one stays
+            won = self.entry[at] == names[rows]
+            self.k1[at[won]], self.k2[at[won]] = h1[rows[won]], h2[rows[won]]
+            rows, at = rows[~won], (at[~won] + 1) & int(self.mask)
+
+
+#: Bases of the two rolling hashes of a word's bytes, and the longest word that is hashed so (longer ones by BLAKE2).
+BASES, LONG_WORD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 1 << 12
+
+
+class Hasher:
+    """128-bit hashes of the values of an Arrow string array, from prefix sums over its bytes."""
+
+    def __init__(self, stretch: int = 1 << 18):
+        self.stretch, self.powers = stretch, []
+        for base in BASES:
+            for b in (base, pow(base, -1, 1 << 64)):
+                p = np.full(stretch + LONG_WORD + 1, b, np.uint64)
+                p[0] = 1
+                self.powers.append(np.multiply.accumulate(p))
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ends``: n + 1 offsets into ``data``."""
+        lens = np.diff(ends)
+        out = [np.zeros(len(lens), np.uint64) for _ in BASES]
+        at = 0
+        while at < len(lens):
+            if lens[at] > LONG_WORD:
+                d = hashlib.blake2b(data[ends[at] : ends[at + 1]].tobytes(), digest_size=16).digest()
+                out[0][at], out[1][at] = np.frombuffer(d, np.uint64)
+                at += 1
+                continue
+            to = int(np.searchsorted(ends, ends[at] + self.stretch, side="right"))
+            to = max(at + 1, min(len(lens), to - 1))
+            if (long := np.flatnonzero(lens[at:to] > LONG_WORD)).size:
+                to = at + int(long[0])
+            some = data[ends[at] : ends[to]].astype(np.uint64) + np.uint64(1)
+            s, e = ends[at:to] - ends[at], ends[at + 1 : to + 1] - ends[at]
+            for k, h in enumerate(out):
+                sums = np.zeros(len(some) + 1, np.uint64)
+                np.cumsum(some * self.powers[2 * k][: len(some)], out=sums[1:])
+                x = (sums[e] - sums[s]) * self.powers[2 * k + 1][s]
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                h[at:to] = x ^ (x >> np.uint64(29))
+            at = to
+        return out[0], out[1]
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library; what stands between two lone spaces is encoded once.
 
     A byte-level BPE splits text before a white-space run, so a text whose
     white space is single can be cut before each space or line feed and the
-    parts' ids joined. Any other text, and one with a special token's string,
-    is encoded whole. At most ``most`` parts are remembered.
+    parts' ids joined; so can the marks that end a word be cut from its last
+    letter. Any other text, one with a special token's string or a NUL, and
+    all texts of another kind of tokenizer are encoded whole. Texts stay in
+    Arrow buffers: only parts that aren't remembered become strings. At most
+    ``most`` parts are remembered, about 50 bytes each.
     """
 
-    _OTHER = re.compile(r"[^\S \n]")
-    _MARKS = frozenset(".,;:!?*#%&$|")
-    _TAIL = re.compile(r"(.*[A-Za-z])([.,;:!?*#%&$|]+)", re.S)
+    #: White space but lone spaces and line feeds, and the marks of parts.
+    _WHOLE = r"[ \n]{2}|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, path: str, end_id: int, width: int, most: int = 1_000_000):
+    #: Marks behind a Latin letter, at the end of a word.
+    _TAIL = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?]+)([ \n]|$)"
+
+    def __init__(self, path: str, end_id: int, width: int, most: int = 3 << 19):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.code, self.most, self.known = "HI"[width == 4], most, {}
-        self.end = self._bytes([end_id])
-        self.splits = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        data = array(self.code, ids)
-        if sys.byteorder == "big":
-            data.byteswap()
-        return data.tobytes()
-
-    def _whole(self, text: str) -> bool:
-        """Whether a text can't be cut: white space other than lone spaces and line feeds, a NUL, a special token."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
-            return True
-        if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else self._OTHER.search(text):
-            return True
-        return bool(self.special and self.special.search(text))
-
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of parts: a part stands for itself after a space, or bare if it starts with a line feed or NUL mark."""
-        known, tails, todo = self.known, [], set()
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = parts
-        for p in new:
-            if p[-1:] in self._MARKS and p[0] not in "\n\0" and (m := self._TAIL.fullmatch(p)):
-                head, tail = m[1], "\0" + m[2]
-                tails.append((p, head, tail))
-                todo.update(x for x in (head, tail) if x not in known)
-            else:
-                todo.add(p)
-        todo = list(todo)
-        bare = [" " + p if p[:1] not in ("\n", "\0") else p.lstrip("\0") for p in todo]
-        known.update(zip(todo, self._encode(bare)))
-        for p, head, tail in tails:
-            known[p] = known[head] + known[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids with the end id, as little-endian bytes."""
-        collects = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and a collection would walk all that is remembered
-        try:
-            return self._encoded(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, cut = [], []
-        for k, t in enumerate(texts):
-            if not self.splits or self._whole(t):
-                whole.append(k)
-            else:
-                cut.append((k, ("\0" + t).replace("\n", " \n").split(" ")))
-        for s in range(0, len(cut), 256):
-            some = cut[s : s + 256]
-            need = set().union(*[p for _, p in some])
-            self._learn(need)
-            get = self.known.__getitem__
-            for k, parts in some:
-                out[k] = b"".join(map(get, parts)) + self.end
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids + self.end
-        return out
+        self.tokenizer = t = Tokenizer.from_file(path)
+        if max(end_id, *t.get_vocab(with_added_tokens=True).values()) >= 1 << (8 * width):
+            raise ValueError(f"ids of this vocabulary need more than {width} bytes")
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.whole = "|".join([self._WHOLE, *map(_quoted, added)])
+        self.kind, self.end = f"<u{width}", end_id
+        self.known, self.hashes = Remembered(most, self.kind), Hasher()
+        pre = t.pre_tokenizer
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256 and on
+        plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
+        self.bytes = [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
+        self.splits = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and t.normalizer is None
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each); a few thousand results of the library are held at once."""
+        ids, lens = array("Q"), array("q")
+        for s in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[s : s + 4096], add_special_tokens=False):
+                got = e.ids
+                ids.extend(got)
+                lens.append(len(got))
+        return np.array(ids, self.kind), np.array(lens)
+
+    def _learned(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``, of parts: a space and letters is one piece for the pre-tokenizer, so the library's model takes it as it is."""
+        plain = [x.isalpha() and max(x) < "\u0500" for x in parts]  # letters in every version of Unicode
+        simple = [k for k, x in enumerate(plain) if x]
+        other = [k for k, x in enumerate(plain) if not x]
+        byte, tokenize, ids, lens = self.bytes, self.tokenizer.model.tokenize, array("Q"), np.zeros(len(parts), np.int64)
+        for k in simple:
+            x = parts[k]
+            got = [t.id for t in tokenize("\u0120" + (x if x.isascii() else "".join([byte[b] for b in x.encode()])))]
+            ids.extend(got)
+            lens[k] = len(got)
+        more, n = self._encode([x.lstrip("\0\1") if x[:1] in ("\n", "\0", "\1") and x else " " + x for x in map(parts.__getitem__, other)])
+        lens[other] = n
+        place = np.concatenate([np.array(simple, np.int64), np.array(other, np.int64)])
+        where = np.empty(len(parts), np.int64)
+        where[place] = np.cumsum(lens[place]) - lens[place]
+        every = np.concatenate([np.array(ids, self.kind), more])
+        return every[np.repeat(where - (np.cumsum(lens) - lens), lens) + np.arange(len(every))], lens
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each): of parts that stand after a space, or bare behind a line feed or mark."""
+        ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        h1, h2 = self.hashes(data, ends)
+        entry = self.known.find(h1, h2)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            new = new[np.unique(h1[new] ^ (h2[new] * np.uint64(3)), return_index=True)[1]]
+            if self.known.n + len(new) > self.known.most:
+                self.known.clear()
+                new = np.unique(h1 ^ (h2 * np.uint64(3)), return_index=True)[1]
+            self.known.add(h1[new], h2[new], *self._learned(words.take(pa.array(new)).to_pylist()))
+            entry = self.known.find(h1, h2)
+        lens = self.known.lens[entry].astype(np.int64)
+        before = np.cumsum(lens) - lens
+        return self.known.ids[np.arange(int(lens.sum())) + np.repeat(self.known.starts[entry] - before, lens)], lens
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each with the end id; how many ids each has). Null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole) if self.splits else pa.array([True] * len(texts), pa.bool_())
+        alone, cut = np.flatnonzero(whole), np.flatnonzero(pc.invert(whole))
+        counts = np.zeros(len(texts), np.int64)
+        cuts = pc.replace_substring(pc.replace_substring_regex(texts.take(pa.array(cut)), self._TAIL, "\\1 \x01\\2\\3"), "\n", " \n")
+        first, none = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+        parts = pc.split_pattern(pc.binary_join_element_wise(first, cuts, none), " ")
+        words, firsts, step = parts.flatten(), parts.offsets.to_numpy().astype(np.int64), self.known.most // 4
+        pieces, lens = [], []
+        for s in range(0, len(words), step):
+            ids, n = self._parts(words.slice(s, step))
+            pieces.append(ids)
+            lens.append(n)
+        if len(cut):
+            sums = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+            counts[cut] = sums[firsts[1:]] - sums[firsts[:-1]]
+        ids = np.concatenate([np.zeros(0, self.kind), *pieces])
+        if len(alone):
+            other, n = self._encode(texts.take(pa.array(alone)).to_pylist())
+            counts[alone] = n
+            at_cut, at_alone = np.cumsum(counts[cut]) - counts[cut], np.cumsum(n) - n
+            where = np.empty(len(texts), np.int64)
+            where[cut], where[alone] = at_cut, at_alone + len(ids)
+            ids = np.concatenate([ids, other])[np.repeat(where - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        return np.insert(ids, np.cumsum(counts), self.end), counts + 1
+
+
+def _quoted(text: str) -> str:
+    """A pattern of RE2 that matches ``text`` itself."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _stretches(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about ``most`` bytes; a longer text stands alone."""
+    sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -244,16 +367,17 @@ FILES = "part int, path string, n_docs long, n_tokens long"
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_bytes: int = 2, n_files: int | None = None) -> DataFrame:
     """Encodes all texts into ``n_files`` files in ascending doc_id order; gives ``FILES``, a written table.
 
-    Texts are range-partitioned by doc_id (null first, ties by text), and each
-    task streams its ids to a file of its own attempt, then its boundaries and
-    doc ids. ``n_files`` is the session's number of shuffle partitions by
+    Texts are range-partitioned by doc_id (null first, ties by a hash of the
+    text, so that rows without an id or with one id are dealt out too), and
+    each task streams its ids to a file of its own attempt, about a megabyte
+    of text at a time, then its boundaries and doc ids. ``n_files`` is the session's number of shuffle partitions by
     default. ``id_bytes`` is 2 or 4.
     """
     n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        path, out, ends, ids, nulls, at = "", None, [], [], 0, 0
+        path, out, ends, ids, nulls, at, n = "", None, [], [], 0, 0, 0
         encoder = _encoder(tokenizer, end_id, id_bytes)
         for batch in batches:
             if not batch.num_rows:
@@ -261,25 +385,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
             if out is None:
                 path = f"{folder}/tokens-{task.partitionId():06d}-{task.taskAttemptId()}.ftok"
                 out = open_output(path)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in range(0, len(texts), 1024):
-                for data in encoder.encode(texts[s : s + 1024]):
-                    out.write(data)
-                    at += len(data) // id_bytes
-                    ends.append(at)
+            for texts in _stretches(batch.column(1)):
+                got, counts = encoder.encode(texts)
+                out.write(got.tobytes())
+                ends.append(at + np.cumsum(counts))
+                at += len(got)
             col = batch.column(0)
-            nulls += col.null_count
+            n, nulls = n + batch.num_rows, nulls + col.null_count
             ids.append(col.drop_null().to_numpy(zero_copy_only=False))
         if out is None:
             return
-        bounds = EliasFano.of(np.array([0, *ends], np.int64)).to_bytes()
+        bounds = EliasFano.of(np.concatenate([[0], *ends])).to_bytes()
         names = EliasFano.of(np.concatenate(ids).astype(np.int64)).to_bytes()
-        out.write(bounds + names + struct.pack(TRAILER, len(bounds), len(names), len(ends), at, nulls, id_bytes, MAGIC))
+        out.write(bounds + names + struct.pack(TRAILER, len(bounds), len(names), n, at, nulls, id_bytes, MAGIC))
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([len(ends)], pa.int64()), pa.array([at], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
+    placed = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n_files, *order[:2]).sortWithinPartitions(*order).drop("tie")
     return materialise(placed.mapInArrow(run, FILES), "token-files", f"{folder}/files")
 
 
@@ -313,9 +437,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def token_documents(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_bytes: int = 2) -> DataFrame:
     """Writes token files of all texts and reads every document back from them.
 
-    Null texts count as empty (the end id alone); documents with a null
-    doc_id come first; rows that repeat a doc_id stand side by side, in the
-    order of their texts; no rows give no rows and no file; other columns are
-    ignored.
+    Null texts count as empty (the end id alone); very long texts are encoded
+    whole; documents with a null doc_id come first; rows that repeat a doc_id
+    stand side by side, in the order of a hash of their texts; no rows give no
+    rows and no file; other columns are ignored. Ids that need more than
+    ``id_bytes`` are refused.
     """
     return read_token_files(write_token_files(docs, tokenizer, end_id, folder or shared_path(docs.sparkSession, "tokens"), id_bytes))

@@ -1,9 +1,11 @@
 import hashlib
+import json
 import random
 import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -68,24 +70,43 @@ def test_encoder_equals_the_library():
     rng = random.Random(9)
     pieces = ["hello", "World", "don't", "a.b", "x,", "..", " ", "  ", "\n", "\n\n", " \n", "\t", "漢字", "é", "12", "'s", " ", "<|endoftext|>", "!", "#$%", "\r\n", "\x00", "\x1c", "🙂"]
     texts = ["", " ", "a", *["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(600)]]
+    texts += ["end. a, b;\nc!? d.", "x.", "\x01a", "a.) b.", "é.", "ж, ж.", "w" * 5000 + " b.", "İ. ẞ, Ω!"]
+    want = [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
     for most in (10**6, 50):
-        got = Encoder(PATH, 2, 2, most).encode(texts)
-        want = [np.array([*e.ids, 2], "<u2").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
-        assert got == want
+        encoder = Encoder(PATH, 2, 2, most)
+        for _ in range(2):
+            ids, counts = encoder.encode(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        ids, counts = encoder.encode(pa.array([None, "a"], pa.string()))
+        assert counts.tolist() == [1, 2] and ids[0] == 2
+
+
+def test_encoder_leaves_other_tokenizers_whole_and_checks_the_width(tmp_path):
+    data = json.loads(open(PATH).read())
+    data["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    encoder = Encoder(str(tmp_path / "t.json"), 2, 4)
+    texts = ["one two", "", " x. y"]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert not encoder.splits
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        Encoder(PATH, 2, 1)
 
 
 def test_token_files(spark, edge, corpus, empty, tmp_path):
     t = Tokenizer.from_file(PATH)
     for name, df in (("a", edge), ("b", corpus)):
-        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.select("doc_id", "text").collect()))
-        at, want = 0, []
-        for known, i, text in rows:
-            ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
-            want.append((i if known else None, at, len(ids), zlib.crc32(ids.tobytes())))
-            at += len(ids)
+        want = []
+        for r in df.select("doc_id", "text").collect():
+            ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+            want.append((r.doc_id is not None, r.doc_id or 0, len(ids), zlib.crc32(ids.tobytes())))
         files = write_token_files(df, PATH, 2, f"file://{tmp_path}/{name}", 2, 3)
         got = sorted(read_token_files(files).collect(), key=lambda r: r.start)
-        assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
+        ids = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+        assert ids == sorted(ids)
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+        assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
         one = got[len(got) // 2]
         f = TokenFile(one.path)
         assert zlib.crc32(f.ids(one.position).astype("<u4").tobytes()) == one.ids_crc32
