@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +75,37 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` in tables of at least ``least`` rows that hold whole groups; only a larger group makes a larger table."""
+    held, n, bar = [], 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= bar:
+            table = pa.Table.from_batches(held)
+            same = np.ones(n, bool)
+            for k in keys:
+                col = table.column(k).to_numpy()
+                same &= col == col[-1]
+            other = np.flatnonzero(~same)
+            if len(other):
+                start = int(other[-1]) + 1
+                yield table.slice(0, start)
+                held, n, bar = table.slice(start).to_batches(), n - start, least
+            bar = max(least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def trim() -> None:
+    """Gives back what a worker process no longer uses, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def buckets_for(rows: int, per_bucket: int = 4096, least: int = 64) -> int:
     """A power of two of buckets, each with about ``per_bucket`` rows."""
     n = least

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import layout, relational, tables
-from foliant.operators.components import connected_components
+from foliant.operators import components, layout, relational, tables
+from foliant.operators.components import connected_components, hub_size
 from foliant.operators.visual import promoted_captions, regrouped
 from foliant.plans.shared import prefix_sums, ranked
 
@@ -35,6 +35,26 @@ def test_components(spark, hub):
     assert connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
 
+def test_a_hub_of_the_largest_id_is_split_in_both_stars(spark, monkeypatch):
+    split = []
+    inner = components._with_least
+
+    def watched(rows, least, hub, hubs):
+        split.append(hubs)
+        out = inner(rows, least, hub, hubs)
+        if hubs:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "strategy=broadcast" in plan
+        return out
+
+    monkeypatch.setattr(components, "_with_least", watched)
+    edges = [(10_000, k) for k in range(500)] + [(k, k + 1) for k in range(600, 640)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), hub=50).collect()}
+    assert got == union(edges)
+    assert split[:2] == [True, True]
+    assert hub_size(10**9, 1000) == 2 * 10**6 and hub_size(100, 1000) == 256
+
+
 def test_prefix_sums_and_ranks(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), k, rng.randint(0, 9)) for k in range(500)]
