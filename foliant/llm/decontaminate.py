@@ -12,10 +12,12 @@ from foliant.plans.shared import materialise, side
 #: Words of a shingle.
 SHINGLE = 5
 #: Bits of the blocks of a 64-bit fingerprint, and the flips tried in each.
-BLOCK_BITS = (13, 13, 13, 13, 12)
+BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 FLIPS = 2
-#: All fingerprints within this distance share a block up to FLIPS bits: 5 blocks of 3 or more make 15.
+#: All fingerprints within this distance share a block up to FLIPS bits: 6 blocks of 3 or more make 18.
 RADIUS = len(BLOCK_BITS) * (FLIPS + 1) - 1
+#: Word places of a document that are looked through together for a window's shingles.
+STRETCH = 64
 
 
 def words_of(text: Column) -> Column:
@@ -33,10 +35,16 @@ def _shingles(words: str, of: str) -> Column:
     )
 
 
-def simhash(words: str) -> Column:
-    """The 64-bit SimHash of an array column of words."""
-    majority = f"2 * size(filter(transform({words}, __x -> xxhash64(__x)), __x -> getbit(__x, __bit) = 1)) > size({words})"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (__acc, __bit) -> __acc | shiftleft(if({majority}, 1L, 0L), __bit))")
+def simhash(grams: str) -> Column:
+    """The 64-bit SimHash of an array column of (h, n, weight): bits by the weighted majority of the hashes."""
+    votes = f"aggregate({grams}, 0D, (__s, __x) -> __s + if(getbit(__x.h, __bit) = 1, __x.n, -__x.n) * __x.weight)"
+    return F.expr(f"aggregate(sequence(0, 63), 0L, (__acc, __bit) -> __acc | shiftleft(if({votes} > 0, 1L, 0L), __bit))")
+
+
+def _text_key(docs: DataFrame) -> list[Column]:
+    """128 bits that name a text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
 def _flipped(block: int, value: Column, masks: list[int]) -> Column:
@@ -55,64 +63,89 @@ def _blocks(fp: str, flips: int) -> Column:
     return F.flatten(F.array(*out))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_ids, similarity, n_windows) for each document with a passage at least ``threshold`` similar to an item.
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(t1, t2, start, len, item_ids, similarity): windows of different texts that are at least ``threshold`` similar to an item.
 
     A window is as long as an item and stands where a five-word shingle of
-    document and item would meet; a window that has no shingle of any item
-    has similarity 0 and is not built. Each different window gets a SimHash
-    of its words. Five blocks of 12 or 13 bits, looked up with up to two bits
-    flipped, give every item within ``RADIUS`` (14) bits. A candidate counts
-    if the item's shingles that the window has, by their weight, reach
+    text and item would meet; a window that has no shingle of any item has
+    similarity 0 and is not built. Of a window only the shingles that some
+    item has are kept: the others can't add to its similarity, and left out
+    of the fingerprint they don't move it away from an item of which the
+    window holds a part. Each different window gets a SimHash of its
+    shingles by weight. Six blocks of 10 or 11 bits, looked up with up to two
+    bits flipped, give every item within ``RADIUS`` (17) bits. A candidate
+    counts if the item's shingles that the window has, by their weight, reach
     ``threshold`` of the item's: a shingle weighs its count times
     1 + ln(items / items that have it).
-
-    Items without words match nothing; an item or a document of under five
-    words is one shingle, so they match whole. Equal items are matched once
-    and all listed. Null texts have no words; documents without a match give
-    no row, rows that repeat a doc_id one row; documents with a null doc_id
-    are told together. An empty table on either side gives no rows.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0")
+    items = benchmark.select("item_id", words_of(F.col("text").cast("string")).alias("w")).where("size(w) > 0")
     items = items.groupBy("w").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    items = items.select(F.xxhash64("w").alias("item"), "w", "item_ids", F.size("w").alias("len"), simhash("w").alias("fp"))
-    items = materialise(items, "items")
+    items = materialise(items.select(F.xxhash64("w").alias("i1"), F.xxhash64(F.lit(1), "w").alias("i2"), "w", "item_ids", F.size("w").alias("len")), "items")
     n_items = items.count()
-    gram = items.select("item", "len", F.posexplode(_shingles("w", "xxhash64")).alias("off", "h"))
-    starts = materialise(gram.select("h", "off", "len").distinct(), "postings")
-    text = F.col("text").cast("string")
-    hashed = docs.select("doc_id", words_of(text).alias("w")).select("doc_id", F.posexplode(_shingles("w", "xxhash64")).alias("pos", "h"))
-    places = hashed.join(side(starts), "h").select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "len").distinct()
-    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("places")).withColumnRenamed("doc_id", "__id")
-    places = materialise(places, "places")
-    # the words of the few documents that have places
-    held = docs.select("doc_id", text.alias("text")).join(side(places), F.col("doc_id").eqNullSafe(F.col("__id")))
-    held = held.select("doc_id", words_of(F.col("text")).alias("w"), "places")
+    placed = items.select("i1", "i2", "len", F.posexplode(_shingles("w", "xxhash64")).alias("off", "h"))
+    starts = materialise(placed.select("h", "off", "len").distinct(), "postings")
+    theirs = placed.groupBy("i1", "i2", "h").agg(F.count(F.lit(1)).alias("m"))
+    weights = theirs.groupBy("h").agg((1 + F.log(F.lit(float(max(1, n_items))) / F.count(F.lit(1)))).alias("weight"))
+    weights = materialise(weights, "weights")
+    theirs = materialise(theirs.join(weights, "h"), "itemgrams")
+    prints = theirs.groupBy("i1", "i2").agg(F.sort_array(F.collect_list(F.struct("h", F.col("m").alias("n"), "weight"))).alias("grams"), F.sum(F.col("m") * F.col("weight")).alias("total"))
+    prints = materialise(prints.select("i1", "i2", "total", simhash("grams").alias("ifp")), "itemprints")
+    t1, t2 = _text_key(docs)
+    hashed = docs.select(t1.alias("t1"), t2.alias("t2"), words_of(F.col("text").cast("string")).alias("w")).select("t1", "t2", F.posexplode(_shingles("w", "xxhash64")).alias("pos", "h"))
+    # equal texts count once from here; a row of the broadcast side is two longs
+    hits = materialise(hashed.join(side(weights.select("h"), 5_000_000), "h").select("t1", "t2", "pos", "h").distinct(), "hits")
+    places = hits.join(side(starts), "h").select("t1", "t2", (F.col("pos") - F.col("off")).alias("start"), "len").distinct()
+    reach = [F.floor(F.greatest(F.col("start"), F.lit(0)) / STRETCH), F.floor((F.col("start") + F.greatest(F.col("len") - SHINGLE, F.lit(0))) / STRETCH)]
+    spans = places.select("t1", "t2", "start", "len", F.explode(F.sequence(*[x.cast("int") for x in reach])).alias("stretch"))
+    near = spans.join(hits.withColumn("stretch", F.floor(F.col("pos") / STRETCH).cast("int")), ["t1", "t2", "stretch"])
+    near = near.where("pos >= start and pos <= start + greatest(len - 5, 0)")
+    held = near.groupBy("t1", "t2", "start", "len", "h").agg(F.count(F.lit(1)).alias("n")).join(side(weights, 5_000_000), "h")
+    held = held.groupBy("t1", "t2", "start", "len").agg(F.sort_array(F.collect_list(F.struct("h", "n", "weight"))).alias("grams"))
+    windows = materialise(held.select("t1", "t2", "start", "len", F.xxhash64("grams").alias("w1"), F.xxhash64(F.lit(1), "grams").alias("w2"), "grams"), "windows")
+    # each different window once, however many texts share it
+    single = windows.groupBy("w1", "w2").agg(F.first("grams").alias("grams"))
+    single = materialise(single.select("w1", "w2", "grams", simhash("grams").alias("fp")), "fingerprints")
+    probes = prints.select("i1", "i2", "ifp", F.explode(_blocks("ifp", FLIPS)).alias("k")).select("i1", "i2", "ifp", "k.block", "k.value")
+    ours = single.select("w1", "w2", "fp", F.explode(_blocks("fp", 0)).alias("k")).select("w1", "w2", "fp", "k.block", "k.value")
+    pairs = ours.join(side(probes), ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
+    pairs = pairs.select("w1", "w2", "i1", "i2").distinct()
+    grams = single.select("w1", "w2", F.explode("grams").alias("g")).select("w1", "w2", "g.h", "g.n")
+    shared = pairs.join(grams, ["w1", "w2"]).join(theirs, ["i1", "i2", "h"])
+    shared = shared.groupBy("w1", "w2", "i1", "i2").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("common"))
+    sure = shared.join(prints.select("i1", "i2", "total"), ["i1", "i2"]).withColumn("similarity", F.col("common") / F.col("total")).where(F.col("similarity") >= threshold - 1e-9)
+    sure = materialise(sure.join(items.select("i1", "i2", "item_ids"), ["i1", "i2"]).select("w1", "w2", "item_ids", "similarity"), "matches")
+    return windows.drop("grams").join(side(sure), ["w1", "w2"]).select("t1", "t2", "start", "len", "item_ids", "similarity")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, item_ids, similarity, n_windows) for each document with a passage at least ``threshold`` similar to an item.
+
+    See ``matches``; ``n_windows`` counts the different word sequences among
+    a document's matching windows. Items without words match nothing; an item
+    or a document of under five words is one shingle, so they match whole.
+    Equal items are matched once and all listed. Null texts have no words;
+    very long texts are looked through whole; documents without a match give
+    no row, rows that repeat a doc_id one row for all their texts; rows with
+    a null doc_id are told together. An empty table on either side gives no
+    rows; only doc_id and text are read.
+    """
+    found = materialise(matches(docs, benchmark, threshold), "leaks")
+    t1, t2 = _text_key(docs)
+    texts = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "len")).alias("places"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"), F.max("similarity").alias("similarity"))
     cut = F.expr("transform(places, p -> slice(w, greatest(p.start, 0) + 1, greatest(0, least(p.start + p.len, size(w)) - greatest(p.start, 0))))")
-    windows = held.select("doc_id", F.explode(F.array_distinct(cut)).alias("w")).where("size(w) > 0")
-    windows = materialise(windows.select("doc_id", F.xxhash64("w").alias("window"), "w"), "windows")
-    # each different window once, however many documents share it
-    single = windows.groupBy("window").agg(F.first("w").alias("w"))
-    single = materialise(single.select("window", "w", simhash("w").alias("fp")), "fingerprints")
-    probes = items.select("item", F.col("fp").alias("ifp"), F.explode(_blocks("fp", FLIPS)).alias("k")).select("item", "ifp", "k.block", "k.value")
-    ours = single.select("window", "fp", F.explode(_blocks("fp", 0)).alias("k")).select("window", "fp", "k.block", "k.value")
-    near = ours.join(side(probes), ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    near = near.select("window", "item").distinct()
-    strings = lambda df, key: df.select(key, F.explode(_shingles("w", "array")).alias("s")).select(key, F.concat_ws(" ", "s").alias("s")).groupBy(key, "s").agg(F.count(F.lit(1)).alias("n"))
-    theirs = strings(items, "item")
-    rarity = theirs.groupBy("s").agg((1 + F.log(F.lit(float(max(1, n_items))) / F.count(F.lit(1)))).alias("weight"))
-    theirs = materialise(theirs.join(rarity, "s"), "weights")
-    total = theirs.groupBy("item").agg(F.sum(F.col("n") * F.col("weight")).alias("total"))
-    shared = near.join(strings(single, "window"), "window").join(theirs.withColumnRenamed("n", "m"), ["item", "s"])
-    shared = shared.groupBy("window", "item").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("common"))
-    sure = shared.join(total, "item").select("window", "item", (F.col("common") / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
-    sure = materialise(sure.join(items.select("item", "item_ids"), "item"), "matches")
-    found = windows.select("doc_id", "window").join(side(sure), "window")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("similarity").alias("similarity"), F.count_distinct("window").alias("n_windows"))
-    return found
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), t1.alias("t1"), t2.alias("t2")).join(side(texts), ["t1", "t2"])
+    rows = rows.withColumn("w", words_of(F.col("text"))).select("doc_id", "ids", "similarity", F.transform(cut, lambda w: F.struct(F.xxhash64(w), F.xxhash64(F.lit(1), w))).alias("windows"))
+    # equal rows first: a third of all rows may be copies of one text
+    rows = rows.distinct()
+    return rows.groupBy("doc_id").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"), F.max("similarity").alias("similarity"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).cast("long").alias("n_windows"),
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without those that ``leaks`` names. Rows with a null doc_id can't be named: they stay."""
-    gone = materialise(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("__gone")), "leaks")
-    return docs.join(side(gone), docs.doc_id == F.col("__gone"), "left_anti")
+    """``docs`` without the rows whose text has a match (see ``leaks``), whatever their doc_id."""
+    gone = matches(docs, benchmark, threshold).select(F.col("t1").alias("__gone1"), F.col("t2").alias("__gone2")).distinct()
+    gone = side(materialise(gone, "leaks"))
+    t1, t2 = _text_key(docs)
+    return docs.join(gone, (t1 == gone["__gone1"]) & (t2 == gone["__gone2"]), "left_anti")

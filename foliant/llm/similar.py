@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix-filtered self-join, then verification."""
+"""Near copies for the pipeline: the SimHash trie join, verified by exact Jaccard similarity, completed over rare shingles."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.trie_join import firsts
+from foliant.llm.trie_join import near_links, one_of_each, text_key
 from foliant.operators.components import connected_components
-from foliant.plans.shared import materialise, side
+from foliant.plans.shared import materialise, side, trim, whole_groups
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 SHINGLE = 5
@@ -72,17 +72,26 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
-def _each(docs: DataFrame, columns: str, rows, id_first: bool = True) -> DataFrame:
-    """``rows(texts)`` gives Arrow arrays for a batch's texts, named by ``columns``."""
+def simhash_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingles; 0 for none."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    got = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes()
+    return int.from_bytes(got, "big", signed=True)
+
+
+def _each(docs: DataFrame, columns: str, rows) -> DataFrame:
+    """``rows(texts)`` gives Arrow arrays for a batch's texts, named by ``columns`` behind doc_id, t1 and t2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "t1", "t2", *[c.split()[0] for c in columns.split(", ")]]
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(3).cast(pa.binary())
             for s in range(0, len(texts), 256):
-                ids = [batch.column(0).slice(s, 256)] if id_first else []
-                yield pa.RecordBatch.from_arrays([*ids, *rows([t.as_py() for t in texts.slice(s, 256)])], [c.split()[0] for c in columns.split(", ")])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(s, 256) for k in range(3)], *rows([t.as_py() for t in texts.slice(s, 256)])], names)
+        trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text"))
+    return some.mapInArrow(run, f"doc_id long, t1 long, t2 long, {columns}")
 
 
 def _signed(parts: list[np.ndarray]) -> pa.Array:
@@ -102,18 +111,24 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
         ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
         sketches = pa.array(np.concatenate([np.empty(0, np.int64), *map(sketch, got)]))
         places = pa.array(np.arange(len(got) + 1, dtype=np.int32) * (1 << SKETCH - 6))
-        return [pa.array([set_key(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), _signed(heads)), pa.ListArray.from_arrays(places, sketches)]
+        return [
+            pa.array([set_key(h) for h in got], pa.int64()), pa.array([simhash_of(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(ends), _signed(heads)), pa.ListArray.from_arrays(places, sketches),
+        ]
 
     return rows
 
 
+#: Postings of whole shingles that a worker looks at together.
+HELD = 200_000
+
+
 def _bucket_pairs(threshold: float, few: int, later: bool):
-    """Pairs of sets that share a shingle and can reach ``threshold`` by their sizes and the shingle's places.
+    """Pairs of sets that share a shingle, have different labels, and can reach ``threshold`` by their sizes and the shingle's places.
 
-    Rows are (h, key, n, pos), ``later`` with a label. Of a shingle that more than ``few``
-    sets have, only each set's pairs with the first one and with the next are
-    given, and its rows are given back; ``later``, all pairs of sets with
-    different labels.
+    Rows are (h, key, n, pos, label), sorted by h. Of a shingle that more
+    than ``few`` sets have, only each set's pairs with the first one and with
+    the next are given, and its rows are given back; ``later``, all pairs.
     """
 
     def batch(h=None, a=None, b=None, n=None, pos=None) -> pa.RecordBatch:
@@ -121,15 +136,9 @@ def _bucket_pairs(threshold: float, few: int, later: bool):
         none = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
         return pa.RecordBatch.from_arrays([none(h, pa.int64()), none(a, pa.int64()), none(b, pa.int64()), none(n, pa.int32()), none(pos, pa.int32())], ["h", "a", "b", "n", "pos"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for x in batches if x.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        h, key, n, pos = (table.column(c).to_numpy() for c in ("h", "key", "n", "pos"))
-        label = table.column("label").to_numpy() if later else key
+    def some(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, key, n, pos, label = (table.column(c).to_numpy() for c in ("h", "key", "n", "pos", "label"))
         order = np.lexsort((key, n, h))
-        order = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(key[order]) != 0)])]  # equal sets once
         h, key, n, pos, label = (x[order] for x in (h, key, n, pos, label))
         lo = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0]))
         size = np.diff(np.append(lo, len(h)))
@@ -161,72 +170,89 @@ def _bucket_pairs(threshold: float, few: int, later: bool):
                 x = large[s : s + 65536]
                 yield batch(h=h[x], a=key[x], n=n[x], pos=pos[x])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h"], HELD):
+            yield from some(table)
+        trim()
+
     return run
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a sample of documents have, sorted, and how many: they only order the prefixes."""
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    seen = _each(some, "key long, h array<long>", _sets, id_first=False).select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    seen = _each(some, "key long, h array<long>", _sets).select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     top = seen.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def similar_components(docs: DataFrame, threshold: float = THRESHOLD, few: int = FEW) -> DataFrame:
-    """(doc_id, component_id) for every row: what pairs of texts with Jaccard similarity of at least ``threshold`` connect.
+def similar_components(docs: DataFrame, threshold: float = THRESHOLD, few: int = FEW, budget: int = 3) -> DataFrame:
+    """(doc_id, t1, t2, root) for every row: ``root`` is what pairs of texts with Jaccard similarity of at least ``threshold`` connect.
 
     Similarity is that of the sets of five-word shingles (``shingles``).
-    Every such pair shares a shingle of its prefixes, and each pair that does
-    and can be similar by its sizes and parity sketches is verified on the whole sets; no pair
-    is missed and none stands unverified. Where a shingle is in many
-    prefixes, a first round verifies a star and a chain, and only sets that
-    these leave apart are paired in a second one. Equal sets are one node.
-    Null and wordless texts are one group; rows with a null doc_id take part.
+    First the trie join links SimHash fingerprints of the sets within
+    ``budget`` bits, and each link is verified on the whole sets. Few pairs
+    near the threshold are that close, so the rest follows: every similar
+    pair shares a shingle of its prefixes, and each pair of sets still apart
+    that does and can be similar by its sizes and parity sketches is verified
+    on the whole sets; no pair is missed and none stands unverified. Where a
+    shingle is in many prefixes, a first round verifies a star and a chain,
+    and only sets that these leave apart are paired in a second one. Equal
+    sets are one node. Null and wordless texts are one group; very long texts
+    are compared whole; ties can't arise, since no pair is preferred; rows
+    with a null doc_id take part; repeated rows stay; no rows give no rows.
     """
     common, counts = _common(docs)
-    prints = materialise(_each(docs, "doc_id long, key long, n int, h array<long>, s array<long>", _prefixes(common, counts)), "prefixes")
-    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
-    posted = prints.select("key", "n", F.posexplode("h").alias("pos", "h")).select("h", "key", "n", "pos")
-    schema = "h long, a long, b long, n int, pos int"
-    first = materialise(posted.repartition("h").mapInArrow(_bucket_pairs(threshold, few, False), schema), "pairs")
+    prints = materialise(_each(docs, "key long, fp long, n int, h array<long>, s array<long>", _prefixes(common, counts)), "prefixes")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t1", "t2")).alias("row")
+    nodes = materialise(prints.groupBy("key").agg(row, *[F.first(c).alias(c) for c in ("fp", "n", "h", "s")]), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        keys = lambda p: p.select(F.col("a").alias("key")).union(p.select(F.col("b").alias("key"))).distinct()
-        sketches = prints.join(keys(pairs), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-        sides = [sketches.select(*[F.col(x).alias(y) for x, y in (("key", c), ("n", f"n{c}"), ("s", f"s{c}"))]) for c in "ab"]
+        sides = [nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab"]
         apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
         near = pairs.join(sides[0], "a").join(sides[1], "b").where(apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9)
         near = materialise(near.select("a", "b"), "candidates")
-        ids = side(materialise(nodes.join(keys(near), "key", "left_semi").select(F.col("least").alias("__id")).distinct(), "held"))
-        held = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        sets = materialise(_each(held, "key long, h array<long>", _sets, id_first=False), "sets")
+        keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
+        rows = nodes.join(keys, "key", "left_semi").select(F.col("row.doc_id").alias("__i"), F.col("row.t1").alias("__1"), F.col("row.t2").alias("__2"))
+        rows = side(materialise(rows, "held"))
+        t1, t2 = text_key()
+        held = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__i"]) & (t1 == rows["__1"]) & (t2 == rows["__2"]), "left_semi")
+        sets = materialise(_each(held.select("doc_id", "text"), "key long, h array<long>", _sets).select("key", "h"), "sets")
         once = sets.agg(F.count("key").alias("n"), F.count_distinct("key").alias("m")).first()
-        if once.n != once.m:  # a doc_id that repeats, or null
+        if once.n != once.m:  # rows that repeat
             sets = sets.groupBy("key").agg(F.first("h").alias("h"))
         sides = [sets.select(F.col("key").alias(c), F.col("h").alias(f"h{c}")) for c in "ab"]
         both = near.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         sure = F.col("common") / (F.size("ha") + F.size("hb") - F.col("common")) >= threshold
         return materialise(both.where(sure).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
+    named = nodes.groupBy("fp").agg(F.min("key").alias("first"))
+    close = materialise(near_links(named.select("fp"), budget), "close")
+    ends = [named.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key")) for c in ("src", "dst")]
+    tried = close.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))
+    equal = nodes.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    links = verified(tried.union(equal))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        comp = materialise(connected_components(links), "setcomp")
+        return rows.join(comp, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component")
+
+    schema = "h long, a long, b long, n int, pos int"
+    posted = labelled(nodes.select("key", "n", "h")).select("key", "n", "label", F.posexplode("h").alias("pos", "h")).select("h", "key", "n", "pos", "label")
+    first = materialise(posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, False), schema), "pairs")
     tried = materialise(first.where("b is not null").select("a", "b").distinct(), "tried")
-    links = verified(tried)
-    comp = materialise(connected_components(links), "setcomp")
+    links = links.union(verified(tried))
     large = first.where("h is not null")
     if large.limit(1).count():
-        labelled = large.withColumnRenamed("a", "key").join(comp, F.col("key") == F.col("node"), "left")
-        labelled = labelled.select("h", "key", "n", "pos", F.coalesce("component", "key").alias("label"))
-        rest = labelled.repartition("h").mapInArrow(_bucket_pairs(threshold, few, True), schema).select("a", "b").distinct()
-        more = verified(materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest"))
-        if more.limit(1).count():
-            comp = materialise(connected_components(links.union(more)), "setcomp")
-    placed = nodes.join(comp, nodes.key == comp.node, "left").select(nodes.key.alias("__key"), "least", F.coalesce("component", "key").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(least, "root").select("__key", "component_id")
-    return prints.join(labels, prints.key == F.col("__key")).select("doc_id", "component_id")
+        posted = labelled(large.withColumnRenamed("a", "key")).select("h", "key", "n", "pos", "label")
+        rest = posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, True), schema).select("a", "b").distinct()
+        links = links.union(verified(materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")))
+    roots = labelled(nodes.select("key")).select(F.col("key").alias("__key"), F.col("label").alias("root"))
+    return prints.join(roots, prints.key == F.col("__key")).select("doc_id", "t1", "t2", "root")
 
 
 def similar_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, the one of the smallest doc_id; see ``firsts``."""
-    return firsts(docs, similar_components(docs, threshold))
+    """``docs`` with one row of each group of similar texts, the one of the smallest doc_id; see ``one_of_each``."""
+    return one_of_each(docs, similar_components(docs, threshold))

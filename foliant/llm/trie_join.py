@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.components import connected_components
-from foliant.plans.shared import materialise
+from foliant.plans.shared import materialise, side, trim, whole_groups
 
 BITS = 64
-BLOCKS = 4
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -42,16 +42,23 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def text_key() -> list[Column]:
+    """128 bits that name a row's text (t1, t2)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's text as a signed long."""
+    """(doc_id, t1, t2, fp): the name of every row's text and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(3).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], ["doc_id", "t1", "t2", "fp"])
+        trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, t1 long, t2 long, fp long")
 
 
 class _Union:
@@ -144,93 +151,115 @@ def trie_links(rest: np.ndarray, roots: list[tuple[np.ndarray, ...]], depth: int
     return joined.of
 
 
+#: Rows of whole groups that a worker looks at together, and the most bits that split a crowded group.
+HELD, MOST_SPLIT = 200_000, 16
+
+
+def tables(budget: int, n: int, crowded: int) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(key segments, other segments) of a fingerprint for each table; a segment is (lowest bit, bits).
+
+    With ``budget`` + k blocks any near pair has k equal ones, so each choice
+    of k blocks is a table keyed by their bits. k is the least (up to 3) for
+    which a key has well under ``crowded`` of ``n`` spread fingerprints:
+    with three errors 4 tables of 16 bits, 10 of 25, or 20 of 31.
+    """
+    for k in (1, 2, 3):
+        m = budget + k
+        widths = [BITS // m + (i < BITS % m) for i in range(m)]
+        if n >> sum(sorted(widths)[:k]) <= crowded // 8 or k == 3:
+            break
+    starts = [BITS - sum(widths[: i + 1]) for i in range(m)]
+    segments = list(zip(starts, widths))
+    return [([segments[i] for i in c], [segments[i] for i in range(m) if i not in c]) for c in combinations(range(m), k)]
+
+
+def _gathered(segments: list[tuple[int, int]]) -> Column:
+    """The bits of fp's segments end to end."""
+    out = F.lit(0).cast("long")
+    for start, n in segments:
+        out = F.shiftleft(out, n).bitwiseOR(F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << n) - 1)))
+    return out
+
+
+KEYS = ["table", "value", "low", "high"]
+
+
 def _join_partition(budget: int):
-    """Links within the tasks (group keys) of one partition, as a forest of (src, dst) fingerprints."""
+    """Links within the groups (``KEYS``) of one sorted partition, as a forest of (src, dst) fingerprints."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(x.num_rows for x in held):
-            return
-        table = pa.Table.from_batches(held)
-        block, value, low, high, own, fp = (table.column(c).to_numpy() for c in ("block", "value", "low", "high", "own", "fp"))
-        fp = fp.view(np.uint64)
-        shift = (block.astype(np.uint64) + np.uint64(1)) * np.uint64(16)
-        left = np.where(shift == 64, np.uint64(0), fp << np.where(shift == 64, np.uint64(0), shift))
-        rotated = left | (fp >> (np.uint64(64) - shift))  # the block comes last
-        rest = rotated >> np.uint64(16)
-        order = np.lexsort((rest, high, low, value, block))
-        block, value, low, high, own, fp, rest = (x[order] for x in (block, value, low, high, own, fp, rest))
-        new = np.concatenate([[True], (np.diff(block) != 0) | (np.diff(value) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
+    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        table, value, low, high, own, depth, rest, fp = (t.column(c).to_numpy() for c in (*KEYS, "own", "depth", "rest", "fp"))
+        rest = np.ascontiguousarray(rest).view(np.uint64)
+        new = np.concatenate([[True], (np.diff(table) != 0) | (np.diff(value) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(fp))
         whole = low[lo] == high[lo]
-        at_own = np.concatenate([[0], np.cumsum(own == high)])
-        mid = np.where(whole, hi, hi - (at_own[hi] - at_own[lo]))
+        at_high = np.concatenate([[0], np.cumsum(own == high)])
+        mid = np.where(whole, hi, hi - (at_high[hi] - at_high[lo]))
         errors = np.where(whole, 0, np.bitwise_count((low[lo] ^ high[lo]).astype(np.uint64)).astype(np.int64))
         full = (mid > lo) & (whole | (hi > mid))
-        depth = np.where(low[lo] < 0, 48, 48 - SPLIT_BITS)
         of = np.arange(len(fp))
-        for d in (48, 48 - SPLIT_BITS):
-            pick = full & (depth == d)
+        for d in np.unique(depth[lo]).tolist():
+            pick = full & (depth[lo] == d)
             if pick.any():
                 roots = (lo[pick], np.where(whole, hi, mid)[pick], np.where(whole, lo, mid)[pick], hi[pick], errors[pick])
                 part = trie_links(rest, roots, d, budget)
                 of = np.where(part != np.arange(len(fp)), part, of)
-        linked = np.flatnonzero(of != np.arange(len(fp)))
-        src, dst = fp[linked].view(np.int64), fp[of[linked]].view(np.int64)
-        for s in range(0, len(src), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(src[s : s + 65536]), pa.array(dst[s : s + 65536])], ["src", "dst"])
-
-    return run
+        moved = np.flatnonzero(of != np.arange(len(fp)))
+        return fp[moved], fp[of[moved]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, KEYS, HELD):
+            src, dst = linked(t)
+            for s in range(0, len(src), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(src[s : s + 65536]), pa.array(dst[s : s + 65536])], ["src", "dst"])
+        trim()
 
-#: Bits by which a crowded block value is split into node pairs.
-SPLIT_BITS = 8
+    return run
 
 
-def near_links(fps: DataFrame, budget: int = 3, crowded: int = 50_000) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 3, crowded: int = 50_000, least_k: int = 1) -> DataFrame:
     """(src, dst) links that connect all distinct fingerprints within ``budget`` differing bits.
 
-    With four 16-bit blocks and three errors some block of a near pair is
-    equal, so each block value is a subtree of the trie over the bits turned
-    to start with that block, and the join below it is local. A value that
-    more than ``crowded`` fingerprints share is split again: its pairs of
-    8-bit child nodes within the budget become tasks of their own, each with
-    the errors so far. Links inside a task are given as a spanning forest:
-    no connection is lost and no group is expanded into all its pairs.
+    Each key of each of the ``tables`` is a subtree of the trie over the
+    bits turned to start with that key, and the join below it is local. A key
+    that more than ``crowded`` fingerprints share is split: its pairs of
+    child nodes within the budget become groups of their own, each with the
+    errors so far; the more fingerprints, the deeper the children (up to
+    ``MOST_SPLIT`` bits). Links inside a group are given as a spanning
+    forest: no connection is lost and no group is expanded into all its
+    pairs. A worker holds whole groups of a sorted partition, about ``HELD``
+    rows at once. ``least_k`` asks for tables of at least so many blocks.
     """
-    if budget >= BLOCKS:
-        raise ValueError("the budget must be under the number of blocks")
-    shift = lambda c, n: F.shiftrightunsigned(c, n).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    blocks = F.array(*[F.struct(F.lit(b).alias("block"), shift(F.col("fp"), 48 - 16 * b).alias("value")) for b in range(BLOCKS)])
-    keyed = fps.select("fp", F.explode(blocks).alias("k")).select("fp", "k.block", "k.value")
-    counts = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
-    counts = materialise(counts, "crowded")
-    plain = F.lit(-1)
+    n = max(fps.count(), (crowded // 8 + 1) << {1: 0, 2: 16, 3: 26}[least_k])
+    sets = tables(budget, n, crowded)
+    struct = [F.struct(F.lit(t).alias("table"), _gathered(key).alias("value"), _gathered(rest).alias("rest"), F.lit(sum(w for _, w in rest)).alias("depth")) for t, (key, rest) in enumerate(sets)]
+    keyed = fps.select("fp", F.explode(F.array(*struct)).alias("k")).select("fp", "k.table", "k.value", "k.rest", "k.depth")
+    counts = keyed.groupBy("table", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
+    counts = materialise(counts.select("table", "value", F.least(F.lit(MOST_SPLIT), F.ceil(F.log2(F.col("n") / crowded)) + 1).cast("int").alias("split")), "crowded")
     if counts.limit(1).count():
-        keyed = keyed.join(counts, ["block", "value"], "left")
-        # the eight bits that follow the block
-        turned = F.lit(0).cast("long")
-        for b in range(BLOCKS):
-            start = (48 - 16 * b - SPLIT_BITS) % 64
-            turned = F.when(F.col("block") == b, F.shiftrightunsigned("fp", start).bitwiseAND(F.lit(255))).otherwise(turned)
-        near = [x for x in range(1 << SPLIT_BITS) if x.bit_count() <= budget]
-        keyed = keyed.withColumn("own", F.when(F.col("n").isNotNull(), turned.cast("int")).otherwise(plain))
-        other = F.explode(F.when(F.col("own") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, near))))
-        keyed = keyed.withColumn("x", other).withColumn("o", F.when(F.col("own") < 0, plain).otherwise(F.col("own").bitwiseXOR(F.col("x"))))
-        keyed = keyed.select("block", "value", F.least("own", "o").alias("low"), F.greatest("own", "o").alias("high"), "own", "fp")
+        keyed = keyed.join(counts, ["table", "value"], "left").withColumn("split", F.coalesce("split", F.lit(0)))
+        # no bits: the one child 0, alone with itself
+        keyed = keyed.withColumn("own", F.when(F.col("split") > 0, F.expr("shiftrightunsigned(rest, depth - split)")).otherwise(0).cast("int"))
+        flips = F.array(*[F.lit(x) for x in range(1 << MOST_SPLIT) if x.bit_count() <= budget])
+        keyed = keyed.withColumn("x", F.explode(F.filter(flips, lambda x: x < F.expr("shiftleft(1, split)"))))
+        keyed = keyed.withColumn("o", F.col("own").bitwiseXOR(F.col("x"))).withColumn("depth", F.col("depth") - F.col("split"))
+        keyed = keyed.select("table", "value", F.least("own", "o").alias("low"), F.greatest("own", "o").alias("high"), "own", "depth", "rest", "fp")
     else:
-        keyed = keyed.select("block", "value", plain.alias("low"), plain.alias("high"), plain.alias("own"), "fp")
-    return keyed.repartition("block", "value", "low", "high").mapInArrow(_join_partition(budget), "src long, dst long")
+        zero = F.lit(0)
+        keyed = keyed.select("table", "value", zero.alias("low"), zero.alias("high"), zero.alias("own"), "depth", "rest", "fp")
+    return keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "rest").mapInArrow(_join_partition(budget), "src long, dst long")
 
 
 def near_components(docs: DataFrame, words: int = 3, budget: int = 3, seed: int = 42, crowded: int = 50_000) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, t1, t2, fp, component_id, root) for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links of at most ``budget``
-    differing bits reach. Equal fingerprints are one node, so copies are not
-    paired. Null and wordless texts share fingerprint 0; rows with a null
-    doc_id take part, and their component is null only if all its ids are;
+    differing bits reach; ``root`` names the component by one of its
+    fingerprints. Equal fingerprints are one node, so copies are not paired.
+    Null and wordless texts share fingerprint 0; very long texts are
+    fingerprinted whole; a tie of a bit's votes is 0; rows with a null doc_id
+    take part, and their component_id is null only if all its ids are;
     repeated rows stay; other columns of ``docs`` are ignored; no rows give
     no rows.
     """
@@ -239,30 +268,42 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 3, seed: int
     comp = materialise(connected_components(near_links(nodes.select("fp"), budget, crowded)), "fpcomp")
     placed = nodes.join(comp, nodes.fp == comp.node, "left").select(nodes.fp.alias("fp"), "least", F.coalesce("component", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(firsts, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(labels, prints.fp == F.col("__fp")).select("doc_id", "fp", "component_id")
+    labels = placed.join(firsts, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
+    return prints.join(labels, prints.fp == F.col("__fp")).select("doc_id", "t1", "t2", "fp", "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, words: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each near-copy component, the one of the smallest doc_id; see ``firsts``."""
-    return firsts(docs, near_components(docs, words, budget, seed))
+    """``docs`` with one row of each near-copy component; see ``one_of_each``."""
+    return one_of_each(docs, near_components(docs, words, budget, seed))
 
 
-def firsts(docs: DataFrame, comp: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component in ``comp`` (doc_id, component_id).
+def one_of_each(docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component in ``comp`` (doc_id, t1, t2, root).
 
-    Rows whose doc_id is null have no name to be dropped by: they stay.
-    Rows that repeat a doc_id are one document: the least of them by text stays.
+    A row is known by its doc_id and text. The one of the smallest doc_id
+    (nulls last), and of several texts of it the least by hash, stays; of
+    rows that repeat both, the least by its columns as JSON.
     """
-    ids = materialise(comp.select("doc_id", "component_id"), "decisions")
-    gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
-    twice = ids.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    twice = materialise(twice, "repeated")
+    ids = materialise(comp.groupBy("root", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")), "decisions")
+    name = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t1", "t2")
+    kept = ids.groupBy(F.col("root").alias("__root")).agg(F.min(name).alias("kept"))
+    marked = ids.join(kept, F.col("root") == F.col("__root")).withColumn("stays", (F.col("kept") == name))
+    marked = materialise(marked.select("doc_id", "t1", "t2", "n", "stays"), "marked")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return side(rows.select(F.col("doc_id").alias("__i"), F.col("t1").alias("__1"), F.col("t2").alias("__2")))
+
+    def same(other: DataFrame) -> Column:
+        t1, t2 = text_key()
+        return docs["doc_id"].cast("long").eqNullSafe(other["__i"]) & (t1 == other["__1"]) & (t2 == other["__2"])
+
+    gone = named(marked.where(~F.col("stays")))
+    twice = marked.where("stays and n > 1")
+    left = docs.join(gone, same(gone), "left_anti")
     if not twice.limit(1).count():
         return left
-    once = left.join(twice, left.doc_id == F.col("__twice"), "left_anti")
-    again = left.join(twice, left.doc_id == F.col("__twice"), "left_semi")
-    cols = [c for c in again.columns if c != "doc_id"]
-    least = again.groupBy("doc_id").agg(F.min(F.struct(*["text"], *[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])).alias("r"))
-    return once.unionByName(least.select("doc_id", *[F.col(f"r._{i}").alias(c) for i, c in enumerate(cols)]))
+    again = named(twice)
+    once = left.join(again, same(again), "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = left.join(again, same(again)).groupBy("__i", "__1", "__2").agg(F.min_by(row, F.to_json(row)).alias("__r"))
+    return once.unionByName(least.select("__r.*"))

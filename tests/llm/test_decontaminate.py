@@ -62,7 +62,9 @@ def test_matches_brute_force(spark):
     assert got == brute(docs, items)
     kept = decontaminated(df, bench)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs if d not in got or d is None}
+    gone = brute(list(enumerate(t for _, t in docs)), items)
+    left = sorted((d is not None, d or 0, t or "") for k, (d, t) in enumerate(docs) if k not in gone)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in kept.collect()) == left
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
 
 
@@ -81,9 +83,34 @@ def test_blocks_reach_all_fingerprints_within_the_radius(spark):
     assert a.join(b, (F.col("k") == F.col("j")) & (F.col("b") == F.col("c"))).select("k").distinct().count() == 200
 
 
-def test_simhash_moves_little_with_one_word(spark):
+def test_part_quotes_are_found_at_the_threshold(spark):
+    """Windows that just reach 80 % of an item's shingles: its head, tail, middle, or two ends around foreign words."""
     rng = random.Random(8)
-    w = prose(rng, 40).split()
-    x = w[:20] + ["other"] + w[21:]
-    r = spark.createDataFrame([(w, x)], "a array<string>, b array<string>").select(F.bit_count(simhash("a").bitwiseXOR(simhash("b"))).alias("d")).first()
-    assert r.d <= RADIUS
+    items, docs = [], []
+    for n in (15, 20, 30, 40, 60, 90, 120):
+        for k in range(24):
+            w = prose(rng, n).split()
+            items.append((len(items), " ".join(w)))
+            share = -(-8 * (n - 4) // 10) + 4  # words that hold 80 % of the shingles
+            cut = {0: w[:share], 1: w[-share:], 2: w[(n - share) // 2 : (n - share) // 2 + share]}.get(k % 4)
+            if cut is None:
+                cut = list(w)
+                cut[n // 2] = "changed"
+                if 5 / (n - 4) > 0.2:
+                    cut = w[:share]
+            docs.append((len(docs), f"{prose(rng, 70)}. {' '.join(cut)}. {prose(rng, 70)}"))
+    clean = [(10_000 + k, prose(rng, 200)) for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in leaks(spark.createDataFrame(rows(docs + clean), SCHEMA).repartition(4), bench).collect()}
+    assert all(ids == [d] for d, ids in got.items())
+    for first in range(0, len(docs), 24):
+        assert sum(d in got for d in range(first, first + 24)) >= 23  # of 24 at each length
+
+
+def test_simhash_is_the_weighted_majority(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 7, 40):
+        grams = [(rng.getrandbits(63) - (1 << 62), rng.randint(1, 3), rng.choice([1.0, 2.5])) for _ in range(n)]
+        got = spark.createDataFrame([(grams,)], "g array<struct<h:long,n:long,weight:double>>").select(simhash("g").alias("f")).first().f
+        want = sum((sum((1 if h >> b & 1 else -1) * m * w for h, m, w in grams) > 0) << b for b in range(64))
+        assert got & (2**64 - 1) == want

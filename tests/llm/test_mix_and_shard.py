@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm.mixing import mix, mixed_rows, targets
 from foliant.llm.sharding import CapacityTree, best_fit_decreasing, pack, shard
@@ -85,27 +86,55 @@ def test_tree_finds_the_tightest_bin():
         assert tree.tightest(size) == min((m for m in model if m[0] >= size), default=None)
 
 
-def test_best_fit_decreasing():
-    assert best_fit_decreasing([7, 5, 5, 3], 10) == [0, 1, 1, 0]
-    assert best_fit_decreasing([12, 3], 10) == [0, 1]
+def one_by_one(sizes, capacity):
+    """The bin of each of ``sizes`` (largest first), all open bins looked at for each item."""
+    room, out = [], []
+    for s in sizes:
+        best = min((k for k in range(len(room)) if room[k] >= s), key=lambda k: (room[k], k), default=None)
+        if best is None:
+            room.append(max(capacity, s))
+            best = len(room) - 1
+        room[best] -= s
+        out.append(best)
+    return out
+
+
+def classes(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def spread(runs):
+    return [b for _, b, n in runs for _ in range(n)]
+
+
+def test_best_fit_decreasing_by_classes_is_that_of_single_items():
+    assert best_fit_decreasing([(7, 1), (5, 2), (3, 1)], 10) == [(0, 0, 1), (1, 1, 2), (2, 0, 1)]
+    assert best_fit_decreasing([(12, 1), (3, 1)], 10) == [(0, 0, 1), (1, 1, 1)]
+    assert best_fit_decreasing([(7, 4)], 10, 3) is None
     rng = random.Random(12)
-    sizes = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)
-    bins = best_fit_decreasing(sizes, 100)
-    load = Counter()
-    for s, b in zip(sizes, bins):
-        load[b] += s
-    assert max(load.values()) <= 100 and len(load) <= 1.2 * sum(sizes) / 100 + 1
+    for _ in range(30):
+        sizes = sorted((rng.randint(1, rng.choice([5, 40, 100])) for _ in range(rng.randint(1, 400))), reverse=True)
+        capacity = rng.randint(50, 120)
+        assert spread(best_fit_decreasing(classes(sizes), capacity)) == one_by_one(sizes, capacity)
+
+
+def loads(sizes, bins):
+    load, of = Counter(), classes(sizes)
+    for k, b, n in pack(of, bins):
+        load[b] += of[k][0] * n
+    assert sum(load.values()) == sum(sizes) and set(load) <= set(range(bins))
+    return load
 
 
 def test_pack_is_even_and_gives_a_giant_its_own_bin():
-    sizes = sorted([1000] + [3] * 300 + [7] * 50, reverse=True)
-    bins = pack(sizes, 8)
-    load = Counter()
-    for s, b in zip(sizes, bins):
-        load[b] += s
+    load = loads([1000] + [3] * 300 + [7] * 50, 8)
     rest = sorted(v for v in load.values() if v < 1000)
     assert max(load.values()) == 1000 and rest[-1] - rest[0] <= 10 and len(load) == 8
-    assert pack([], 8) == [] and pack([5], 1) == [0]
+    assert pack([], 8) == [] and pack([(5, 1)], 1) == [(0, 0, 1)] and len(loads([9, 9, 9], 8)) == 3
+    rng = random.Random(15)
+    for n in (100, 5000, 200_000):
+        load = loads([int(rng.lognormvariate(6, 1)) + 1 for _ in range(n)], 8)
+        assert max(load.values()) <= 1.001 * sum(load.values()) / 8 + 1000 * (n == 100)
 
 
 def check(df):
@@ -126,6 +155,19 @@ def test_shards(corpus, edge, empty):
     load = Counter()
     for r in rows:
         load[r.shard] += r.size
-    assert set(load) <= set(range(8))
+    assert set(load) == set(range(8))
+    own = defaultdict(int)
+    for r in rows:
+        own[r.k1, r.k2] += r.size
+    giant = max(own.values())
+    even = sorted(v for v in load.values() if v != giant) if giant * 8 > sum(load.values()) else sorted(load.values())
+    assert even[-1] <= 1.01 * sum(even) / len(even)
     check(edge)
     assert shard(empty).count() == 0
+
+
+def test_many_groups_are_all_packed(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.expr("case when id % 3 = 0 then 'copy' else repeat('x', cast(id % 97 as int)) || id end").alias("text"))
+    got = shard(df).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    mean = sum(r.b for r in got) / 8
+    assert len(got) == 8 and all(abs(r.b - mean) < 0.001 * mean and r.m == r.n - 1 for r in got)

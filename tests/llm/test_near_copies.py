@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from foliant.llm.trie_join import fingerprint, near_components, near_dedup, near_links, trie_links
+from foliant.llm.trie_join import fingerprint, near_components, near_dedup, near_links, tables, trie_links
 from foliant.operators.components import connected_components
 
 
@@ -54,8 +54,8 @@ def test_crowded_blocks_are_split_without_loss(spark):
     top = 0x1234 << 48
     fps = sorted({top | (rng.getrandbits(48) & rng.getrandbits(48) & rng.getrandbits(48) & rng.getrandbits(48)) for _ in range(300)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    for crowded in (50, 10**6):
-        links = near_links(spark.createDataFrame(signed, "fp long"), 3, crowded)
+    for crowded, least_k in ((50, 1), (3, 1), (10**6, 1), (10**6, 2), (50, 3)):
+        links = near_links(spark.createDataFrame(signed, "fp long"), 3, crowded, least_k)
         got = {r.node: r.component for r in connected_components(links).collect()}
         label = [got.get(s[0], s[0]) for s in signed]
         want = groups(fps)
@@ -63,6 +63,17 @@ def test_crowded_blocks_are_split_without_loss(spark):
         assert len(pairs) == len(set(label)) == len(set(want))
 
 
+def test_any_near_pair_meets_in_some_table():
+    rng = random.Random(6)
+    for budget, n, k in ((3, 10**6, 1), (3, 10**11, 2), (3, 10**14, 3), (1, 10**12, 1)):
+        sets = tables(budget, n, 50_000)
+        assert all(sum(w for _, w in key) + sum(w for _, w in rest) == 64 and len(key) == k for key, rest in sets)
+        for _ in range(200):
+            f = rng.getrandbits(64)
+            diff = sum(1 << b for b in rng.sample(range(64), budget))
+            assert any(all(not diff >> s & ((1 << w) - 1) for s, w in key) for key, _ in sets) and f ^ diff != f
+
+
 def test_components_equal_brute_force(corpus):
     docs = {r.doc_id: r.text for r in corpus.select("doc_id", "text").collect()}
     ids = sorted(docs)
@@ -85,7 +96,7 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(edge, empty, corpus):
     kept = near_dedup(edge)
     assert kept.columns == edge.columns
     ids = sorted([r.doc_id for r in kept.collect()], key=str)
-    assert [i for i in ids if i is not None].count(4) == 1 and 2 not in ids and 6 not in ids and None in ids
+    assert ids.count(4) == 1 and not {2, 3, 6, None} & set(ids)
     assert near_dedup(empty).count() == 0
     comp = near_components(corpus)
     assert {r.doc_id for r in near_dedup(corpus).collect()} == {r.doc_id for r in comp.where(F.col("doc_id") == F.col("component_id")).collect()}

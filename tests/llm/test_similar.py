@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from foliant.llm.similar import prefix, shingles, similar_components, similar_dedup
 
@@ -25,6 +24,16 @@ def components(pairs):
     return label
 
 
+def least(comp):
+    """Smallest doc_id of each row's group, by doc_id."""
+    got = comp.collect()
+    first = {}
+    for r in got:
+        if r.doc_id is not None:
+            first[r.root] = min(first.get(r.root, r.doc_id), r.doc_id)
+    return {r.doc_id: first.get(r.root) for r in got}
+
+
 def changed(rng, text, n):
     words = text.split()
     for k in rng.sample(range(len(words)), n):
@@ -61,16 +70,17 @@ def test_components_equal_brute_force(spark, corpus):
     docs = spark.createDataFrame(rows(pairs), SCHEMA).repartition(4)
     want = components(pairs)
     for few in (32, 2):
-        assert {r.doc_id: r.component_id for r in similar_components(docs, few=few).collect()} == want
+        assert least(similar_components(docs, few=few)) == want
+    assert sorted(r.doc_id for r in similar_dedup(docs).collect()) == sorted(set(want.values()))
 
 
 def test_edge_rows(edge, empty):
-    by = {r.doc_id: r.component_id for r in similar_components(edge).collect()}
+    by = least(similar_components(edge))
     assert by[1] == by[2] == by[3] == 1 and by[4] == 4 and by[5] == by[6] == by[7] == by[None] == 5
     kept = similar_dedup(edge)
     assert kept.columns == edge.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(4) == 1 and None in ids and not {2, 3, 6, 7} & set(ids)
+    assert sorted(ids) == [1, 4, 5, 8, 9, 10]
     assert similar_components(empty).count() == similar_dedup(empty).count() == 0
 
 
@@ -80,5 +90,12 @@ def test_a_text_without_an_id_connects(spark):
     a, mid, b = (" ".join(w[:10] + x + w[11:50] + y + w[51:]) for x, y in ((["p"], ["q"]), (["r"], ["q"]), (["r"], ["s"])))
     docs = spark.createDataFrame(rows([(1, a), (None, mid), (2, b)]), SCHEMA)
     assert components([(1, a), (2, b)]) == {1: 1, 2: 2}
-    assert {r.component_id for r in similar_components(docs).collect()} == {1}
-    assert sorted(r.doc_id for r in similar_dedup(docs).where(F.col("doc_id").isNotNull()).collect()) == [1]
+    assert len({r.root for r in similar_components(docs).collect()}) == 1
+    assert [r.doc_id for r in similar_dedup(docs).collect()] == [1]
+
+
+def test_rows_that_share_an_id_are_told_by_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame(rows([(1, a), (2, a), (2, b), (None, c), (None, c), (None, b), (3, ""), (4, None)]), SCHEMA)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in similar_dedup(docs).collect()) == sorted([(False, 1, a), (False, 2, b), (True, 0, c), (False, 3, "")])
