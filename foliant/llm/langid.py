@@ -90,16 +90,19 @@ class HashArray:
         return at, found
 
 
-class Model:
-    """Log probabilities of all languages side by side, for each order's n-grams that any language has."""
+#: Languages whose tables stand side by side.
+BESIDE = 32
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
-        """grams: for each language the code points (n x ORDER) of its distinct n-grams; counts: how often."""
-        self.langs, n_langs = langs, len(langs)
-        self.mean, self.spread, self.noise, self.heat = np.zeros(n_langs), np.full(n_langs, np.inf), np.zeros(n_langs), 1.0
-        every = np.concatenate(grams) if grams else np.zeros((0, ORDER), np.uint32)
-        owner = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)]) if grams else np.zeros(0, int)
-        weight = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
+
+class Tables:
+    """Log probabilities of some languages side by side, for each order's n-grams that any of them has."""
+
+    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray], letters: int):
+        """grams: for each language the code points (n x ORDER) of its distinct n-grams; counts: how often; letters: of all languages."""
+        n_langs = len(grams)
+        every = np.concatenate(grams)
+        owner = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)])
+        weight = np.concatenate(counts).astype(np.float64)
         levels = []  # from the longest: unique grams, their counts by language
         for n in range(ORDER, 0, -1):
             tail = every[:, ORDER - n :]
@@ -111,7 +114,6 @@ class Model:
             # continuation counts: each distinct longer gram counts once
             pair = np.unique(place.astype(np.int64) * n_langs + owner, return_index=True)[1]
             every, owner, weight = every[pair], owner[pair], np.ones(len(pair))
-        letters = max(1, len(levels[-1][0]))
         self.floor = np.full(n_langs, -np.log(letters + 1.0))
         lower = np.full((1, n_langs), 1.0 / (letters + 1))
         lower_keys = None
@@ -139,11 +141,9 @@ class Model:
             h += _mix(chars[:, n - 1 - k]) * POWERS[k]
         return h
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(nats a character by text and language, characters by text)."""
-        codes, places, counts = characters(texts)
-        hashes = _rolled(codes)
-        out = np.zeros((len(places), len(self.langs)), np.float32)
+    def nats(self, hashes: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+        """Log probabilities of the characters at ``places``, by language."""
+        out = np.zeros((len(places), len(self.floor)), np.float32)
         rows, at = np.arange(len(places)), places
         for n in range(ORDER, 0, -1):
             where, found = self.grams[n - 1].find(hashes[n - 1][at])
@@ -156,11 +156,29 @@ class Model:
             out[rows[found]] += self.back[n - 1][where[found]]
         else:
             out[rows] += self.floor.astype(np.float32)
+        return out
+
+
+class Model:
+    """The languages' tables, ``BESIDE`` of them side by side, with rejection bounds; any number of languages."""
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
+        """For each language its n-grams and counts, as ``Tables`` takes them."""
+        self.langs, n_langs = langs, len(langs)
+        self.mean, self.spread, self.noise, self.heat = np.zeros(n_langs), np.full(n_langs, np.inf), np.zeros(n_langs), 1.0
+        letters = max(1, len(np.unique(np.concatenate([g[:, -1] for g in grams])))) if grams else 1
+        self.tables = [Tables(grams[k : k + BESIDE], counts[k : k + BESIDE], letters) for k in range(0, n_langs, BESIDE)]
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(nats a character by text and language, characters by text)."""
+        codes, places, counts = characters(texts)
+        hashes = _rolled(codes)
         sums = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(counts)
         if len(full):
             starts = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
-            sums[full] = np.add.reduceat(out, starts, axis=0, dtype=np.float64)
+            for k, t in enumerate(self.tables):
+                sums[full, k * BESIDE : k * BESIDE + len(t.floor)] = np.add.reduceat(t.nats(hashes, places), starts, axis=0, dtype=np.float64)
         return -sums / np.maximum(counts, 1)[:, None], counts
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float, int]]:
@@ -243,7 +261,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(high), pa.array(low), pa.array(n.astype(np.int64))], ["lang", "high", "low", "n"])
 
 
-def train(docs: DataFrame, held_out: int | None = 5, docs_per_language: int = 2000, calibration_share: float = 0.1, most_languages: int = 500) -> Model:
+def train(docs: DataFrame, held_out: int | None = 5, docs_per_language: int = 2000, calibration_share: float = 0.1) -> Model:
     """A model of every language of ``docs`` (doc_id, text, lang).
 
     Learned from a sample of about ``docs_per_language`` labelled documents of
@@ -251,15 +269,15 @@ def train(docs: DataFrame, held_out: int | None = 5, docs_per_language: int = 20
     doc_id; where ``held_out`` is set, documents whose crc32(doc_id) is a
     multiple of it are left out. ``calibration_share`` of the sample is kept
     for the bounds and the score's heat. N-grams are counted on the
-    executors; only their sums by language come to the driver.
+    executors; only their sums by language come to the driver. Null langs and
+    null texts are left out; no rows, or none labelled, give a model without
+    languages.
     """
     spark = docs.sparkSession
     rows = docs.where("lang is not null")
     if held_out:
         rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
-    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], [], [])
     shares = spark.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["count"])) for r in counts], "__lang string, __share double")
@@ -301,7 +319,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -
 
     Null texts and texts without letters are ``und`` with score 0, rejected.
     ``rejected`` also marks texts whose entropy is beyond what the best
-    language's own texts of that length have. Only the text is read.
+    language's own texts of that length have. Very long texts are scored
+    whole; of languages that tie the first by name is told. Only the text is
+    read.
     Repeated rows stay; no rows give no rows; a kept column may not have the
     name of an added one.
     """

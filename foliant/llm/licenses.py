@@ -68,8 +68,7 @@ NOTICES = (
     ),
 )
 
-#: Rare words of a template that the index has postings of; share of a template's words that must stand in their places.
-RARE = 4
+#: Share of a template's words that must stand in their places.
 LEAST = 0.75
 
 
@@ -83,10 +82,16 @@ class Template:
 
 @dataclass
 class Index:
-    """Postings (template, offset) of each template's rarest words, by their inverse frequency over the templates."""
+    """Positional postings of the words of all templates' mandatory key phrases, by their rarity.
+
+    ``postings``: word -> its (template, offset) places. ``anchors``: each
+    template's (word, offset) places, rarest first. Rarity is the inverse
+    frequency of a word over the templates.
+    """
 
     templates: list[Template] = field(default_factory=list)
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    anchors: list[list[tuple[bytes, int]]] = field(default_factory=list)
     idf: dict[bytes, float] = field(default_factory=dict)
 
     @classmethod
@@ -108,27 +113,51 @@ class Index:
                 index.idf[w] = index.idf.get(w, 0) + 1
         index.idf = {w: math.log(1 + n / c) for w, c in index.idf.items()}
         for k, t in enumerate(index.templates):
-            rare = sorted(set(t.words), key=lambda w: (-index.idf[w], w))[: 1 if t.base else RARE]
-            for i, w in enumerate(t.words):
-                if w in rare:
-                    index.postings.setdefault(w, []).append((k, i))
+            places = {(w, at + i) for at, key in t.keys for i, w in enumerate(key)}
+            index.anchors.append(sorted(places, key=lambda p: (-index.idf[p[0]], p)))
+            for w, i in sorted(places):
+                index.postings.setdefault(w, []).append((k, i))
         return index
 
+    def starts(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(template, start) where all of a template's mandatory words stand in their relative places.
+
+        The file's licence words are taken by rarity. A word leads to the
+        templates whose rarest mandatory word it is; their starts are the
+        intersection, word by word from the rarest, of the word's places
+        less its offset. A template with a mandatory word that the file
+        lacks is left at once.
+        """
+        places: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.postings:
+                places.setdefault(w, []).append(i)
+        out = []
+        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+            for k in sorted({k for k, _ in self.postings[w] if self.anchors[k][0][0] == w}):
+                anchors = self.anchors[k]
+                if any(a not in places for a, _ in anchors):
+                    continue
+                found = {i - anchors[0][1] for i in places[w]}
+                for a, offset in anchors[1:]:
+                    if not found:
+                        break
+                    found &= {i - offset for i in places[a]}
+                out += [(k, s) for s in found if s >= 0 or not self.templates[k].base]
+        return sorted(out)
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[str, float]]:
         """(places of base phrases as (start, template), the best match by label).
 
-        A posting of a rare word that the file has fixes where its template
-        would start; postings that agree on a start are one candidate. Its
-        key phrases must all stand in their places, and ``LEAST`` of its
-        words in theirs. A base phrase is its own key phrase, so every place
-        of it is found from its rarest word.
+        A start stands if the key phrases do, and ``LEAST`` of the template's
+        words are in their places; around a key phrase the lead may differ.
+        A base phrase is its own key phrase.
         """
         base: list[tuple[int, int]] = []
         found: dict[str, float] = {}
         if self.postings.keys().isdisjoint(words):
             return base, found
-        starts = {(k, i - offset) for i, w in enumerate(words) if w in self.postings for k, offset in self.postings[w]}
-        for k, start in sorted(starts):
+        for k, start in self.starts(words):
             t = self.templates[k]
             if any(start + at < 0 or words[start + at : start + at + len(key)] != key for at, key in t.keys):
                 continue
@@ -137,7 +166,6 @@ class Index:
                 share = 1.0
             else:
                 share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
-                # a short notice is all key phrase; around a key phrase the lead may differ
                 if share < LEAST and sum(len(key) for _, key in t.keys) / len(t.words) < LEAST / 1.5:
                     continue
             found[t.label] = max(share, found.get(t.label, 0.0))
@@ -153,7 +181,8 @@ def scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     ``starts`` are the word places of all base phrases; score is the best
     match's share of its template's words that stand in their places, 0
     without a match. Null texts count as empty: no words, empty labels, score
-    0. Repeated rows stay; no rows give no rows; other columns are not read.
+    0; very long texts are scanned whole; of matches that tie all give their
+    labels. Repeated rows stay; no rows give no rows; other columns are not read.
     """
     index = index or Index.of()
     names = [x.split()[0] for x in SCAN.split(", ")]

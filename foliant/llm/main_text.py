@@ -18,11 +18,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset(
-    "head script style noscript template iframe object svg math canvas audio video form fieldset button select option textarea input label"
-    " nav menu aside footer dialog".split()
-)
-CONTAINER = frozenset("article main section div body".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video form fieldset button select option textarea input label".split())
+ASIDE = frozenset("nav menu aside footer header dialog".split())
+CONTAINER = frozenset("article main div body td".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Block elements whose start ends an open one of these, unless one of the second row stands between.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
@@ -35,6 +33,12 @@ BOILERPLATE = frozenset(
     " contentinfo complementary skip hidden outbrain taboola copyright legal disclaimer".split()
 )
 _TOKEN = re.compile(r"[a-z0-9]+")
+#: What a line's ratio counts inside an element named as boilerplate, and outside the article or main element where a page has one.
+NAMED, OUTSIDE = 0.02, 0.05
+#: A region is content from these shares of the largest mass and of the densities.
+MASS, DENSITY = 0.3, 1 / 6
+#: So many lines of links in a row are a menu.
+MENU = 3
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -48,7 +52,7 @@ class Line:
     container: int
     article: int
     heading: bool
-    ratio: float = 0.0
+    named: bool = False
 
 
 @dataclass(slots=True)
@@ -58,6 +62,7 @@ class _Open:
     container: int
     article: int
     soft: bool = False
+    named: bool = False
 
 
 @dataclass(slots=True)
@@ -73,14 +78,15 @@ class Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[_Open] = [_Open("", False, 0, 0)]
+        self.stack: list[_Open] = [_Open("", False, 0, 0, False, False)]
         self.block, self.links, self.count = _State(), 0, 0
+        self.parents: dict[int, int] = {}
 
     def flush(self) -> None:
         text = " ".join("".join(self.block.parts).split())
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.block.tags, self.block.linked, top.container, top.article, self.stack[-1].tag in HEADING))
+            self.lines.append(Line(text, self.block.tags, self.block.linked, top.container, top.article, top.tag in HEADING, top.named))
         self.block = _State()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -95,18 +101,23 @@ class Events(HTMLParser):
         if tag in VOID:
             return
         if tag in ("article", "main"):
-            # an unclosed, dropped element before the article doesn't reach into it
-            while len(self.stack) > 1 and self.stack[-1].dropped and self.stack[-1].soft:
+            # an unclosed element named as boilerplate, or hidden, before the article doesn't reach into it
+            while len(self.stack) > 1 and self.stack[-1].soft:
                 self.stack.pop()
         top = self.stack[-1]
         soft = hidden = False
         if attrs and not top.dropped:
             soft, hidden = self._marked(tag, dict(attrs))
-        dropped = top.dropped or tag in DROPPED or soft or hidden or (tag == "header" and not top.article)
+        dropped = top.dropped or tag in DROPPED or hidden
+        own = soft or tag in ASIDE
         self.count += 1
-        article = top.article or (self.count if tag in ("article", "main") and not dropped else 0)
-        container = self.count if tag in CONTAINER else top.container
-        self.stack.append(_Open(tag, dropped, container, article, soft or hidden))
+        article = top.article or (self.count if tag in ("article", "main") and not dropped and not own else 0)
+        container = top.container
+        if own or tag in CONTAINER and not top.article:
+            container = self.count
+            if not own:
+                self.parents[container] = top.container
+        self.stack.append(_Open(tag, dropped, container, article, soft or hidden, top.named or own))
         if tag == "a":
             self.links += 1
 
@@ -175,28 +186,63 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def content_lines(lines: list[Line]) -> list[Line]:
+def ratios(lines: list[Line]) -> list[float]:
+    """Each line's unlinked text by its tags, less where its elements say that it is no content."""
+    inside = any(x.article for x in lines)
+    return [(len(x.text) - min(x.linked, len(x.text))) / x.tags * (NAMED if x.named else 1) * (OUTSIDE if inside and not x.article else 1) for x in lines]
+
+
+def regions_of(lines: list[Line], parents: dict[int, int]) -> list[int]:
+    """Each line's region: its container, or the nearest one above that has more than one line."""
+    of = [x.container for x in lines]
+    while True:
+        count: dict[int, int] = {}
+        for c in of:
+            count[c] = count.get(c, 0) + 1
+        up = [parents[c] if count[c] == 1 and c in parents else c for c in of]
+        if up == of:
+            return of
+        of = up
+
+
+def content_lines(lines: list[Line], parents: dict[int, int]) -> list[Line]:
     """The lines of the content regions.
 
-    A line's ratio is its unlinked text by its tags. Where the smoothed ratio
-    reaches the threshold (the less of its mean and half its maximum) lines
-    form clusters; if a cluster stands in an article or main element, so must
-    all. A cluster's region is its article, or else its container: the
-    headings and short lines there belong to it, navigation made of links
-    does not.
+    The ratios of a region's lines are smoothed along it; its density is
+    their mean by text, its mass density times text. The regions that come
+    near the one of the largest mass (``MASS``, ``DENSITY``; an article by its
+    density alone) are the content, with all their lines but runs of ``MENU`` and more lines of links. A
+    heading right before such a region belongs to it.
     """
-    if not lines:
+    raw, of = ratios(lines), regions_of(lines, parents)
+    regions: dict[int, list[int]] = {}
+    for k, c in enumerate(of):
+        regions.setdefault(c, []).append(k)
+    density, mass = {}, {}
+    for c, own in regions.items():
+        size = sum(len(lines[k].text) for k in own)
+        density[c] = sum(r * len(lines[k].text) for r, k in zip(smoothed([raw[k] for k in own]), own)) / size
+        mass[c] = density[c] * size
+    most = max(mass.values(), default=0.0)
+    if not most:
         return []
-    ratios = smoothed([(len(x.text) - min(x.linked, len(x.text))) / x.tags for x in lines])
-    bar = min(sum(ratios) / len(ratios), max(ratios) / 2)
-    dense = [x for x, r in zip(lines, ratios) if r >= bar and (2 * x.linked < len(x.text))]
-    dense = dense or [x for x in lines if 2 * x.linked < len(x.text)] or lines
-    articles = {x.article for x in dense if x.article}
-    if articles or any(x.article for x in lines):
-        articles = articles or {x.article for x in lines if x.article}
-        return [x for x in lines if x.article in articles]
-    regions = {x.container for x in dense}
-    return [x for x in lines if x.container in regions and (2 * x.linked < len(x.text) or x.heading)]
+    dense = max(density[c] for c in regions if mass[c] == most)
+    content = {c for c, own in regions.items() if density[c] >= DENSITY * dense and (mass[c] >= MASS * most or lines[own[0]].article)}
+    keep = [c in content for c in of]
+    for c in content:
+        run: list[int] = []
+        for k in [*regions[c], -1]:
+            if k >= 0 and 2 * lines[k].linked >= len(lines[k].text) and not lines[k].heading:
+                run.append(k)
+                continue
+            if len(run) >= MENU:
+                for i in run:
+                    keep[i] = False
+            run = []
+    for k in range(len(lines) - 2, -1, -1):
+        if lines[k].heading and keep[k + 1] and not lines[k].named and (lines[k].article or not lines[k + 1].article):
+            keep[k] = True
+    return [x for x, yes in zip(lines, keep) if yes]
 
 
 def main_text(html: str | None) -> str:
@@ -207,14 +253,16 @@ def main_text(html: str | None) -> str:
     events.feed(html)
     events.close()
     events.flush()
-    return "\n".join(x.text for x in content_lines(events.lines))
+    return "\n".join(x.text for x in content_lines(events.lines, events.parents))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from the whole html.
 
-    Null and empty pages, and pages without text, have an empty text.
-    Repeated rows stay; no rows give no rows; other columns are not read.
+    Null and empty pages, and pages without text outside of links, have an
+    empty text; very long pages are parsed whole; of regions that tie all are
+    content. Repeated rows stay; no rows give no rows; other columns are not
+    read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.shared import materialise, shared_path
+from foliant.plans.shared import materialise, shared_path, side, trim
 from foliant.sources.files import open_input, open_output
 
 #: Samples in a row of the stored picture; a payload is padded to full rows.
@@ -25,6 +25,7 @@ HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 INDEX = "doc_id long, digest string, shard string, offset long, length long"
+PLACED = f"{INDEX}, t1 long, t2 long, shared boolean"
 FEATURES = "width int, height int, bit_depth int, colour int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -80,14 +81,17 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame, folder: str, shard_bytes: int = 1 << 30) -> DataFrame:
-    """Writes every text's picture to tar shards under ``folder``; gives the index (``INDEX``), one row for each row.
-
-    A member is named by the SHA-256 of its bytes. A task writes its own
-    shards (a new one after ``shard_bytes``) and each picture once in them,
-    so there is no shuffle of payloads, and a payload that a third of all
-    rows share is held once for each task, not once for each row. A repeated
-    task attempt writes files of other names; only the files in the index,
-    which is itself a written table, are ever read.
+    """Writes each different text's picture once to tar shards under ``folder``; gives the index (``INDEX``), one row for each row.
+
+    Content decides: a text is known by 128 bits of hash, and of rows that
+    share one only those of the smallest doc_id (nulls first) write it, so no
+    payload is shuffled and one that a third of all rows share is stored
+    once. The other rows get the place of that copy from the index. Should
+    rows repeat a doc_id and a text in different tasks, the least place
+    counts for all. A member is named by the SHA-256 of its bytes. A task
+    writes its own shards (a new one after ``shard_bytes``). A repeated task
+    attempt writes files of other names; only the files in the index, which
+    is itself a written table, are ever read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +99,9 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 1 << 30) -> DataFrame
         try:
             for batch in batches:
                 rows = []
-                for data in batch.column(1).cast(pa.binary()):
-                    payload = pad(data.as_py() or b"")
-                    key = hashlib.sha256(payload).digest()
-                    if key not in have:
-                        media = to_png(payload)
+                for data, k1, k2 in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    if (k1, k2) not in have:
+                        media = to_png(pad(data.as_py() or b""))
                         digest = hashlib.sha256(media).hexdigest()
                         if out is None or at > shard_bytes:
                             if out:
@@ -111,21 +113,34 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 1 << 30) -> DataFrame
                         info.size = len(media)
                         fill = bytes(-len(media) % 512)
                         out.write(info.tobuf(tarfile.USTAR_FORMAT) + media + fill)
-                        have[key] = (digest, name, at + 512, len(media))
+                        have[k1, k2] = (digest, name, at + 512, len(media))
                         at += 512 + len(media) + len(fill)
-                    rows.append(have[key])
+                    rows.append(have[k1, k2])
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                    ["doc_id", "digest", "shard", "offset", "length"],
+                    [batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), *batch.columns[2:5]],
+                    ["doc_id", "digest", "shard", "offset", "length", "t1", "t2", "shared"],
                 )
         finally:
             if out:
                 out.write(bytes(1024))
                 out.close()
-
-    index = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
-    return materialise(index, "media-index", f"{folder}/index")
+        trim()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
+    copied = materialise(named.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("t1", "t2", F.col("first.doc_id").alias("owner")), "copied")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    # the owner column is null both without copies and for a null id: a mark tells them apart
+    rows = rows.join(side(copied.withColumn("shared", F.lit(True))), ["t1", "t2"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    writers = rows.where(~F.col("shared") | F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", "t1", "t2", "shared")
+    placed = materialise(writers.mapInArrow(run, PLACED), "media-places", f"{folder}/places")
+    cols = ["digest", "shard", "offset", "length"]
+    place = F.min(F.struct(*[F.col(c) for c in cols])).alias("place")
+    once = placed.where("shared").groupBy("t1", "t2").agg(place)
+    others = named.join(side(once), ["t1", "t2"]).select("doc_id", *[F.col(f"place.{c}").alias(c) for c in cols])
+    return materialise(placed.where("not shared").select("doc_id", *cols).union(others), "media-index", f"{folder}/index")
 
 
 def describe(index: DataFrame) -> DataFrame:
@@ -171,8 +186,8 @@ def describe(index: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Index and features of every row's text, stored as an 8-bit grey picture.
 
-    Null texts count as empty; equal texts have equal values in all columns
-    but shard and offset; repeated rows and null ids stay; no rows give no
-    rows; other columns are ignored.
+    Null texts count as empty; very long texts are stored whole; equal texts
+    have equal values in all columns, shard and offset too; repeated rows and
+    null ids stay; no rows give no rows; other columns are ignored.
     """
     return describe(store(docs, folder or shared_path(docs.sparkSession, "media")))

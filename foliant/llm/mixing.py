@@ -35,8 +35,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("__size", size).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "__size"))
+    """(row, source, __size, __h): each row in a struct of its own, so that no name of it meets one used here."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.col("source").cast("string").alias("source"), size.alias("__size"))
+    return rows.select("row", "source", "__size", F.xxhash64(F.lit(seed), "i", "__size").alias("__h"))
+
+
+def free_names(names: list[str], taken: list[str]) -> dict[str, str]:
+    """Each name, behind "mix_" as often as it takes for none to be among ``taken`` (whatever the case)."""
+    used, prefix = {x.lower() for x in taken}, ""
+    while any(prefix + n in used for n in names):
+        prefix += "mix_"
+    return {n: prefix + n for n in names}
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float, n_shards: int, rows_per_block: int, seed: int, whole: bool) -> tuple[DataFrame, int]:
@@ -91,6 +101,21 @@ def plan(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float,
     return materialise(out.select(F.col("source").alias("__source"), F.col("__block").alias("__blk"), "source_size", "target", "full", "words", "extra", "cut", "shards"), "draws"), n_blocks
 
 
+def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, n_shards: int, rows_per_block: int, seed: int, whole: bool) -> DataFrame:
+    """(row, size, source_size, target, taken, draws) of every row."""
+    sized = _sized(docs, seed)
+    quotas, n_blocks = plan(sized, weights, share, cap, n_shards, rows_per_block, seed, whole)
+    rows = sized.withColumn("__block", F.pmod("__h", F.lit(n_blocks)).cast("int"))
+    rows = rows.join(side(quotas, 50_000), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__blk")))
+    more = F.when(F.col("extra") == F.col("words"), F.col("__size"))
+    more = more.when((F.col("extra") > 0) & (F.col("__h") < F.col("cut.__h")), F.col("__size"))
+    more = more.when((F.col("extra") > 0) & (F.col("__h") == F.col("cut.__h")), F.col("cut.w")).otherwise(F.lit(0))
+    rows = rows.withColumn("__more", more.cast("long"))
+    drawn = F.transform("shards", lambda s, i: F.struct(s.alias("shard"), F.when(i < F.col("full"), F.col("__size")).otherwise(F.col("__more")).alias("words"), F.xxhash64(F.lit(seed + 99), i, "__h").alias("key")))
+    drawn = F.filter(F.coalesce(drawn, F.array()), lambda d: d["words"] > 0)
+    return rows.select("row", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("full") + F.col("__more")).alias("taken"), drawn.alias("draws"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, rows_per_block: int = 4096, seed: int = 17, whole: bool = False) -> DataFrame:
     """``docs`` with size, source_size, target, taken and draws (an array of shard, words, key).
 
@@ -105,31 +130,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     equal number. ``key`` orders a draw inside its shard: shards are shuffled
     locally by it. Everything follows from ``seed`` and the rows: reruns agree.
 
-    Null texts and texts without words have size 0 and no draws. A null
-    source is a source. Rows that repeat a doc_id and a size share one fate.
-    An empty table gives no rows. Columns of ``docs`` named like an added one
-    are replaced; others are kept.
+    Null texts and texts without words have size 0 and no draws; very long
+    texts are counted whole. A null source is a source. Rows that repeat a
+    doc_id and a size share one fate. An empty table gives no rows. All
+    columns of ``docs`` stay as they are; if one has the name of an added
+    one, all added ones stand behind "mix_" (see ``free_names``).
     """
-    added = ["size", "source_size", "target", "taken", "draws"]
-    kept = [c for c in docs.columns if c not in added]
-    sized = _sized(docs.select(*kept), seed)
-    quotas, n_blocks = plan(sized, weights, share, cap, n_shards, rows_per_block, seed, whole)
-    rows = sized.withColumn("__block", F.pmod("__h", F.lit(n_blocks)).cast("int"))
-    rows = rows.join(side(quotas, 50_000), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__blk")))
-    more = F.when(F.col("extra") == F.col("words"), F.col("__size"))
-    more = more.when((F.col("extra") > 0) & (F.col("__h") < F.col("cut.__h")), F.col("__size"))
-    more = more.when((F.col("extra") > 0) & (F.col("__h") == F.col("cut.__h")), F.col("cut.w")).otherwise(F.lit(0))
-    rows = rows.withColumn("__more", more.cast("long"))
-    drawn = F.transform("shards", lambda s, i: F.struct(s.alias("shard"), F.when(i < F.col("full"), F.col("__size")).otherwise(F.col("__more")).alias("words"), F.xxhash64(F.lit(seed + 99), i, "__h").alias("key")))
-    drawn = F.filter(F.coalesce(drawn, F.array()), lambda d: d["words"] > 0)
-    return rows.select(
-        *kept, F.col("__size").alias("size"), "source_size", "target",
-        (F.col("__size") * F.col("full") + F.col("__more")).alias("taken"), drawn.alias("draws"),
-    )
+    out = _drawn(docs, weights, share, cap, n_shards, rows_per_block, seed, whole)
+    names = free_names(["size", "source_size", "target", "taken", "draws"], docs.columns)
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in names.items()])
+
 
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, rows_per_block: int = 4096, seed: int = 17) -> DataFrame:
+    """One row of ``docs`` for each draw of a whole document, with its shard and key (names as in ``mix``)."""
+    out = _drawn(docs, weights, share, cap, n_shards, rows_per_block, seed, True).select("row", F.explode("draws").alias("d"))
+    names = free_names(["shard", "key"], docs.columns)
+    return out.select("row.*", *[F.col(f"d.{c}").alias(n) for c, n in names.items()])
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """One row of ``docs`` for each draw of a whole document, with its shard and key."""
-    cols = docs.columns
-    out = mix(docs, whole=True, **how).select(*cols, F.explode("draws").alias("__d"))
-    return out.select(*cols, F.col("__d.shard").alias("mix_shard"), F.col("__d.key").alias("mix_key"))
+
+def laid_out(docs: DataFrame, n_shards: int = 8, **how) -> DataFrame:
+    """``mixed_rows`` as they are to be written: each shard in partitions of its own, shuffled by the keys; only ``docs``'s columns.
+
+    A shard is dealt over as many partitions as the session's shuffle has for each.
+    """
+    names = free_names(["shard", "key"], docs.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = mixed_rows(docs, n_shards=n_shards, **how)
+    shard, key = F.col(names["shard"]), F.col(names["key"])
+    dealt = rows.repartition(max(parts, n_shards), shard, F.pmod(key, F.lit(max(1, parts // n_shards))))
+    return dealt.sortWithinPartitions(shard, key).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.shared import side
+
 # Neutral names of groups; a term may be swapped for another of its row.
 IDENTITY_TERMS = (
     ("women", "men", "gays", "lesbians", "immigrants", "refugees", "muslims", "christians", "jews", "buddhists", "hindus", "atheists"),
@@ -23,6 +25,7 @@ IDENTITY_TERMS = (
 _GROUP = {t: row for row in IDENTITY_TERMS for t in row}
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 #: A weight starts at, and is drawn to, this share of the feature's log-odds less so many standard errors.
 PRIOR, DOUBT = 0.8, 2.5
 #: Lengths of word beginnings that are features beside whole words.
@@ -43,6 +46,24 @@ def _all(words: set[str]) -> set[str]:
     return {f for w in words for f in features(w)}
 
 
+def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """(features gained, features lost) by each sentence of the text in which one term of a group gives way to another of its row."""
+    out = []
+    for sentence in _SENTENCE.split(text or ""):
+        words = words_in(sentence)
+        named = sorted(words & _GROUP.keys())
+        if not named:
+            continue
+        have = _all(words)
+        for w in named:
+            rest = _all(words - {w})
+            for other in _GROUP[w]:
+                if other not in words:
+                    new = rest | set(features(other))
+                    out.append((new - have, have - new))
+    return out
+
+
 class Classifier:
     """Weights of features that a text has or hasn't; only chosen features have any."""
 
@@ -96,17 +117,19 @@ def fit(active: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int]
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, most_features: int = 20_000, least_docs: int = 3, least_z: float = 3.5) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), most_rows: int = 20_000, least_docs: int = 3, least_z: float = 3.5) -> Classifier:
     """A classifier of ``labels.toxic`` on the texts of ``docs``.
 
     Learned from a sample of about ``most_rows`` labelled documents (the
     stated bound of the fit), chosen by a hash of the doc_id; documents whose
     crc32(doc_id) mod ``held_out[0]`` is ``held_out[1]`` are left out.
-    Features that at least ``least_docs`` toxic texts have and whose log-odds
-    are ``least_z`` standard errors up, at most ``most_features`` of them,
-    are counted on the executors. A text that names a group (IDENTITY_TERMS)
-    gives, for each other term of the row, a swap whose score change is
-    penalised. Null toxic labels and null doc_ids are left out; a doc_id with
+    All features that at least ``least_docs`` toxic texts have and whose
+    log-odds are ``least_z`` standard errors up have weights; they are counted
+    on the executors. Evidence is for label 1 only: clean words around an
+    insult don't take from it. A sentence that names a group (IDENTITY_TERMS)
+    gives, for each such term and each other term of its row, the sentence
+    with the other term; the change of its score is penalised. Null texts
+    have no features. Null toxic labels and null doc_ids are left out; a doc_id with
     several labels counts with each of them. Without both labels the score is
     the share of label 1.
     """
@@ -118,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
     if n > most_rows:
         lot = F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1_000_000)) / 1_000_000.0
         marks = marks.where(lot < most_rows / n)
-    chosen = F.broadcast(marks)  # about most_rows rows
+    chosen = side(marks)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("__id")).select("y", "text")
 
     def counted(which: int, only):
@@ -138,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
 
     positive = sample.mapInArrow(counted(1, None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.expr(f"n >= {least_docs} or f = ''"))
     # rarer features of toxic texts can't be sure; the rest are bounded by the sample
-    pos = {r.f: r.n for r in positive.orderBy(F.desc("n"), "f").limit(20 * most_features).collect()}
+    pos = {r.f: r.n for r in positive.collect()}
     n_pos = pos.pop("", 0)
     only = spark.sparkContext.broadcast(frozenset(pos))
     neg = {r.f: r.n for r in sample.mapInArrow(counted(0, only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
@@ -153,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
         if z >= least_z:
             ranked.append((-z, f, max(0.0, odds * (1 - DOUBT / z))))
-    ranked = sorted(ranked)[:most_features]
+    ranked.sort()
     names, prior = [f for _, f, _ in ranked], PRIOR * np.array([o for _, _, o in ranked])
     place = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
@@ -162,16 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
         for batch in batches:
             out = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_in(text)
-                have = _all(words)
-                swaps = []
-                for w in sorted(words & _GROUP.keys()):
-                    rest = _all(words - {w})
-                    for other in _GROUP[w]:
-                        if other != w:
-                            new = rest | set(features(other))
-                            swaps.append({"gain": [at[f] for f in sorted(new - have) if f in at], "lose": [at[f] for f in sorted(have - new) if f in at]})
-                out.append({"y": y, "active": sorted(at[f] for f in have if f in at), "swaps": [s for s in swaps if s["gain"] or s["lose"]]})
+                swaps = [{"gain": sorted(at[f] for f in gain if f in at), "lose": sorted(at[f] for f in lose if f in at)} for gain, lose in counterfactuals(text)]
+                out.append({"y": y, "active": sorted(at[f] for f in _all(words_in(text)) if f in at), "swaps": [s for s in swaps if s["gain"] or s["lose"]]})
             kind = pa.schema([("y", pa.int32()), ("active", pa.list_(pa.int32())), ("swaps", pa.list_(pa.struct([("gain", pa.list_(pa.int32())), ("lose", pa.list_(pa.int32()))])))])
             yield pa.RecordBatch.from_pylist(out, kind)
 
@@ -186,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
 def scores(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, score) of every row: the probability of label 1, from the whole text alone.
 
-    Null and empty texts have the score of a text without features. Repeated
-    rows stay; no rows give no rows; other columns are not read.
+    Null and empty texts have the score of a text without features; very long
+    texts are read whole. Repeated rows stay; no rows give no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from foliant.llm.licenses import BASE, Index, scan, words_of
+from foliant.llm.licenses import BASE, LEAST, Index, scan, words_of
 from foliant.llm.main_text import content_lines, extract, main_text, smoothed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -37,6 +37,42 @@ def test_every_base_place_is_found(spark, edge, empty):
     assert scan(edge).count() == 12 and scan(empty).count() == 0
 
 
+def brute_matches(index, words):
+    """Every template at every place."""
+    base, found = [], {}
+    for k, t in enumerate(index.templates):
+        for start in range(-len(t.words), len(words)):
+            if any(start + at < 0 or words[start + at : start + at + len(key)] != key for at, key in t.keys):
+                continue
+            share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
+            if t.base:
+                base.append((start, k))
+            elif share < LEAST and sum(len(key) for _, key in t.keys) / len(t.words) < LEAST / 1.5:
+                continue
+            found[t.label] = max(1.0 if t.base else share, found.get(t.label, 0.0))
+    return sorted(base), found
+
+
+def test_labels_and_scores_equal_brute_force():
+    rng = random.Random(17)
+    index = Index.of()
+    vocab = sorted({w for t in index.templates for w in t.words}) + [b"other", b"word"]
+    found = set()
+    for k in range(300):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            notice = list(rng.choice(index.templates).words)
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                notice[rng.randrange(len(notice))] = rng.choice(vocab)
+            if k % 5 == 0 and len(notice) > 3:
+                del notice[rng.randrange(len(notice))]
+            words[rng.randint(0, len(words)) : 0] = notice
+        got = index.scan(words)
+        assert got == brute_matches(index, words)
+        found |= got[1].keys()
+    assert len(found) > 12
+
+
 def test_long_notices_need_their_key_phrases():
     index = Index.of()
     notice = next(n for n in index.templates if n.label == "mit" and len(n.words) > 20)
@@ -77,7 +113,32 @@ def test_ratios_find_the_content_without_an_article():
 def test_smoothing_keeps_constants():
     assert smoothed([2.0] * 7) == pytest.approx([2.0] * 7)
     assert smoothed([0, 0, 9, 0, 0])[2] == max(smoothed([0, 0, 9, 0, 0]))
-    assert content_lines([]) == []
+    assert content_lines([], {}) == []
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+
+
+def made_page(rng, outer, inner, names):
+    """(html, text): an article of a heading, paragraphs and a list in ``inner`` elements, amid what isn't content."""
+    lines = [sentence(rng, 6)] + [sentence(rng, rng.randint(25, 60)) for _ in range(rng.randint(2, 5))] + [sentence(rng, rng.randint(2, 5)) for _ in range(3)] + [sentence(rng, 40)]
+    paragraphs, listed = lines[1:-4], lines[-4:-1]
+    body = f"<h1>{lines[0]}</h1>" + "".join(f"<{inner}>{p}</{inner}>" for p in paragraphs) + "<ul>" + "".join(f"<li>{x}" for x in listed) + f"</ul><p>{lines[-1]}"
+    marked = lambda kind, text: f'<div class="{kind}">{text}</div>' if names else f"<div>{text}</div>"
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">{sentence(rng, 2)}</a></li>' for k in range(6)) + "</ul>"
+    more = [marked("ad", sentence(rng, 6)), marked("cookie-notice", f"{sentence(rng, 4)} <button>OK</button>"), f"<form><p>{sentence(rng, 30)}</p><input></form>"]
+    rng.shuffle(more)
+    end = marked("footer", f"&copy; {sentence(rng, 5)}")
+    return f"<html><head><title>x</title><script>var a = '<p>{sentence(rng, 50)}</p>';</script></head><body>{marked('menu', menu)}{''.join(more[:2])}<{outer}>{body}</{outer}>{more[2]}{end}</body></html>", "\n".join(lines)
+
+
+@pytest.mark.parametrize("outer, names, least", [("article", True, 40), ("article", False, 40), ("div", True, 40), ("div", False, 38)])
+def test_made_pages(outer, names, least):
+    """With and without an article element, and with and without telling class names."""
+    rng = random.Random(18)
+    pages = [made_page(rng, outer, rng.choice(["p", "div"]), names) for _ in range(40)]
+    assert sum(main_text(html) == text for html, text in pages) >= least
 
 
 def test_pages(spark):

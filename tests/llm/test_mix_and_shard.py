@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm.mixing import mix, mixed_rows, targets
+from foliant.llm.mixing import _sized, free_names, laid_out, mix, mixed_rows, targets
 from foliant.llm.sharding import CapacityTree, best_fit_decreasing, pack, shard
+from foliant.plans.shared import buckets_for
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
@@ -39,6 +40,7 @@ def test_targets(spark):
 
 @pytest.mark.parametrize("per_block", [4, 4096])
 def test_each_source_comes_to_its_target(corpus, per_block):
+    corpus = corpus.select("doc_id", "text", "source")
     rows = mix(corpus, rows_per_block=per_block).collect()
     assert len(rows) == corpus.count()
     taken, target = Counter(), {}
@@ -54,7 +56,7 @@ def test_each_source_comes_to_its_target(corpus, per_block):
 
 
 def test_shards_get_equal_numbers_of_draws(corpus):
-    rows = mix(corpus, rows_per_block=4, n_shards=4).collect()
+    rows = mix(corpus.drop("size", "target"), rows_per_block=4, n_shards=4).collect()
     blocks = Counter()
     for r in rows:
         for d in r.draws:
@@ -64,10 +66,52 @@ def test_shards_get_equal_numbers_of_draws(corpus):
 
 def test_mix_edges(edge, empty):
     rows = mix(edge).collect()
-    assert len(rows) == 12 and all(r.taken == 0 for r in rows if not r.size)
-    assert set(edge.columns) | {"source_size", "taken", "draws"} == set(mix(edge).columns)
-    assert mix(empty).count() == 0 and mixed_rows(empty).count() == 0
-    assert set(edge.columns) <= set(mixed_rows(edge).columns)
+    assert len(rows) == 12 and all(r.mix_taken == 0 for r in rows if not r.mix_size)
+    assert mix(edge).columns == edge.columns + ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_draws"]
+    kept = sorted(str(tuple(r)) for r in edge.collect())
+    assert sorted(str(tuple(r)[: len(edge.columns)]) for r in rows) == kept  # clashing columns keep their values
+    assert mix(empty).count() == 0 and mixed_rows(empty).count() == 0 and laid_out(empty).count() == 0
+    drawn = mixed_rows(edge)
+    assert drawn.columns == edge.columns + ["mix_shard", "mix_key"]
+    assert {str(tuple(r)[: len(edge.columns)]) for r in drawn.collect()} <= set(kept)
+    assert sorted(str(tuple(r)) for r in laid_out(edge).collect()) == sorted(str(tuple(r)[: len(edge.columns)]) for r in drawn.collect())
+
+
+def test_clashing_names_that_are_taken_twice():
+    assert free_names(["size", "key"], ["doc_id"]) == {"size": "size", "key": "key"}
+    assert free_names(["size", "key"], ["SIZE", "mix_key"]) == {"size": "mix_mix_size", "key": "mix_mix_key"}
+
+
+def test_written_partitions_hold_shuffled_shards(corpus):
+    rows = mixed_rows(corpus.drop("shard"), n_shards=4, rows_per_block=4)
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r.shard].append((r.key, r.doc_id))
+    out = laid_out(corpus.drop("shard"), n_shards=4, rows_per_block=4)
+    parts = defaultdict(list)
+    for r in out.select("doc_id", F.spark_partition_id().alias("p")).collect():
+        parts[r.p].append(r.doc_id)
+    runs = {tuple(i for _, i in sorted(v)) for v in want.values()}
+    assert sum(map(len, parts.values())) == sum(map(len, runs))
+    for ids in parts.values():  # each partition is the shards' shuffled runs, or parts of them, end to end
+        at = 0
+        for run in sorted(want):
+            order = [i for _, i in sorted(want[run])]
+            mine = ids[at:]
+            k = 0
+            for i in order:
+                if k < len(mine) and mine[k] == i:
+                    k += 1
+            at += k
+        assert at == len(ids)
+
+
+def test_a_block_has_a_bounded_number_of_rows(spark):
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("hot").alias("source"))
+    for per_block in (512, 4096):
+        blocks = buckets_for(60_000, per_block, 16)
+        most = _sized(df, 17).groupBy(F.pmod("__h", F.lit(blocks))).count().agg(F.max("count")).first()[0]
+        assert most <= 1.3 * per_block
 
 
 def test_tree_finds_the_tightest_bin():

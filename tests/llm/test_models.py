@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -107,7 +108,26 @@ def test_held_out_rows_are_not_learned(spark):
     hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     spoiled = docs.withColumn("text", F.when(hidden, F.lit("zzz")).otherwise(F.col("text")))
     a, b = langid.train(docs), langid.train(spoiled)
-    assert all((x == y).all() for x, y in zip(a.logp, b.logp))
+    assert all((x == y).all() for x, y in zip(a.tables[0].logp, b.tables[0].logp))
+
+
+def test_any_number_of_languages(monkeypatch):
+    """Tables of a few languages side by side give what one table of all gives."""
+    rng = random.Random(20)
+    names = [f"l{k:02}" for k in range(11)]
+    texts = {n: [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 8]) for _ in range(5)) for _ in range(40))] for k, n in enumerate(names)}
+    grams, counts = [], []
+    for n in names:
+        full = kneser_ney(texts[n])[5]
+        grams.append(np.array([[ord(c) for c in g] for g in full], np.uint32))
+        counts.append(np.array(list(full.values())))
+    one = langid.Model(names, grams, counts)
+    monkeypatch.setattr(langid, "BESIDE", 4)
+    few = langid.Model(names, grams, counts)
+    some = [texts[n][0] for n in names] + ["", "zz 99"]
+    assert (len(one.tables), len(few.tables)) == (1, 3)
+    assert np.allclose(one.entropies(some)[0], few.entropies(some)[0])
+    assert [p[0] for p in few.predict(some)][: len(names)] == names
 
 
 def labelled(spark, n=400):
@@ -141,6 +161,54 @@ def test_toxic_words_are_learned_and_group_names_are_not(spark, edge, empty):
     assert len(set(blank)) == 1 and blank[0] < 0.3
 
 
+def loss(w, b, active, y, swaps, prior, l2, pull):
+    """The objective, written out."""
+    total = 0.0
+    for a, t in zip(active, y):
+        z = b + sum(w[k] for k in a)
+        total += np.logaddexp(0, z) - t * z
+    total /= len(y)
+    if swaps:
+        total += pull * sum((sum(w[k] for k in gain) - sum(w[k] for k in lose)) ** 2 for gain, lose in swaps) / len(swaps)
+    return total + l2 * sum((w - prior) ** 2)
+
+
+def test_the_fit_is_the_minimum():
+    """No small step from the fit, along any weight, makes the written-out objective less."""
+    rng = random.Random(21)
+    n = 8
+    active = [sorted({rng.randrange(n) for _ in range(rng.randint(0, 4))}) for _ in range(120)]
+    y = np.array([float(rng.random() < (0.8 if 1 in a else 0.2)) for a in active])
+    swaps = [([2], [3]), ([4, 5], [1])]
+    prior = np.array([rng.random() for _ in range(n)])
+    w, b = toxicity.fit(active, y, swaps, prior, l2=0.01, pull=2.0, steps=4000)
+    here = loss(w, b, active, y, swaps, prior, 0.01, 2.0)
+    for k in range(n):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, b, active, y, swaps, prior, 0.01, 2.0) > here
+    assert min(loss(w, b + s, active, y, swaps, prior, 0.01, 2.0) for s in (-0.05, 0.05)) > here
+
+
+def test_scores_equal_the_sum_of_all_features(spark):
+    docs, labels = labelled(spark, 200)
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scores(docs, model).collect():
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", texts[r.doc_id])}
+        have = {f for w in words for f in [w, *[w[:k] + "*" for k in (4, 5, 6) if len(w) > k]]}
+        z = model.bias + sum(v for f, v in model.weights.items() if f in have)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_counterfactuals_stay_in_their_sentence():
+    got = toxicity.counterfactuals("The women sang. Men and men danced! Nobody else")
+    assert len(got) == 22 and all(lose <= {"women", "wome*", "men"} for _, lose in got)
+    assert ({"jews"}, {"men"}) in got and ({"jews"}, {"women", "wome*"}) in got
+    assert toxicity.counterfactuals(None) == toxicity.counterfactuals("") == []
+
+
 def test_pull_towards_equal_scores():
     active = [[0], [0], [1], []] * 10
     y = np.array([1.0, 1.0, 0.0, 0.0] * 10)
