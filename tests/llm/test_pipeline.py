@@ -1,10 +1,12 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from foliant.llm.trie_join import near_components
 from foliant.plans.shared import materialise
 
-from .conftest import prose
+from .conftest import SCHEMA, prose, rows
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -42,3 +44,39 @@ def test_near_duplicates_go_by_similarity_of_five_words(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert {r.doc_id for r in got.collect()} == set(range(20)) | set(range(200, 220))
+
+
+def run_on(spark, folder, docs, benchmark=(), labels=()):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_an_empty_table_and_one_that_is_all_rejected(spark, empty, tmp_path):
+    assert run_on(spark, tmp_path / "a", empty).count() == 0
+    odd = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(["123", None, "", "?!"] * 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert run_on(spark, tmp_path / "b", odd).count() == 0
+
+
+def test_null_ids_clashing_columns_repeats_and_long_texts(spark, tmp_path):
+    rng = random.Random(19)
+    leak, copy, long = prose(rng, 30), prose(rng, 50), prose(rng, 40_000)
+    pairs = [(i, prose(rng, rng.randint(30, 60))) for i in range(60)]
+    pairs += [(None, copy), (None, copy), (60, copy), (61, long), (None, prose(rng, 20) + " " + leak), (62, prose(rng, 30)), (62, prose(rng, 31))]
+    docs = spark.createDataFrame(rows(pairs), SCHEMA)
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("source", F.coalesce("source", F.lit("s9")))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        (tmp_path / name).mkdir()
+        spark.createDataFrame([(0, leak)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        at = materialise(stage(spark, at, str(tmp_path)), name)
+        assert at.columns == docs.columns
+        if name == "near_duplicates":  # of the three copies the one that has an id
+            assert sorted((r.doc_id or -1) for r in at.where(F.col("text") == copy).collect()) == [60]
+            assert at.where("doc_id = 62").count() == 2 and at.where(F.col("text") == long).count() == 1
+        if name == "decontamination":
+            assert at.where(F.col("text").contains(leak)).count() == 0 and at.count() == 64
+        if name == "mixing":
+            assert at.select("size", "target").distinct().count() == 1  # the caller's own columns
+    out = corpus_pipeline.sharding(spark, at, str(tmp_path))
+    assert out.count() == at.count() > 0
