@@ -13,7 +13,14 @@ from foliant.operators.relational import bins, merged_intervals
 
 NUMERIC = r"^[-+(]?[$€£]?\d[\d,. ]*\)?%?$"
 YEAR = r"^(19|20)\d\d$"
-H, W = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+
+
+def _tall() -> Column:
+    return F.col("y1") - F.col("y0")
+
+
+def _wide() -> Column:
+    return F.col("x1") - F.col("x0")
 
 
 def ruled_tables(rules: DataFrame, keys: list[str], widest: float, least: int = 3, snap: float = 2.0) -> DataFrame:
@@ -108,7 +115,7 @@ def assigned_cells(glyphs: DataFrame, cells: DataFrame, keys: list[str], glyph:
     g = glyphs.withColumn("__bin", F.explode(bins(F.col("x0"), F.col("x1"), width)))
     c = cells.withColumn("__bin", F.explode(bins(F.col("cx0"), F.col("cx1"), width)))
     centre = ((F.col("x0") + F.col("x1")) / 2).between(F.col("cx0"), F.col("cx1")) & ((F.col("y0") + F.col("y1")) / 2).between(F.col("cy0"), F.col("cy1"))
-    pair = g.join(c, [*keys, "__bin"]).withColumn("__r", _overlap() / (W * H)).withColumn("__in", centre)
+    pair = g.join(c, [*keys, "__bin"]).withColumn("__r", _overlap() / (_wide() * _tall())).withColumn("__in", centre)
     pair = pair.where("__r > 0 or __in").select(*keys, glyph, cell, "__r", "__in").distinct()
     best = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("__r").alias("r"), F.col(cell).alias("c")))))
     got = pair.groupBy(*keys, glyph).agg(best.alias("b"), F.count_if(F.col("__in")).alias("__n"))
@@ -184,11 +191,11 @@ def ruled_styles(lines: DataFrame, rules: DataFrame, keys: list[str], share: flo
     below, a strike within 0.15 of the middle; the rule's ``share`` lies
     along the line. Rules and lines meet by bands of the page.
     """
-    l = lines.withColumn("__band", F.explode(bins(F.col("y0"), F.col("y1") + 0.2 * H, band)))
+    l = lines.withColumn("__band", F.explode(bins(F.col("y0"), F.col("y1") + 0.2 * _tall(), band)))
     r = rules.select(*keys, "rule", F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), "y").withColumn("__band", F.floor(F.col("y") / band).cast("long"))
     pair = l.join(r, [*keys, "__band"]).withColumn("__w", F.least("x1", "rx1") - F.greatest("x0", "rx0"))
-    under = F.col("y").between(F.col("y1") - 0.1 * H, F.col("y1") + 0.2 * H)
-    strike = F.abs(F.col("y") - (F.col("y0") + F.col("y1")) / 2) <= 0.15 * H
+    under = F.col("y").between(F.col("y1") - 0.1 * _tall(), F.col("y1") + 0.2 * _tall())
+    strike = F.abs(F.col("y") - (F.col("y0") + F.col("y1")) / 2) <= 0.15 * _tall()
     pair = pair.withColumn("style", F.when(under, "underline").when(strike, "strikethrough")).where(F.col("style").isNotNull() & (F.col("__w") >= share * (F.col("rx1") - F.col("rx0"))))
     best = pair.groupBy(*keys, "rule").agg(F.max_by(F.struct("style", "idx"), F.struct("__w", -F.col("idx"))).alias("m"))
     return best.select(*keys, "rule", F.col("m.style").alias("style"), F.col("m.idx").alias("idx"))
@@ -206,8 +213,8 @@ def stacked_tiles(tiles: DataFrame, keys: list[str], touch: float = 1.0) -> Data
 
 def bar_charts(rects: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, base, width, n, x0, y0, x1): at least ``least`` bars of one width on one base line, of different heights."""
-    d = rects.withColumn("base", F.round("y1")).withColumn("width", F.round(W))
-    g = d.groupBy(*keys, "base", "width").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.round(H)).alias("__h"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
+    d = rects.withColumn("base", F.round("y1")).withColumn("width", F.round(_wide()))
+    g = d.groupBy(*keys, "base", "width").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.round(_tall())).alias("__h"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"))
     return g.where((F.col("n") >= least) & (F.col("__h") > 1)).drop("__h")
 
 
@@ -231,9 +238,9 @@ def equal_steps(ticks: DataFrame, keys: list[str], value: str, least: int = 3, t
 
 def crossing_axes(across: DataFrame, down: DataFrame, keys: list[str], long: float, tolerance: float, width: float = 100.0) -> DataFrame:
     """(keys, h, v): long horizontal (x0, x1, y) and vertical (x, y0, y1) rules that meet near the left end of one and the foot of the other."""
-    a = across.where(W >= long).select(*keys, F.col("idx").alias("h"), F.col("x0").alias("__x"), F.col("y").alias("__y"))
+    a = across.where(_wide() >= long).select(*keys, F.col("idx").alias("h"), F.col("x0").alias("__x"), F.col("y").alias("__y"))
     a = a.withColumn("__bin", F.explode(bins(F.col("__x") - tolerance, F.col("__x") + tolerance, width)))
-    b = down.where(H >= long).select(*keys, F.col("idx").alias("v"), "x", "y1").withColumn("__bin", F.floor(F.col("x") / width).cast("long"))
+    b = down.where(_tall() >= long).select(*keys, F.col("idx").alias("v"), "x", "y1").withColumn("__bin", F.floor(F.col("x") / width).cast("long"))
     near = (F.abs(F.col("x") - F.col("__x")) <= tolerance) & (F.abs(F.col("y1") - F.col("__y")) <= tolerance)
     return a.join(b, [*keys, "__bin"]).where(near).select(*keys, "h", "v")
 

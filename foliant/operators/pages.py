@@ -13,13 +13,20 @@ from pyspark.sql.window import Window
 
 from foliant.operators.relational import weighted_mode
 
-H, W = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
 #: Marks that end a sentence, bullets, and what opens a line that stands alone.
 SENTENCE_END, BULLET = r"[.!?。！？]$", r"^[•‣▪●○◦]\s"
 MAIL = r"^(From|To|Cc|Date|Subject|Sent):"
 NOTE_START = r"^(\[?\d{1,3}\]?|[*†‡§])\s"
 
 
+def _tall() -> Column:
+    return F.col("y1") - F.col("y0")
+
+
+def _wide() -> Column:
+    return F.col("x1") - F.col("x0")
+
+
 def ordered(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("y0", "x0", "idx")
 
@@ -35,8 +42,8 @@ def typography(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def lane_profile(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, height, font, bold_share): the median height, the font of most width, and the width's share in bold."""
-    top = weighted_mode(lines, keys, "font", W).select(*keys, F.col("mode").alias("font"))
-    agg = lines.groupBy(*keys).agg(F.median(H).alias("height"), (F.sum(F.when(F.col("bold"), W).otherwise(0.0)) / F.sum(W)).alias("bold_share"))
+    top = weighted_mode(lines, keys, "font", _wide()).select(*keys, F.col("mode").alias("font"))
+    agg = lines.groupBy(*keys).agg(F.median(_tall()).alias("height"), (F.sum(F.when(F.col("bold"), _wide()).otherwise(0.0)) / F.sum(_wide())).alias("bold_share"))
     return agg.join(top, keys).select(*keys, "height", "font", "bold_share")
 
 
@@ -48,10 +55,10 @@ def lane_gap(lines: DataFrame, keys: list[str]) -> DataFrame:
     median of the smallest 60 % (rounded up) is regular, with the median
     distance from it. Without gaps it is 0.35 of the median height.
     """
-    d = lines.withColumn("__h", H)
+    d = lines.withColumn("__h", _tall())
     for c in ("x0", "x1", "y1", "__h"):
         d = d.withColumn(f"__p_{c}", F.lag(c).over(ordered(keys)))
-    heights = lines.groupBy(*keys).agg(F.median(H).alias("height"))
+    heights = lines.groupBy(*keys).agg(F.median(_tall()).alias("height"))
     fits = (F.greatest("__h", "__p___h") <= 1.35 * F.least("__h", "__p___h")) & (F.least("x1", "__p_x1") > F.greatest("x0", "__p_x0"))
     d = d.where(fits).join(heights, keys).withColumn("__gap", F.col("y0") - F.col("__p_y1"))
     d = d.where(F.col("__gap").between(-0.25 * F.col("height"), 2 * F.col("height")))
@@ -68,9 +75,9 @@ def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     d = lines.join(lane_gap(lines, keys), keys)
     for c in ("x0", "y1", "font"):
         d = d.withColumn(f"__p_{c}", F.lag(c).over(w))
-    d = d.withColumn("__p_h", F.lag(H).over(w))
+    d = d.withColumn("__p_h", F.lag(_tall()).over(w))
     joins = (
-        (F.col("font") == F.col("__p_font")) & (F.greatest(H, F.col("__p_h")) <= 1.35 * F.least(H, F.col("__p_h")))
+        (F.col("font") == F.col("__p_font")) & (F.greatest(_tall(), F.col("__p_h")) <= 1.35 * F.least(_tall(), F.col("__p_h")))
         & (F.col("y0") - F.col("__p_y1") <= F.col("regular") + 3 * F.col("mad") + 0.1 * F.col("height")) & (F.col("x0") - F.col("__p_x0") < 0.8 * F.col("height"))
     )
     d = d.withColumn("paragraph", F.sum(F.when(joins, 0).otherwise(1)).over(w))
@@ -82,7 +89,7 @@ def baseline_runs(runs: DataFrame, keys: list[str], tolerance: float, widest: fl
     d = runs.withColumn("baseline", F.floor(F.col("y1") / tolerance).cast("long"))
     w = Window.partitionBy(*keys, "baseline").orderBy("x0", "idx")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("run", F.sum(F.when(F.col("x0") - reach <= widest * H, 0).otherwise(1)).over(w))
+    d = d.withColumn("run", F.sum(F.when(F.col("x0") - reach <= widest * _tall(), 0).otherwise(1)).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "idx", "text"))), lambda x: x["text"])
     sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     return d.groupBy(*keys, "baseline", "run").agg(F.array_join(parts, " ").alias("text"), *sides, F.count(F.lit(1)).alias("n"))
@@ -123,7 +130,7 @@ def prose_breaks(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, idx): lines before which a paragraph ends: the line above ends a sentence and leaves room for this one's first word."""
     w = ordered(keys)
     first = F.regexp_extract("text", r"^\S+", 0)
-    wide = W * F.length(first) / F.length("text")
+    wide = _wide() * F.length(first) / F.length("text")
     d = lines.where(F.length("text") > 0).withColumn("__right", F.max("x1").over(Window.partitionBy(*keys)))
     d = d.withColumn("__pt", F.lag("text").over(w)).withColumn("__px", F.lag("x1").over(w))
     return d.where(F.col("__pt").rlike(SENTENCE_END) & (F.col("__px") + wide < F.col("__right"))).select(*keys, "idx")
@@ -158,7 +165,7 @@ def lettered_lists(lines: DataFrame, keys: list[str], number: Column, least: int
 def aside_text(lines: DataFrame, page_width: Column, margin: float = 0.08) -> DataFrame:
     """Lines that stand upright in a side margin."""
     centre = (F.col("x0") + F.col("x1")) / 2
-    return lines.where((H > 3 * W) & ((centre < margin * page_width) | (centre > (1 - margin) * page_width)))
+    return lines.where((_tall() > 3 * _wide()) & ((centre < margin * page_width) | (centre > (1 - margin) * page_width)))
 
 
 def ruled_margin(lines: DataFrame, rules: DataFrame, keys: list[str], height: float, header: bool, wide: float, share: float = 0.15) -> DataFrame:
@@ -194,8 +201,8 @@ def header_separators(rules: DataFrame, evidence: DataFrame, doc: str, page: str
 def page_footnotes(lines: DataFrame, rules: DataFrame, keys: list[str], height: float, small: float = 0.92) -> DataFrame:
     """(keys, idx): small lines under the last rule of the page's lower half; small is under ``small`` of its median height."""
     last = rules.where(F.col("y") >= height / 2).groupBy(*keys).agg(F.max("y").alias("__y"))
-    mid = lines.groupBy(*keys).agg(F.median(H).alias("__h"))
-    return lines.join(last, keys).join(mid, keys).where((F.col("y0") >= F.col("__y")) & (H < small * F.col("__h"))).select(*keys, "idx")
+    mid = lines.groupBy(*keys).agg(F.median(_tall()).alias("__h"))
+    return lines.join(last, keys).join(mid, keys).where((F.col("y0") >= F.col("__y")) & (_tall() < small * F.col("__h"))).select(*keys, "idx")
 
 
 def note_entries(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,7 +215,7 @@ def note_entries(lines: DataFrame, keys: list[str]) -> DataFrame:
 def note_height(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, height): the median of the tallest quarter (rounded up) of the heights."""
     by = Window.partitionBy(*keys)
-    d = lines.withColumn("__h", H).withColumn("__k", F.row_number().over(by.orderBy(F.desc("__h"), "idx"))).withColumn("__n", F.count(F.lit(1)).over(by))
+    d = lines.withColumn("__h", _tall()).withColumn("__k", F.row_number().over(by.orderBy(F.desc("__h"), "idx"))).withColumn("__n", F.count(F.lit(1)).over(by))
     return d.where(F.col("__k") <= F.ceil(F.col("__n") / 4)).groupBy(*keys).agg(F.median("__h").alias("height"))
 
 
@@ -242,8 +249,8 @@ def following(lines: DataFrame, keys: list[str], kind: str, most: int = 5) -> Da
 
 def document_title(lines: DataFrame, keys: list[str], page_height: float, ratio: float = 1.2) -> DataFrame:
     """(keys, idx, text): the tallest line of the upper half, the topmost of equals, if it is ``ratio`` times the median height."""
-    mid = lines.groupBy(*keys).agg(F.median(H).alias("__mid"))
-    d = lines.where(F.col("y0") < page_height / 2).withColumn("__h", H)
+    mid = lines.groupBy(*keys).agg(F.median(_tall()).alias("__mid"))
+    d = lines.where(F.col("y0") < page_height / 2).withColumn("__h", _tall())
     best = d.groupBy(*keys).agg(F.max_by(F.struct("idx", "text", "__h"), F.struct("__h", -F.col("y0"), -F.col("idx"))).alias("m"))
     return best.join(mid, keys).where(F.col("m.__h") >= ratio * F.col("__mid")).select(*keys, F.col("m.idx").alias("idx"), F.col("m.text").alias("text"))
 
@@ -253,7 +260,7 @@ def lane_titles(lines: DataFrame, keys: list[str], most_words: int = 12, least:
     d = lines.join(lane_profile(lines, keys).select(*keys, F.col("height").alias("__h"), F.col("font").alias("__f")), keys)
     point = lambda c, n=1: F.when(c, n).otherwise(0)
     few = F.size(F.split(F.trim("text"), r"\s+")) <= most_words
-    score = point(H >= 1.15 * F.col("__h"), 2) + point(F.col("bold")) + point(F.col("font") != F.col("__f")) + point(~F.col("text").rlike(SENTENCE_END)) + point(few)
+    score = point(_tall() >= 1.15 * F.col("__h"), 2) + point(F.col("bold")) + point(F.col("font") != F.col("__f")) + point(~F.col("text").rlike(SENTENCE_END)) + point(few)
     return d.withColumn("score", score).where(F.col("score") >= least).select(*keys, "idx", "score")
 
 
@@ -274,7 +281,7 @@ def numbered_titles(lines: DataFrame, keys: list[str], most: int = 60) -> DataFr
 
 def recurrent_styles(lines: DataFrame, doc: str, page: str, share: float = 0.2, pages: int = 2) -> DataFrame:
     """(doc, font, bold, height, n): styles of few lines (under ``share`` of the document's) that come on at least ``pages`` pages."""
-    d = lines.withColumn("height", F.round(H))
+    d = lines.withColumn("height", F.round(_tall()))
     g = d.groupBy(doc, "font", "bold", "height").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(page).alias("__p"))
     every = F.sum("n").over(Window.partitionBy(doc))
     return g.withColumn("__n", every).where((F.col("__p") >= pages) & (F.col("n") < share * F.col("__n"))).select(doc, "font", "bold", "height", "n")
@@ -283,7 +290,7 @@ def recurrent_styles(lines: DataFrame, doc: str, page: str, share: float = 0.2,
 def body_sections(lines: DataFrame, keys: list[str], short: float = 0.6, long: float = 0.9, least: int = 2) -> DataFrame:
     """(keys, idx): short lines before a nearly full one, where a lane has at least ``least`` such pairs."""
     by = Window.partitionBy(*keys)
-    d = lines.withColumn("__w", W).withColumn("__full", F.max(W).over(by)).withColumn("__next", F.lead(W).over(ordered(keys)))
+    d = lines.withColumn("__w", _wide()).withColumn("__full", F.max(_wide()).over(by)).withColumn("__next", F.lead(_wide()).over(ordered(keys)))
     d = d.where((F.col("__w") <= short * F.col("__full")) & (F.col("__next") >= long * F.col("__full")) & ~F.col("text").rlike(SENTENCE_END))
     return d.withColumn("__n", F.count(F.lit(1)).over(by)).where(F.col("__n") >= least).select(*keys, "idx")
 
@@ -313,7 +320,7 @@ def runs_by(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 def visual_runs(chars: DataFrame, keys: list[str], widest: float) -> DataFrame:
     """(keys, run, x0, x1, n): characters of a line split where the white space is over ``widest`` times the mean width so far apart."""
     w = Window.partitionBy(*keys).orderBy("x0", "idx")
-    mean = F.avg(W).over(Window.partitionBy(*keys))
+    mean = F.avg(_wide()).over(Window.partitionBy(*keys))
     d = chars.withColumn("run", F.sum(F.when(F.col("x0") - F.lag("x1").over(w) <= widest * mean, 0).otherwise(1)).over(w))
     return d.groupBy(*keys, "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("n"))
 
