@@ -497,3 +497,37 @@ def exact_mean(spark, d):
 @query(M + " SELECT page, CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS penalty FROM (SELECT page, font, count(*) AS n FROM l WHERE length(text) <= 12 GROUP BY page, font) GROUP BY page")
 def repeated_siblings(spark, d):
     return page_tables.repeated_siblings(lines(spark, d), "page", "font", 12)
+
+
+# ---- PDF files written from rows and read back
+
+@query("""SELECT o_custkey AS doc, CAST(k AS INTEGER) AS page_idx, i - 1 AS n, t[i] AS char, CAST(40 + k * 10 + (i - 1) * 6 AS DOUBLE) AS x0, CAST(40 + k * 10 + i * 6 AS DOUBLE) AS x1, CAST(100 + k AS DOUBLE) AS base FROM
+ (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, o_orderkey || ' ' || o_orderpriority AS t FROM orders) s, unnest(range(1, length(t) + 1)) u(i)""")
+def pdf_chars(spark, d):
+    """Each customer's orders as a PDF file, a page for each; every character where it was set."""
+    import pandas as pd
+
+    from foliant.plans.pdf_writer import pdf_of
+    from foliant.sources.pdf import read_marks
+
+    def files(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("o_orderkey")
+        pages = [[("text", 40.0 + k * 10, 100.0 + k, 10.0, False, f"{o} {p}")] for k, (o, p) in enumerate(zip(rows["o_orderkey"], rows["o_orderpriority"]))]
+        return pd.DataFrame({"path": [str(rows["o_custkey"].iloc[0])], "content": [pdf_of(pages, packed=bool(rows["o_custkey"].iloc[0] % 2), width=2000.0)]})
+
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    m = read_marks(o.groupBy("o_custkey").applyInPandas(files, "path string, content binary")).where("kind = 'char'")
+    return m.select(F.col("path").cast("long").alias("doc"), "page_idx", (F.col("idx") - 1).cast("long").alias("n"), F.col("text").alias("char"), F.round("x0", 2).alias("x0"), F.round("x1", 2).alias("x1"), F.round(F.col("y1") - 2, 2).alias("base"))
+
+
+@query(r"""SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS text FROM (SELECT doc_id, i, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) s, unnest(range(1, len(ls) + 1)) u(i)) WHERE t <> '' GROUP BY doc_id""")
+def pdf_documents(spark, d):
+    """Every document's lines as a PDF file, read back as blocks; the words in their order."""
+    from foliant.plans.pdf_writer import to_pdf
+    from foliant.sources.packages import read_documents
+
+    lines_ = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    blocks = lines_.where(F.trim("text") != "").withColumn("type", F.lit("text"))
+    got = read_documents(to_pdf(blocks, "doc").select(F.col("doc").cast("string").alias("path"), "content"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    return got.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ").alias("text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.sources.packages import Package, local
+from foliant.sources.pdf import marks, paragraphs
 
 CHARS = "path string, page_idx int, char_idx int, char string, x0 double, y0 double, x1 double, y1 double, size double, error string"
 
@@ -52,67 +52,16 @@ def ofd(data: bytes) -> Iterator[tuple]:
                     x, y = x + (dx[n] if n < len(dx) else 0 if dy else wide), y + (dy[n] if n < len(dy) else 0)
 
 
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*]+")
-_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\n)")
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        raw = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((raw + b"0" * (len(raw) % 2)).decode()).decode("latin-1")
-    plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
-    return _ESCAPE.sub(lambda m: plain.get(m[1], bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else m[1]), token[1:-1]).decode("cp1252", "replace")
+def pdf(data: bytes) -> Iterator[tuple]:
+    """(page, char, x0, y0, x1, y1, size) of a PDF's placed characters."""
+    for page, _, kind, text, x0, y0, x1, y1, size, *_ in marks(data):
+        if kind == "char":
+            yield page, text, x0, y0, x1, y1, size
 
 
-def pdf(data: bytes) -> Iterator[tuple]:
-    """Characters of a PDF's own page streams with simple encodings; widths are half an em, as fonts are not read."""
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(\d+)\s+0\s+obj\b(.*?)\bendobj", data)}
-    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
-    for k, body in enumerate(pages):
-        box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", body)
-        height = float(box[4]) if box else 792.0
-        m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+0\s+R)", body)
-        stream = b""
-        for ref in re.findall(rb"(\d+)\s+0\s+R", m[1]) if m else ():
-            part = objects.get(int(ref), b"")
-            if s := re.search(rb"(?s)stream\r?\n(.*?)\r?\n?endstream", part):
-                stream += (zlib.decompress(s[1]) if b"FlateDecode" in part else s[1]) + b"\n"
-        size, lead, x, y, lx, ly, args = 12.0, 0.0, 0.0, 0.0, 0.0, 0.0, []
-
-        def show(text: str):
-            nonlocal x
-            for c in text:
-                yield k, c, x, height - y - size, x + size / 2, height - y, size
-                x += size / 2
-
-        for tok in _TOKEN.findall(stream):
-            if tok[:1] in b"(<[]/" or re.fullmatch(rb"[-+]?(?:\d+\.?\d*|\.\d+)", tok):
-                args.append(tok)
-                continue
-            nums = [float(a) for a in args if a[:1] not in b"(<[]/"]
-            if tok == b"BT":
-                x = y = lx = ly = 0.0
-            elif tok == b"Tf" and nums:
-                size = abs(nums[-1]) or size
-            elif tok == b"TL" and nums:
-                lead = nums[-1]
-            elif tok in (b"Td", b"TD") and len(nums) >= 2:
-                lx, ly = lx + nums[-2], ly + nums[-1]
-                lead = -nums[-1] if tok == b"TD" else lead
-                x, y = lx, ly
-            elif tok == b"Tm" and len(nums) >= 6:
-                lx, ly = nums[-2], nums[-1]
-                x, y = lx, ly
-            elif tok in (b"T*", b"'", b'"'):
-                ly -= lead
-                x, y = lx, ly
-            if tok in (b"Tj", b"'", b'"', b"TJ"):
-                for a in args:
-                    if a[:1] in (b"(", b"<"):
-                        yield from show(_string(a))
-                    elif tok == b"TJ" and a[:1] not in b"[]/":
-                        x -= float(a) / 1000 * size
-            args = []
+def ofd_blocks(data: bytes) -> Iterator[tuple[int, str, int | None, str]]:
+    """(page, type, level, text) of an OFD package's lines as paragraphs and titles."""
+    yield from paragraphs([(page, n, c, x0, y0, x1, y1, size, False) for n, (page, c, x0, y0, x1, y1, size) in enumerate(ofd(data))])
 
 
 def read_chars(files: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.numbers import property_date
+from foliant.sources import pdf
 from foliant.sources.detect import suffix_of
 from foliant.sources.packages import Package, local
 
@@ -95,11 +96,12 @@ def properties(data: bytes, path: str = "") -> tuple:
                 if m := re.search(rb"\{\\" + word + rb" ([^{}]*)\}", data):
                     found[key] = [m[1].decode("cp1252", "replace").strip()]
         elif suffix == "pdf":
-            for word, key in ((b"Title", "title"), (b"Author", "author"), (b"Subject", "subject"), (b"CreationDate", "created"), (b"ModDate", "modified")):
-                if m := re.search(rb"/" + word + rb"\s*\(((?:[^()\\]|\\.)*)\)", data):
-                    found[key] = [m[1].decode("latin-1")]
-            pages = len(re.findall(rb"/Type\s*/Page\b(?!s)", data)) or None
-    except (ValueError, KeyError, StopIteration, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
+            doc = pdf.Document(data)
+            for word, key in (("Title", "title"), ("Author", "author"), ("Subject", "subject"), ("CreationDate", "created"), ("ModDate", "modified")):
+                if word in (info := pdf.metadata(doc)):
+                    found[key] = [info[word]]
+            pages = len(doc.pages()) or None
+    except (ValueError, TypeError, KeyError, IndexError, StopIteration, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
         return path, suffix, None, [], None, None, None, None, None, f"{type(e).__name__}: {e}"
     one = lambda k: " ".join("".join(found[k][:1] if k != "title" else found[k]).replace("\0", "").split()) or None if k in found else None
     authors = list(dict.fromkeys(a.strip() for a in found.get("author", []) if a.strip()))
@@ -111,8 +113,8 @@ def read_metadata(files: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [properties(bytes(c), p) for p, c in zip(pdf["path"], pdf["content"])]
+        for batch in batches:
+            rows = [properties(bytes(c), p) for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=names).astype({"pages": "Int32"})
 
     out = files.select("path", "content").mapInPandas(run, SCHEMA)

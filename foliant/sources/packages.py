@@ -10,6 +10,7 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from foliant.functions.mathml import omml_to_latex
-from foliant.sources import compound
+from foliant.sources import compound, pdf
 from foliant.sources.delimited import records
 from foliant.sources.detect import suffix_of
 from foliant.sources.markup import html_blocks, table_html
@@ -438,7 +439,19 @@ def old_ppt(data: bytes) -> Iterator[Block]:
         yield slide, "", "paragraph_title" if title else "text", 2 if title else None, text, None, None, None
 
 
-READERS = {"doc": old_doc, "xls": old_xls, "ppt": old_ppt, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "mhtml": mhtml, "rtf": rtf, "html": html, "csv": delimited, "tsv": lambda d: delimited(d, "\t")}
+def placed(data: bytes, of) -> Iterator[Block]:
+    """Blocks of a file of placed characters."""
+    for page, kind, level, text in of(data):
+        yield page, "", kind, level, text, None, None, None
+
+
+def ofd(data: bytes) -> Iterator[Block]:
+    from foliant.sources.fixed_layout import ofd_blocks  # reads packages itself
+
+    yield from placed(data, ofd_blocks)
+
+
+READERS = {"pdf": lambda d: placed(d, pdf.blocks), "ofd": ofd, "doc": old_doc, "xls": old_xls, "ppt": old_ppt, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "mhtml": mhtml, "rtf": rtf, "html": html, "csv": delimited, "tsv": lambda d: delimited(d, "\t")}
 
 
 def parse(data: bytes, path: str = "") -> list[tuple]:
@@ -449,7 +462,7 @@ def parse(data: bytes, path: str = "") -> list[tuple]:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"no reader for {suffix}")]
     try:
         return [(path, suffix, page, name, k, *rest, None) for k, (page, name, *rest) in enumerate(reader(data))]
-    except (ValueError, csv.Error, struct.error, KeyError, IndexError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
+    except (ValueError, TypeError, csv.Error, struct.error, zlib.error, KeyError, IndexError, StopIteration, RuntimeError, AttributeError, zipfile.BadZipFile, ET.ParseError) as e:
         return [(path, suffix, 0, "", 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
@@ -458,8 +471,8 @@ def read_documents(files: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
                 yield pd.DataFrame(parse(bytes(data), path), columns=names).astype({"level": "Int32", "ordered": "boolean"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
