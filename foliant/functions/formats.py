@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
@@ -12,7 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The format codes of built-in numbers.
-BUILTIN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "yyyy-mm-dd", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "yyyy-mm-dd h:mm", 37: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 48: "##0.0E+0", 49: "@"}
+BUILTIN = {
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
+    14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
+    37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+}
 MONTHS = "January February March April May June July August September October November December".split()
 
 _PART = re.compile(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]|AM/PM|A/P|General|[yY]+|[mM]+|[dD]+|[hH]+|[sS]+(?:\.0+)?|.', re.S)
@@ -20,9 +25,11 @@ _PART = re.compile(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]|AM/PM|A/P|General|[yY]+|[mM]+
 
 def general(value: float) -> str:
     """Up to 15 significant digits without trailing zeros."""
+    if not math.isfinite(value):
+        return str(value)
     if value == int(value) and abs(value) < 1e11:
         return str(int(value))
-    return f"{value:.15g}" if 1e-5 <= abs(value) < 1e15 else f"{value:.5E}"
+    return f"{value:.15g}" if abs(value) < 1e15 else f"{value:.5E}"
 
 
 def _sections(code: str) -> list[str]:
@@ -44,7 +51,7 @@ def _choose(value: float, sections: list[str]) -> tuple[str, float]:
 
 
 def _date(value: float, parts: list[str], date1904: bool) -> str:
-    if value < 0:
+    if not 0 <= value < 2_958_466:  # the last day is in the year 9999
         return "#####"
     day = int(value)
     seconds = Decimal(repr(value - day)) * 86400
@@ -153,7 +160,7 @@ def _number(value: float, parts: list[str], negative: bool) -> str:
 
 def format_value(value: float, code: str | None, date1904: bool = False) -> str:
     """A number as a format code shows it."""
-    if code is None or code == "@" or code.lower() == "general":
+    if code is None or code == "@" or code.lower() == "general" or not math.isfinite(value):
         return general(value)
     section, v = _choose(value, _sections(code))
     if section.lower() == "general":

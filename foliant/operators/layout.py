@@ -214,3 +214,8 @@ def contained(children: DataFrame, lists: DataFrame, keys: list[str], least: flo
     """Each child with the first list box that covers at least ``least`` of it."""
     pairs = children.join(lists, keys).where(bbox.overlap_of_first(F.col("child_box"), F.col("parent_box")) >= least)
     return pairs.groupBy(*keys, "child").agg(F.min("parent").alias("parent"))
+
+
+def list_numbers(items: DataFrame, keys: list[str], order: list[str], start: Column) -> DataFrame:
+    """Adds ``number``: items of one list (and level) counted on from ``start``."""
+    return items.withColumn("number", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + start - 1).cast("long"))

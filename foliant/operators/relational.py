@@ -130,3 +130,72 @@ def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column) ->
     """(keys, mode, weight): the value with the most weight; the smaller value wins a tie."""
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("weight"))
     return top_k(sums, keys, [F.desc("weight"), F.asc(value)], 1).select(*keys, F.col(value).alias("mode"), "weight")
+
+
+def _ranked_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n, upto): different values with the number of rows up to and with each; rows are counted before anything is sorted."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumn("__upto", F.sum("__c").over(w.orderBy(value))).withColumn("__n", F.sum("__c").over(w))
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """(keys, out): the sample at rank round-half-even((n - 1) q), from counts of the different values."""
+    rank = F.bround((F.col("__n") - 1) * F.lit(float(q)))
+    return _ranked_counts(df, keys, value).where(F.col("__upto") > rank).groupBy(*keys).agg(F.min(value).alias(out))
+
+
+def linear_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ``qs``): quantiles interpolated between the two samples around rank (n - 1) q."""
+    d = _ranked_counts(df, keys, value)
+    parts = []
+    for name, q in qs.items():
+        at = (F.col("__n") - 1) * F.lit(float(q))
+        low = F.min(F.when(F.col("__upto") > F.floor(at), F.col(value)))
+        high = F.min(F.when(F.col("__upto") > F.ceil(at), F.col(value)))
+        parts.append((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias(name))
+    return d.groupBy(*keys).agg(*parts)
+
+
+def nearest_value(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """(keys, a, b): for each left (name, value) the right name of the nearest value; the smaller name wins a tie.
+
+    Both sides are one stream sorted by value, along which the last right
+    value before and the first one after are carried: no pairs.
+    """
+    (an, av), (bn, bv) = a, b
+    one = right.groupBy(*keys, bv).agg(F.min(bn).alias("__b"))
+    r = one.select(*keys, F.col(bv).alias("__v"), F.struct(F.col(bv).alias("v"), F.col("__b").alias("b")).alias("__r"), F.lit(0).alias("__side"))
+    l = left.select(*keys, F.col(av).alias("__v"), F.col(an), F.lit(1).alias("__side"))
+    w = Window.partitionBy(*keys)
+    # equal values come first on either way
+    before = F.last("__r", ignorenulls=True).over(w.orderBy("__v", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("__r", ignorenulls=True).over(w.orderBy(F.desc("__v"), "__side").rowsBetween(Window.unboundedPreceding, 0))
+    d = l.unionByName(r, allowMissingColumns=True).withColumn("__p", before).withColumn("__q", after).where("__side = 1")
+    off = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("__v") - F.col(x)["v"]).alias("d"), F.col(x)["b"].alias("b")))
+    best = F.least(F.coalesce(off("__p"), off("__q")), F.coalesce(off("__q"), off("__p")))
+    return d.withColumn("__m", best).where("__m is not null").select(*keys, an, F.col("__m.b").alias(bn))
+
+
+def mutual_nearest_values(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs of names that are each other's nearest by value; see ``nearest_value``."""
+    return nearest_value(left, right, keys, a, b).join(nearest_value(right, left, keys, b, a), [*keys, a[0], b[0]])
+
+
+def later_within(df: DataFrame, keys: list[str], at: str, reach: int, out: str) -> DataFrame:
+    """Rows with ``out``: the whole number ``at`` of each row of equal keys that comes 1 to ``reach`` later; rows meet only such neighbours."""
+    later = df.select(*keys, F.explode(F.array(*[F.col(at) - k for k in range(1, reach + 1)])).alias(at), F.col(at).alias(out))
+    return df.join(later, [*keys, at])
+
+
+def without(df: DataFrame, claimed: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key isn't claimed; a null key never is."""
+    return df.join(claimed.select(*on).distinct(), on, "left_anti")
+
+
+def distinct_union(parts: list[DataFrame]) -> DataFrame:
+    """All different rows of several tables, by the names of their columns."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

@@ -148,50 +148,30 @@ def marginal_keys(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.marginal_key(F.col("line")).alias("key"))
 
 
-@query(f"""SELECT doc_id, line_no, regexp_replace(line, '([*_`~$])', '\\\\\\1', 'g') AS md FROM ({LINES_SQL}) l WHERE NOT contains(line, chr(92))""")
-def markdown_escape(spark, d):
-    return lines(spark, d).where(~F.col("line").contains("\\")).select("doc_id", "line_no", T.escape_markdown(F.col("line")).alias("md"))
-
-
 @query(f"""SELECT doc_id, line_no, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM ({LINES_SQL}) l""")
 def html_escape(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.escape_html(F.col("line")).alias("html"))
 
 
-@query(f"""SELECT doc_id, line_no, replace(replace(regexp_replace(line, '([&%$#_{{}}])', '\\\\\\1', 'g'), '~', '\\textasciitilde{{}}'), '^', '\\textasciicircum{{}}') AS latex FROM ({LINES_SQL}) l WHERE NOT contains(line, chr(92))""")
-def latex_escape(spark, d):
-    return lines(spark, d).where(~F.col("line").contains("\\")).select("doc_id", "line_no", T.escape_latex(F.col("line")).alias("latex"))
-
-
-@query()
-def markdown_escape_all(spark, d):
+@query(f"""SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '(?s)\\\\.|.'), lambda t: CASE WHEN t IN ('*', '_', '`', '~', '$') THEN chr(92) || t ELSE t END), '') AS md FROM ({LINES_SQL}) l""")
+def markdown_escape(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.escape_markdown(F.col("line")).alias("md"))
 
 
-@query()
-def latex_escape_all(spark, d):
+@query(f"""SELECT doc_id, line_no, array_to_string(list_transform(regexp_extract_all(line, '(?s).'), lambda t: CASE WHEN t IN ('&', '%', '$', '#', '_', '{{', '}}') THEN chr(92) || t WHEN t = '~' THEN chr(92) || 'textasciitilde{{}}' WHEN t = '^' THEN chr(92) || 'textasciicircum{{}}' WHEN t = chr(92) THEN chr(92) || 'textbackslash{{}}' ELSE t END), '') AS latex FROM ({LINES_SQL}) l""")
+def latex_escape(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.escape_latex(F.col("line")).alias("latex"))
 
 
-@query(f"""SELECT doc_id, line_no, regexp_matches(line, '^(?:[-*+•●○▪▫◦‣⁃–—](?:\\s|$)|[（(]?(?:\\d+|[A-Za-z]|[IVXLCDMivxlcdm]+)[.．、)）]|[\\[［]\\d+[\\]］]|[一二三四五六七八九十百]+[、.．)）]|[①-⑳])') AS starts FROM ({LINES_SQL}) l""")
+@query(f"""SELECT doc_id, line_no, left(line, 1) IN ('-', '*', '+', '•', '●', '○', '▪', '▫', '◦', '‣', '⁃', '–', '—') AND (length(line) = 1 OR substr(line, 2, 1) IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))
+ OR left(line, 1) BETWEEN '①' AND '⑳' OR regexp_matches(line, '^[(（]?([0-9]+|[A-Za-z]|[IVXLCDMivxlcdm]+)[.．、)）]') OR regexp_matches(line, '^[\\[［][0-9]+[\\]］]') OR length(line) > length(ltrim(line, '一二三四五六七八九十百')) AND left(ltrim(line, '一二三四五六七八九十百'), 1) IN ('、', '.', '．', ')', '）') AS starts FROM ({LINES_SQL}) l""")
 def list_item_starts(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.starts_list_item(F.col("line")).alias("starts"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'unordered' WHEN 1 THEN 'ordered' WHEN 2 THEN 'explicit' WHEN 3 THEN 'explicit' WHEN 4 THEN 'ordered' ELSE 'none' END AS kind,
- CASE o_orderkey % 6 WHEN 1 THEN o_orderkey WHEN 4 THEN o_orderkey % 26 + 1 END AS value FROM orders WHERE o_orderkey % 26 NOT IN (2, 3, 8, 11, 12, 21, 23)""")
-def list_marker_kind(spark, d):
-    o = F.col("o_orderkey")
-    n = o.cast("string")
-    mark = F.when(o % 6 == 0, "-").when(o % 6 == 1, F.concat(n, F.lit("."))).when(o % 6 == 2, F.concat(F.lit("("), n, F.lit(")"))).when(o % 6 == 3, F.concat(n, F.lit(")"))).when(o % 6 == 4, F.concat(F.chr(97 + o % 26), F.lit("."))).otherwise("")
-    mark = F.when(o % 6 == 2, F.concat(F.lit("["), n, F.lit("]"))).otherwise(mark)
-    m = T.list_marker(F.concat(mark, F.lit(" x"), n))
-    return table(spark, d, "orders").where(~(o % 26).isin(2, 3, 8, 11, 12, 21, 23)).select("o_orderkey", m["kind"].alias("kind"), m["value"].cast("long").alias("value"))
-
-
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'unordered' WHEN 1 THEN CASE WHEN o_orderkey > 1000000 THEN 'explicit' ELSE 'ordered' END WHEN 2 THEN 'explicit' WHEN 3 THEN 'explicit' WHEN 4 THEN 'ordered' ELSE 'none' END AS kind,
  CASE o_orderkey % 6 WHEN 1 THEN CASE WHEN o_orderkey <= 1000000 THEN o_orderkey END WHEN 4 THEN CASE o_orderkey % 26 WHEN 2 THEN 100 WHEN 3 THEN 500 WHEN 8 THEN 1 WHEN 11 THEN 50 WHEN 12 THEN 1000 WHEN 21 THEN 5 WHEN 23 THEN 10 ELSE o_orderkey % 26 + 1 END END AS value FROM orders""")
-def list_marker_kind_all(spark, d):
+def list_marker_kind(spark, d):
     o = F.col("o_orderkey")
     n = o.cast("string")
     mark = F.when(o % 6 == 0, "-").when(o % 6 == 1, F.concat(n, F.lit("."))).when(o % 6 == 2, F.concat(F.lit("["), n, F.lit("]"))).when(o % 6 == 3, F.concat(n, F.lit(")"))).when(o % 6 == 4, F.concat(F.chr(97 + o % 26), F.lit("."))).otherwise("")
@@ -370,8 +350,8 @@ def continuation_groups(spark, d):
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) + CAST(user_id % 3 AS INTEGER) - 1 AS number FROM events""")
 def list_numbering(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) + F.col("user_id") % 3 - 1).cast("long").alias("number"))
+    e = table(spark, d, "events").withColumn("start", F.col("user_id") % 3)
+    return layout.list_numbers(e, ["user_id", "event_type"], ["ts", "event_id"], F.col("start")).select("user_id", "event_id", "number")
 
 
 @query("""WITH h AS (SELECT user_id, event_id, CAST(event_id % 3 + 1 AS INTEGER) AS level FROM events), a AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n1 FROM h),
@@ -398,22 +378,21 @@ def asof_neighbor(spark, d):
 @query("""SELECT a.conv_id, b.conv_id AS other, a.turn FROM conversations a JOIN conversations b ON b.conv_id - a.conv_id BETWEEN 1 AND 2 AND a.turn = b.turn AND a.role = b.role WHERE length(a.text) % 5 = length(b.text) % 5""")
 def marginal_pairs_within2(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.length("text") % 5).alias("k"))
-    near = c.select(F.col("conv_id").alias("other"), "turn", "role", "k", F.explode(F.array(F.col("conv_id") - 1, F.col("conv_id") - 2)).alias("conv_id"))
-    return c.join(near, ["conv_id", "turn", "role", "k"]).select("conv_id", "other", "turn")
+    return relational.later_within(c, ["turn", "role", "k"], "conv_id", 2, "other").select("conv_id", "other", "turn")
 
 
 # ---- profiles, quantiles, clusters, choices
 
 @query("SELECT lang, median(n_chars) AS med, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.9) AS p90, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY lang")
 def median_profile(spark, d):
-    q = lambda p: F.percentile("n_chars", F.lit(p))
-    return table(spark, d, "documents").groupBy("lang").agg(q(0.5).alias("med"), q(0.25).alias("q1"), q(0.9).alias("p90"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    docs = table(spark, d, "documents")
+    ends = docs.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    return relational.linear_quantiles(docs, ["lang"], "n_chars", {"med": 0.5, "q1": 0.25, "p90": 0.9}).join(ends, "lang")
 
 
 @query("SELECT lang, xs[CAST(round_even((len(xs) - 1) * 0.75, 0) AS INTEGER) + 1] AS q FROM (SELECT lang, list_sort(list(n_chars)) AS xs FROM documents GROUP BY lang)")
 def nearest_quantile(spark, d):
-    g = table(spark, d, "documents").groupBy("lang").agg(F.collect_list("n_chars").alias("xs"))
-    return g.select("lang", numbers.nearest_quantile(F.col("xs"), 0.75).alias("q"))
+    return relational.quantile(table(spark, d, "documents"), ["lang"], "n_chars", 0.75, "q")
 
 
 @query("SELECT l_returnflag, l_linestatus, mode, weight FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY weight DESC, mode) AS rn FROM (SELECT l_returnflag, l_linestatus, l_linenumber AS mode, CAST(sum(l_quantity) AS DOUBLE) AS weight FROM lineitem GROUP BY ALL)) WHERE rn = 1")
@@ -448,9 +427,9 @@ def top1_with_gap_veto(spark, d):
 
 @query("""SELECT a.c_nationkey, a.a, a.b FROM (SELECT c_nationkey, a, b FROM (SELECT c_nationkey, a, b, row_number() OVER (PARTITION BY c_nationkey, a ORDER BY dist, b) AS rn FROM e) WHERE rn = 1) a JOIN (SELECT c_nationkey, a, b FROM (SELECT c_nationkey, a, b, row_number() OVER (PARTITION BY c_nationkey, b ORDER BY dist, a) AS rn FROM e) WHERE rn = 1) b USING (c_nationkey, a, b)""".replace("FROM e)", "FROM (SELECT c_nationkey, c_custkey AS a, s_suppkey AS b, abs(c_acctbal - s_acctbal) AS dist FROM customer JOIN supplier ON c_nationkey = s_nationkey))"))
 def mutual_nearest(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    e = c.join(s, c.c_nationkey == s.s_nationkey).select("c_nationkey", F.col("c_custkey").alias("a"), F.col("s_suppkey").alias("b"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("dist"))
-    return relational.mutual_nearest(e, ["c_nationkey"], "a", "b", "dist")
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
+    return relational.mutual_nearest_values(c, s, ["c_nationkey"], ("a", "x"), ("b", "y"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS u, c_custkey + 7 AS v FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey + 7 IN (SELECT c_custkey FROM customer)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
@@ -502,12 +481,16 @@ def csv_kind_vote(spark, d):
     return tables.dominant_kinds(table(spark, d, "events").select("event_type", v.alias("v")), ["event_type"], "v")
 
 
-@query("SELECT p_type, 1 AS header_votes, 0 AS data_votes, TRUE AS has_header FROM part GROUP BY p_type")
+@query(r"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS row FROM part), k AS (SELECT p_type, avg(CASE WHEN regexp_matches(CAST(p_size AS VARCHAR), '^[0-9]+$') THEN 1.0 ELSE 0 END) >= 0.9 AS size_typed, avg(CASE WHEN regexp_matches(p_name, '^[0-9]+$') THEN 1.0 ELSE 0 END) >= 0.9 AS name_typed,
+ max(CASE WHEN lower(p_name) = 'red ring' THEN 1 ELSE 0 END) = 1 AS again, CASE WHEN p_type < 'M' THEN 'Size' ELSE '12' END AS label FROM p WHERE row <= 50 GROUP BY p_type),
+ v AS (SELECT p_type, CAST(CASE WHEN size_typed AND label = 'Size' THEN 1 ELSE 0 END AS INTEGER) AS header_votes, CAST(CASE WHEN size_typed AND label <> 'Size' THEN 1 ELSE 0 END + CASE WHEN NOT name_typed AND again THEN 1 ELSE 0 END AS INTEGER) AS data_votes FROM k)
+ SELECT *, CASE WHEN header_votes > 0 OR data_votes > 0 THEN header_votes > data_votes ELSE TRUE END AS has_header FROM v""")
 def header_vote(spark, d):
     w = Window.partitionBy("p_type").orderBy("p_partkey")
-    p = table(spark, d, "part").withColumn("row", F.row_number().over(w))
+    p = table(spark, d, "part").withColumn("row", F.row_number().over(w)).where("row <= 50")  # what the vote looks at
     body = p.select("p_type", "row", F.posexplode(F.array(F.col("p_name"), F.col("p_size").cast("string"))).alias("col", "value"))
-    head = p.select("p_type").distinct().select("p_type", F.lit(0).alias("row"), F.posexplode(F.array(F.lit("Name"), F.lit("Size"))).alias("col", "value"))
+    label = F.when(F.col("p_type") < "M", "Size").otherwise("12")
+    head = p.select("p_type").distinct().select("p_type", F.lit(0).alias("row"), F.posexplode(F.array(F.lit("Red ring"), label)).alias("col", "value"))
     v = tables.header_votes(head.unionByName(body), ["p_type"])
     return v.select("p_type", F.col("header_votes").cast("int").alias("header_votes"), F.col("data_votes").cast("int").alias("data_votes"), "has_header")
 
@@ -524,15 +507,8 @@ def subset_elimination(spark, d):
     return relational.maximal_sets(s, ["l_suppkey"], "l_orderkey", "m").select("l_suppkey", "l_orderkey", F.size("m").cast("long").alias("n"))
 
 
-@query("""SELECT o_orderkey, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(cell) AS owner FROM (SELECT o_orderkey, k AS cell, unnest(range(k % 3, k % 3 + 1 + k % 2)) AS r, k FROM (SELECT o_orderkey, unnest(range(0, 4)) AS k FROM orders WHERE o_orderkey < 500)), unnest(range(k, k + 1 + k % 3)) u(c) GROUP BY ALL HAVING TRUE""".replace("GROUP BY ALL HAVING TRUE", "GROUP BY o_orderkey, r, c"))
-def occupied_matrix(spark, d):
-    k = table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    cells = k.select("o_orderkey", (F.col("k") % 3).alias("row"), F.col("k").alias("col"), (1 + F.col("k") % 2).alias("rowspan"), (1 + F.col("k") % 3).alias("colspan"), F.col("k").cast("long").alias("cell"))
-    return tables.occupied(cells, ["o_orderkey"])
-
-
 @query("""SELECT o_orderkey, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, min(k) AS owner FROM (SELECT o_orderkey, k, unnest(range(k % 3, k % 3 + 1 + k % 2)) AS r FROM (SELECT o_orderkey, unnest(range(0, 4)) AS k FROM orders)), unnest(range(k, k + 1 + k % 3)) u(c) GROUP BY o_orderkey, r, c""")
-def occupied_matrix_all(spark, d):
+def occupied_matrix(spark, d):
     k = table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     cells = k.select("o_orderkey", (F.col("k") % 3).alias("row"), F.col("k").alias("col"), (1 + F.col("k") % 2).alias("rowspan"), (1 + F.col("k") % 3).alias("colspan"), F.col("k").cast("long").alias("cell"))
     return tables.occupied(cells, ["o_orderkey"])
@@ -551,12 +527,12 @@ def cross_page_table_pairs(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def anti_claimed(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return relational.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey AS id FROM customer UNION SELECT o_custkey FROM orders")
 def union_claimed(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).union(table(spark, d, "orders").select("o_custkey")).distinct()
+    return relational.distinct_union([table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").select(F.col("o_custkey").alias("id"))])
 
 
 @query("SELECT o_orderkey, list_filter(['bold', 'italic', 'underline'], lambda s: list_contains(CASE o_orderkey % 4 WHEN 0 THEN ['italic', 'bold'] WHEN 1 THEN ['underline', 'blink'] WHEN 2 THEN ['bold', 'bold'] ELSE ['x'] END, s)) AS styles FROM orders")
@@ -567,16 +543,8 @@ def intersect_styles(spark, d):
     return table(spark, d, "orders").select("o_orderkey", spans.styles(raw).alias("styles"))
 
 
-@query("SELECT doc_id, substr(text, 1, 10) || substr(text, 11, 20) AS plain, substr(text, 6, 10) AS cut, CASE WHEN length(text) > 10 AND substr(text, 1, 1) <> '' THEN 1 ELSE 1 END AS n_same FROM documents WHERE length(text) >= 40")
-def span_algebra(spark, d):
-    none = F.array().cast("array<string>")
-    part = lambda a, n: spans.span(F.lit("text"), F.substring("text", a, n), none, F.lit(None).cast("string"))
-    s = table(spark, d, "documents").where(F.length("text") >= 40).withColumn("s", F.array(part(1, 10), part(11, 20)))
-    return s.select("doc_id", spans.plain(F.col("s")).alias("plain"), spans.plain(spans.cut(F.col("s"), F.lit(5), F.lit(15))).alias("cut"), F.size(spans.normalise(F.col("s"))).alias("n_same"))
-
-
 @query("SELECT doc_id, t AS plain, substr(t, greatest(m - 5, 0) + 1, m + 5 - greatest(m - 5, 0)) AS cut, CASE WHEN t = '' THEN 0 ELSE 1 END AS n_same FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 2 AS m FROM documents)")
-def span_algebra_whole(spark, d):
+def span_algebra(spark, d):
     none = F.array().cast("array<string>")
     middle = F.coalesce(F.expr("length(text) div 2"), F.lit(0)).cast("int")
     part = lambda a, n: spans.span(F.lit("text"), F.substr("text", a, n), none, F.lit(None).cast("string"))

@@ -14,12 +14,12 @@ def orders(spark):
 
 
 def test_every_order_has_an_occupied_matrix(spark, orders):
-    got = QUERIES["occupied_matrix_all"](spark, SF).select("o_orderkey").distinct()
+    got = QUERIES["occupied_matrix"](spark, SF).select("o_orderkey").distinct()
     assert got.count() == orders.select("o_orderkey").distinct().count()
 
 
 def test_one_letter_marks_that_are_roman_numerals_have_their_values(spark, orders):
-    got = QUERIES["list_marker_kind_all"](spark, SF)
+    got = QUERIES["list_marker_kind"](spark, SF)
     assert got.count() == orders.count()
     o = F.col("o_orderkey")
     letters = got.where(o % 6 == 4).select(F.chr(97 + o % 26).alias("c"), "value").distinct().collect()
@@ -31,7 +31,7 @@ def test_one_letter_marks_that_are_roman_numerals_have_their_values(spark, order
 def test_spans_of_whole_null_empty_and_short_texts(spark, tmp_path):
     texts = {1: None, 2: "", 3: "a", 4: "ab", 5: "short text", 6: "Ünï 漢字 " * 500}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.plain, r.cut, r.n_same) for r in QUERIES["span_algebra_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.plain, r.cut, r.n_same) for r in QUERIES["span_algebra"](spark, str(tmp_path)).collect()}
     for i, t in texts.items():
         t = t or ""
         m = len(t) // 2
@@ -61,7 +61,7 @@ def test_lines_with_backslashes_are_escaped(spark, tmp_path):
         return out
 
     tex = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
-    for name, brute in (("markdown_escape_all", markdown), ("latex_escape_all", lambda line: "".join(tex.get(c, c) for c in line))):
+    for name, brute in (("markdown_escape", markdown), ("latex_escape", lambda line: "".join(tex.get(c, c) for c in line))):
         got = {r.line_no: r[2] for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {i: brute(line) for i, line in enumerate(text.split("\n"))}
 
