@@ -23,7 +23,7 @@ def _with_least(rows: DataFrame, least: DataFrame, hub: int, hubs: bool) -> Data
     return light.unionByName(rows.join(heavy, "u"))
 
 
-def hub_size(edges: int, partitions: int, least: int = 256) -> int:
+def hub_size(edges: int, partitions: int, least: int = 1000) -> int:
     """Edges from which a node is a hub: twice a partition's share, so that there are at most ``partitions`` (or 2 x edges / ``least``) hubs."""
     return max(least, 2 * edges // max(1, partitions))
 

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each Spark context."""
+    """Gives the executors this package, once for each Spark context; the driver gives back what earlier work has left."""
+    trim()
     sc = spark.sparkContext
     if getattr(sc, "_foliant_shipped", False):
         return
