@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.shared import trim
+
 ORDER = 5
 SPACE = 32
 #: Multiplier of the rolling hash and of the character mix.
@@ -285,14 +287,20 @@ def train(docs: DataFrame, held_out: int | None = 5, docs_per_language: int = 20
     sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(lot < F.col("__share")).select("lang", F.col("text").cast("string").alias("text"), (lot / F.col("__share")).alias("lot"))
     counted = sample.where(F.col("lot") >= calibration_share).select("lang", "text").mapInArrow(_counted, "lang string, high long, low long, n long")
     table = counted.groupBy("lang", "high", "low").agg(F.sum("n").alias("n")).toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    place = np.empty(len(known), np.int64)
+    place[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+    names = place[coded.indices.to_numpy()] if known else np.zeros(0, np.int64)
     high, low, n = (table.column(c).to_numpy() for c in ("high", "low", "n"))
     mask = (1 << 21) - 1
     chars = np.stack([high >> 21, high & mask, low >> 42, (low >> 21) & mask, low & mask], axis=1).astype(np.uint32) if len(n) else np.zeros((0, ORDER), np.uint32)
-    langs = sorted(set(names.tolist()))
+    langs = sorted(known)
     order = np.lexsort((low, high)) if len(n) else np.zeros(0, int)
     names, chars, n = names[order], chars[order], n[order]
-    model = Model(langs, [chars[names == x] for x in langs], [n[names == x] for x in langs])
+    model = Model(langs, [chars[names == k] for k in range(len(langs))], [n[names == k] for k in range(len(langs))])
+    del table, high, low, chars, n, names
+    trim()
     if langs:
         shared = spark.sparkContext.broadcast(model)
 

@@ -235,21 +235,26 @@ def similar_components(docs: DataFrame, threshold: float = THRESHOLD, few: int =
     equal = nodes.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     links = verified(tried.union(equal))
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        comp = materialise(connected_components(links), "setcomp")
+    def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
         return rows.join(comp, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component")
 
+    # for the first round the least neighbour will do: sets that share one are connected
+    ends = links.select("src", "dst").union(links.select("dst", "src")).toDF("node", "other")
+    near = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component"))
+
     schema = "h long, a long, b long, n int, pos int"
-    posted = labelled(nodes.select("key", "n", "h")).select("key", "n", "label", F.posexplode("h").alias("pos", "h")).select("h", "key", "n", "pos", "label")
+    posted = labelled(nodes.select("key", "n", "h"), near).select("key", "n", "label", F.posexplode("h").alias("pos", "h")).select("h", "key", "n", "pos", "label")
     first = materialise(posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, False), schema), "pairs")
     tried = materialise(first.where("b is not null").select("a", "b").distinct(), "tried")
     links = links.union(verified(tried))
     large = first.where("h is not null")
     if large.limit(1).count():
-        posted = labelled(large.withColumnRenamed("a", "key")).select("h", "key", "n", "pos", "label")
+        comp = materialise(connected_components(links), "setcomp")
+        posted = labelled(large.withColumnRenamed("a", "key"), comp).select("h", "key", "n", "pos", "label")
         rest = posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, True), schema).select("a", "b").distinct()
         links = links.union(verified(materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")))
-    roots = labelled(nodes.select("key")).select(F.col("key").alias("__key"), F.col("label").alias("root"))
+    comp = materialise(connected_components(links), "setcomp")
+    roots = labelled(nodes.select("key"), comp).select(F.col("key").alias("__key"), F.col("label").alias("root"))
     return prints.join(roots, prints.key == F.col("__key")).select("doc_id", "t1", "t2", "root")
 
 
