@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from foliant import page_queries  # noqa: F401 - registers its queries
+from foliant import block_queries, page_queries  # noqa: F401 - they register their queries
 from foliant.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
