@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import bbox
 from foliant.functions.text import marginal_key
-from foliant.operators.relational import last_behind_barrier
+from foliant.operators.relational import interval_join, last_behind_barrier
 
 # Marks after which a paragraph is over.
 STOP_MARKS = ".!?。！？)）\"”:：;；"
@@ -63,20 +64,34 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd
 def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relative: bool = False) -> DataFrame:
     """Adds ``cluster``: sorted values, each in the open cluster if it is within the tolerance of that cluster's median.
 
-    The median moves as a cluster grows, so the scan is sequential within a key.
+    The median moves as a cluster grows, so the scan is sequential within a
+    key; it goes over the different values with their counts, so its memory
+    is that of a key's different values, not of its rows. Equal values share
+    a cluster: once one has joined, the median only comes nearer to them.
     """
     def run(group: pd.DataFrame) -> list[int]:
-        labels, members, label = [], [], -1
-        for v in group[value].tolist():
-            n = len(members)
-            mid = 0 if not n else (members[n // 2] + members[(n - 1) // 2]) / 2
-            if not n or abs(v - mid) > (tolerance * abs(mid) if relative else tolerance):
-                members, label = [], label + 1
-            members.append(v)
+        labels: list[int] = []
+        values: list[float] = []
+        upto: list[int] = []
+        label = -1
+        for v, n in zip(group[value].tolist(), group["__n"].tolist()):
+            total = upto[-1] if upto else 0
+            if total:
+                mid = (values[bisect_right(upto, (total - 1) // 2)] + values[bisect_right(upto, total // 2)]) / 2
+            if not total or abs(v - mid) > (tolerance * abs(mid) if relative else tolerance):
+                values, upto, total, label = [], [], 0, label + 1
+            values.append(v)
+            upto.append(total + n)
             labels.append(label)
         return labels
 
-    return per_group(df, keys, [value], run, "cluster")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    named = per_group(counts, keys, [value], run, "cluster").drop("__n")
+    other = named.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(value).alias("__value"), "cluster")
+    same = F.col(value).eqNullSafe(F.col("__value"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(other, same).drop("__value", *[f"__k_{k}" for k in keys])
 
 
 def _order(boxes: list[tuple[float, float, float, float]], ids: list[int], dense: bool) -> list[int]:
@@ -203,16 +218,21 @@ def heading_numbers(df: DataFrame, doc: str, order: str, level: str, deepest: in
 def nearest_parents(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, child, parent, distance): for each child box the nearest parent box of its page; the earlier one wins a tie.
 
-    A page holds few boxes; rows meet by the page's keys.
+    A page's parents are gathered into one array, which each child looks
+    through: the pairs of a page never become rows. A page holds few parents.
     """
-    pairs = children.join(parents, keys).withColumn("distance", bbox.gap(F.col("child_box"), F.col("parent_box")))
-    best = pairs.groupBy(*keys, "child").agg(F.min(F.struct("distance", "parent")).alias("m"))
+    all_ = parents.groupBy(*keys).agg(F.collect_list(F.struct("parent", "parent_box")).alias("__ps"))
+    nearest = F.array_min(F.transform("__ps", lambda p: F.struct(bbox.gap(F.col("child_box"), p["parent_box"]).alias("distance"), p["parent"].alias("parent"))))
+    d = children.join(all_, keys).withColumn("__m", nearest)
+    best = d.groupBy(*keys, "child").agg(F.min("__m").alias("m"))
     return best.select(*keys, "child", F.col("m.parent").alias("parent"), F.col("m.distance").alias("distance"))
 
 
-def contained(children: DataFrame, lists: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
-    """Each child with the first list box that covers at least ``least`` of it."""
-    pairs = children.join(lists, keys).where(bbox.overlap_of_first(F.col("child_box"), F.col("parent_box")) >= least)
+def contained(children: DataFrame, lists: DataFrame, keys: list[str], least: float = 0.8, width: float = 100.0) -> DataFrame:
+    """Each child with the first list box that covers at least ``least`` of it; boxes meet only where they overlap from top to bottom."""
+    c = children.withColumn("__c0", F.col("child_box.y0")).withColumn("__c1", F.col("child_box.y1"))
+    p = lists.withColumn("__p0", F.col("parent_box.y0")).withColumn("__p1", F.col("parent_box.y1"))
+    pairs = interval_join(c, p, keys, ("__c0", "__c1"), ("__p0", "__p1"), width).where(bbox.overlap_of_first(F.col("child_box"), F.col("parent_box")) >= least)
     return pairs.groupBy(*keys, "child").agg(F.min("parent").alias("parent"))
 
 

@@ -12,19 +12,34 @@ def bins(lo: Column, hi: Column, width: float) -> Column:
     return F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: float) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: float, most: int = 64) -> DataFrame:
     """Pairs whose closed ranges meet, by equal (keys, bin): each pair once, in the bin where the later range starts.
 
     Both sides are copied to each bin of ``width`` that they touch, so rows
-    meet only neighbours; no side is paired with all of the other.
+    meet only neighbours; no side is paired with all of the other. A range
+    over ``most`` bins long goes to wider bins of its own size class (each
+    ``most`` times the last), where it meets shorter ranges by theirs, so a
+    row has at most ``most`` + 1 copies for each class that is present.
     """
-    l = left.withColumn("__bin", F.explode(bins(F.col(left_range[0]), F.col(left_range[1]), width)))
-    r = right.withColumn("__bin", F.explode(bins(F.col(right_range[0]), F.col(right_range[1]), width)))
-    pairs = l.join(r, [*keys, "__bin"])
     (a, b), (c, d) = left_range, right_range
-    meets = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b))
-    first = F.floor(F.greatest(F.col(a), F.col(c)) / width).cast("long")
-    return pairs.where(meets & (first == F.col("__bin"))).drop("__bin")
+
+    def classed(df: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
+        bins_ = F.greatest(F.lit(1.0), (F.col(hi) - F.col(lo)) / width)
+        return df.withColumn(name, F.greatest(F.lit(0), F.ceil(F.log(float(most), bins_)) - 1).cast("int"))
+
+    l, r = classed(left, a, b, "__lc"), classed(right, c, d, "__rc")
+    top = l.agg(F.max("__lc")).first()[0] or 0, r.agg(F.max("__rc")).first()[0] or 0
+    classes = F.sequence(F.lit(0), F.lit(max(top)))
+    wide = F.lit(float(width)) * F.pow(F.lit(float(most)), F.col("__class"))
+
+    def dealt(df: DataFrame, lo: str, hi: str, own: str) -> DataFrame:
+        d_ = df.withColumn("__class", F.explode(F.filter(classes, lambda k: k >= F.col(own))))
+        return d_.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / wide).cast("long"), F.floor(F.col(hi) / wide).cast("long"))))
+
+    pairs = dealt(l, a, b, "__lc").join(dealt(r, c, d, "__rc"), [*keys, "__class", "__bin"])
+    meets = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__class") == F.greatest("__lc", "__rc"))
+    first = F.floor(F.greatest(F.col(a), F.col(c)) / wide).cast("long")
+    return pairs.where(meets & (first == F.col("__bin"))).drop("__bin", "__class", "__lc", "__rc")
 
 
 def point_in_range(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, lo: str, hi: str, width: float) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,24 +33,41 @@ def ship(spark: SparkSession) -> None:
     sc._foliant_shipped = True
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store's scheme: without one it is in the default store, on executors as on the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder.
+    """The cluster's checkpoint folder, with its store's scheme.
 
     Where ``spark.checkpoint.dir`` is unset, a local master gets a temporary
-    folder; any other master uses the warehouse, which is shared as well.
+    folder; any other master uses the warehouse, unless that is in the local
+    files of each machine: then the setting is asked for.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        path = os.path.join(tempfile.gettempdir(), f"foliant-{spark.sparkContext.applicationId}")
-        return f"file://{path}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
+        return qualified(spark, path)
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return f"file://{os.path.join(tempfile.gettempdir(), f'foliant-{spark.sparkContext.applicationId}')}"
+    path = qualified(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    if path.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{path}/_foliant"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in this application's part of it, which goes when the driver ends."""
+    sc = spark.sparkContext
+    top = f"{shared_dir(spark)}/foliant-{sc.applicationId}"
+    if getattr(sc, "_foliant_scratch", None) != top:
+        p = sc._jvm.org.apache.hadoop.fs.Path(top)
+        store = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(p)
+        store.deleteOnExit(p)
+        sc._foliant_scratch = top
+    return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:

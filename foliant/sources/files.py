@@ -7,6 +7,7 @@ from typing import BinaryIO
 
 
 def _local(uri: str) -> str | None:
+    """The path of a local file; the driver gives paths their scheme (``plans.shared.qualified``), so one without it is local."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if "://" not in uri else None
