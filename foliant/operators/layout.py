@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,53 +95,86 @@ def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relat
     return df.join(other, same).drop("__value", *[f"__k_{k}" for k in keys])
 
 
-def _order(boxes: list[tuple[float, float, float, float]], ids: list[int], dense: bool) -> list[int]:
-    """Recursive cuts at the widest white gap: columns first on a sparse page, rows first on a dense one."""
-    if len(ids) < 2:
-        return ids
-
-    def split(lo: int, hi: int) -> list[list[int]]:
-        spans = sorted(ids, key=lambda i: (boxes[i][lo], boxes[i][hi], i))
-        parts, end = [[spans[0]]], boxes[spans[0]][hi]
-        for i in spans[1:]:
-            if boxes[i][lo] > end + 5:
-                parts.append([])
-            parts[-1].append(i)
-            end = max(end, boxes[i][hi])
-        return parts
-
-    rows, columns = split(1, 3), split(0, 2)
-    for parts in (rows, columns) if dense else (columns, rows):
-        if len(parts) > 1:
-            return [x for p in parts for x in _order(boxes, p, dense)]
-    # no clean cut: what spans most of the width stands between what is above and below it
-    left, right = min(boxes[i][0] for i in ids), max(boxes[i][2] for i in ids)
-    wide = [i for i in ids if boxes[i][2] - boxes[i][0] > 0.6 * (right - left)]
-    if wide and len(wide) < len(ids):
-        cut = min(wide, key=lambda i: (boxes[i][1], i))
-        top = boxes[cut][1]
-        above = [i for i in ids if i != cut and boxes[i][1] < top]
-        below = [i for i in ids if i != cut and boxes[i][1] >= top]
-        return _order(boxes, above, dense) + [cut] + _order(boxes, below, dense)
-    return sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0], i))
+# Fixed values of the reading order: a wide box by the median width, the share of a dense region, the least white gap in points,
+# the least sideways overlap and number of boxes that a wide one spans, and the share of a region's width up to which a box is narrow.
+WIDE, DENSE, WHITE, SPANNED, SPANS, NARROW = 1.3, 0.9, 5.0, 0.1, 2, 0.1
+
+
+def _white(lo: np.ndarray, hi: np.ndarray) -> tuple[float, float]:
+    """(width, middle) of the widest white gap between intervals on one axis, the first of equals."""
+    if len(lo) < 2:
+        return 0.0, 0.0
+    by = np.lexsort((hi, lo))
+    reach, start = np.maximum.accumulate(hi[by])[:-1], lo[by][1:]
+    k = int(np.argmax(start - reach))
+    return max(0.0, float(start[k] - reach[k])), float(start[k] + reach[k]) / 2
+
+
+def xy_cut(sides: np.ndarray) -> list[int]:
+    """The reading order of boxes (rows x0, y0, x1, y1): recursive cuts at white gaps, wide boxes put back between.
+
+    In each region the boxes that are wide (``WIDE`` medians) and span others
+    are set aside. The rest is cut at its widest white gap: across the page
+    first where the region is dense, else between columns; a gap under
+    ``WHITE`` is none, and columns may be told without narrow boxes. What
+    can't be cut goes from the top, then from the left. Each wide box comes
+    behind all that ends above it.
+    """
+    x0, y0, x1, y1 = sides.T
+    width = x1 - x0
+    from_top = lambda ids: ids[np.lexsort((ids, x0[ids], y0[ids]))]
+
+    def region(ids: np.ndarray) -> np.ndarray:
+        if len(ids) < 2:
+            return ids
+        across = np.zeros(len(ids), bool)
+        if len(ids) > 2:
+            for k in np.flatnonzero(width[ids] >= WIDE * np.median(width[ids])):
+                i = ids[k]
+                shared = np.minimum(x1[ids], x1[i]) - np.maximum(x0[ids], x0[i])
+                across[k] = np.count_nonzero(shared >= SPANNED * np.minimum(width[ids], width[i])) - 1 >= SPANS
+        rest, wide = ids[~across], from_top(ids[across])
+        if not len(rest):
+            return wide
+        rest = cut(rest)
+        # a box stands before the first wide one that begins below its end
+        band = np.concatenate([np.searchsorted(y0[wide], y1[rest], side="left"), np.arange(len(wide))])
+        after = np.concatenate([np.zeros(len(rest), int), np.ones(len(wide), int)])
+        return np.concatenate([rest, wide])[np.lexsort((np.arange(len(band)), after, band))]
+
+    def cut(ids: np.ndarray) -> np.ndarray:
+        if len(ids) < 2:
+            return ids
+        left, top, right, bottom = x0[ids].min(), y0[ids].min(), x1[ids].max(), y1[ids].max()
+        rows, columns = _white(y0[ids], y1[ids]), _white(x0[ids], x1[ids])
+        broad = ids[width[ids] >= NARROW * (right - left)]
+        if columns[0] < WHITE and len(ids) > 2 and 2 <= len(broad) < len(ids):
+            again = _white(x0[broad], x1[broad])
+            columns = again if again[0] >= WHITE else columns
+        dense = (width[ids] * (y1[ids] - y0[ids])).sum() / ((right - left) * (bottom - top)) > DENSE
+        for (gap, at), lo, hi in ((rows, y0, y1), (columns, x0, x1)) if dense else ((columns, x0, x1), (rows, y0, y1)):
+            if gap >= WHITE:
+                first = (lo[ids] + hi[ids]) / 2 < at
+                if first.any() and not first.all():
+                    return np.concatenate([region(ids[first]), region(ids[~first])])
+                break
+        return from_top(ids)
+
+    return region(np.arange(len(sides))).tolist()
 
 
 def reading_order(df: DataFrame, keys: list[str], index: str = "idx") -> DataFrame:
-    """Adds ``position``: the reading order of a page's boxes (x0, y0, x1, y1); boxes without area come last.
+    """Adds ``position``: the reading order of a page's boxes (x0, y0, x1, y1); boxes without area or with a missing side come last.
 
     The cuts are decided by the page as a whole, so a page is one group.
     """
     def run(group: pd.DataFrame) -> list[int]:
-        boxes = list(zip(group["x0"].tolist(), group["y0"].tolist(), group["x1"].tolist(), group["y1"].tolist()))
-        good = [i for i, (a, b, c, d) in enumerate(boxes) if c > a and d > b]
-        rest = [i for i, (a, b, c, d) in enumerate(boxes) if not (c > a and d > b)]
-        dense = False
-        if good:
-            area = sum((boxes[i][2] - boxes[i][0]) * (boxes[i][3] - boxes[i][1]) for i in good)
-            page = (max(boxes[i][2] for i in good) - min(boxes[i][0] for i in good)) * (max(boxes[i][3] for i in good) - min(boxes[i][1] for i in good))
-            dense = area / page > 0.9
-        place = [0] * len(boxes)
-        for k, i in enumerate(_order(boxes, good, dense) + rest):
+        sides = group[["x0", "y0", "x1", "y1"]].to_numpy(np.float64, na_value=np.nan)
+        good = np.isfinite(sides).all(axis=1) & (sides[:, 2] > sides[:, 0]) & (sides[:, 3] > sides[:, 1])
+        ids = np.flatnonzero(good)
+        order = [*ids[xy_cut(sides[ids])].tolist(), *np.flatnonzero(~good).tolist()] if len(ids) else np.flatnonzero(~good).tolist()
+        place = [0] * len(order)
+        for k, i in enumerate(order):
             place[i] = k
         return place
 

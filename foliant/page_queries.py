@@ -267,6 +267,27 @@ def equation_order(spark, d):
     return pages.equation_order(lines(spark, d), ["page"], F.col("number") == 5, 14.0).select("page", "idx", F.col("position").cast("long").alias("position"))
 
 
+@query(L + " SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY lane, y0, x0, idx) - 1 AS position FROM l")
+def two_column_order(spark, d):
+    """Pages of two clean columns: the left one from the top, then the right one."""
+    from foliant.operators.layout import reading_order
+
+    even = lines(spark, d).withColumn("x1", F.col("lane") * 300 + 200.0)
+    return reading_order(even.select("page", "idx", "x0", "y0", "x1", "y1"), ["page"]).select("page", "idx", F.col("position").cast("long").alias("position"))
+
+
+@query(L + """, w AS (SELECT *, CASE WHEN idx = 16 THEN 1 ELSE 0 END AS wide FROM l), t AS (SELECT page, min(CASE WHEN wide = 1 THEN 50 + 8 * 14 - 3 END) AS top FROM w GROUP BY page)
+ SELECT page, idx, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN wide = 1 THEN 1 WHEN y1 - 4 <= top THEN 0 ELSE 2 END, lane, y0, x0, idx) - 1 AS position FROM (SELECT w.page, idx, wide, lane, x0, CASE WHEN wide = 1 THEN top ELSE y0 END AS y0, y1, top FROM w JOIN t USING (page))""")
+def wide_box_order(spark, d):
+    """A box across both columns in the middle of each page: what ends above it comes first, column by column."""
+    from foliant.operators.layout import reading_order
+
+    wide = F.col("idx") == 16
+    b = lines(spark, d).withColumn("y1", F.col("y1") - 4)
+    b = b.withColumn("x1", F.when(wide, 590.0).otherwise(F.col("lane") * 300 + 200.0)).withColumn("y0", F.when(wide, 50.0 + 8 * 14 - 3).otherwise(F.col("y0")))
+    return reading_order(b.select("page", "idx", "x0", "y0", "x1", "y1"), ["page"]).select("page", "idx", F.col("position").cast("long").alias("position"))
+
+
 # ---- tables, drawings, marks
 
 RECT = """CAST(floor(o_orderkey / 12) AS BIGINT) AS page, o_orderkey AS idx, CAST(o_orderkey % 4 * 50 + CASE WHEN o_custkey % 47 = 0 THEN 7 ELSE 0 END AS DOUBLE) AS x0, CAST(floor(o_orderkey % 12 / 4) * 19 AS DOUBLE) AS y0,

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.operators import page_tables
+from foliant.operators.layout import xy_cut
 
 
 def rows_of(boxes):
@@ -47,3 +49,24 @@ def test_similar_texts(spark):
     pairs = [("Page 12 of 40", "Page 13 of 40", True), ("Annual report", "Annual rapport", False), ("", "", True), ("same", "same", True), ("abcdefgh", "abcdefgx", False)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", page_tables.similar(F.col("a"), F.col("b"), 0.92)).collect())
+
+
+def ordered(boxes):
+    return xy_cut(np.array(boxes, float))
+
+
+def test_reading_order_of_known_pages():
+    two = [(0, 0, 90, 10), (110, 0, 200, 10), (0, 20, 90, 30), (110, 20, 200, 30)]
+    assert ordered(two) == [0, 2, 1, 3]
+    titled = [(0, -20, 200, -10), *two]
+    assert ordered(titled) == [0, 1, 3, 2, 4]
+    middle = [*two, (0, 40, 200, 50), (0, 60, 90, 70), (110, 60, 200, 70)]
+    assert ordered(middle) == [0, 2, 1, 3, 4, 5, 6]
+    assert ordered([(0, 0, 90, 10), (92, 0, 200, 10), (0, 20, 90, 30)]) == [0, 1, 2]  # two points are no gap between columns
+    loose = [(0, 0, 100, 40), (110, 0, 200, 40), (0, 60, 100, 100), (110, 60, 200, 100)]
+    assert ordered(loose) == [0, 2, 1, 3]
+    packed = [(0, 0, 100, 47), (105, 0, 200, 47), (0, 52, 100, 100), (105, 52, 200, 100)]
+    assert ordered(packed) == [0, 1, 2, 3]  # over 0.9 of the region is covered: rows first
+    bridge = [(0, 0, 90, 10), (110, 0, 200, 10), (0, 20, 90, 30), (110, 20, 200, 30), (88, 12, 106, 18)]
+    assert ordered(bridge) == [0, 4, 2, 1, 3]  # a narrow box doesn't hide the gap
+    assert ordered([(0, 0, 1, 1)]) == [0]
