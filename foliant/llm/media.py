@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.plans.shared import materialise, shared_path, side, trim
+from foliant.plans.shared import materialise, qualified, shared_path, side, trim
 from foliant.sources.files import open_input, open_output
 
 #: Samples in a row of the stored picture; a payload is padded to full rows.
@@ -94,6 +94,8 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 1 << 30) -> DataFrame
     is itself a written table, are ever read.
     """
 
+    folder = qualified(docs.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, have, at, part = TaskContext.get(), None, {}, 0, 0
         try:

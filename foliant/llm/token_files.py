@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.plans.shared import materialise, shared_path
+from foliant.plans.shared import materialise, qualified, shared_path, trim
 from foliant.sources.files import open_input, open_output
 
 MAGIC = b"FTOKEF01"
@@ -373,6 +373,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     of text at a time, then its boundaries and doc ids. ``n_files`` is the session's number of shuffle partitions by
     default. ``id_bytes`` is 2 or 4.
     """
+    folder = qualified(docs.sparkSession, folder)
     n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +400,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         names = EliasFano.of(np.concatenate(ids).astype(np.int64)).to_bytes()
         out.write(bounds + names + struct.pack(TRAILER, len(bounds), len(names), n, at, nulls, id_bytes, MAGIC))
         out.close()
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([at], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
