@@ -552,3 +552,43 @@ def pdf_documents(spark, d):
     got = read_documents(to_pdf(blocks, "doc").select(F.col("doc").cast("string").alias("path"), "content"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
     return got.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ").alias("text"))
+
+
+# ---- other formats, written from rows and read back
+
+WORDS = r"""SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS text FROM (SELECT doc_id, i, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) s, unnest(range(1, len(ls) + 1)) u(i)) WHERE t <> '' GROUP BY doc_id"""
+
+
+def _as_files(spark, d, kind: str) -> DataFrame:
+    """Every document's lines as paragraphs of a package, read back by the document reader; its words in their order."""
+    from foliant.plans.render import to_package
+    from foliant.sources.packages import read_documents
+
+    lines_ = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    blocks = lines_.where(F.trim("text") != "").withColumn("type", F.lit("text")).withColumn("level", F.lit(None).cast("int"))
+    files = to_package(blocks, "doc", kind).select(F.concat(F.col("doc").cast("string"), F.lit(f".{kind}")).alias("path"), "content")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    name = F.regexp_extract("path", r"^(\d+)", 1).cast("long")
+    return read_documents(files).groupBy(name.alias("doc_id")).agg(F.trim(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ")).alias("text"))
+
+
+@query(WORDS)
+def docx_documents(spark, d):
+    return _as_files(spark, d, "docx")
+
+
+@query(WORDS)
+def epub_documents(spark, d):
+    return _as_files(spark, d, "epub")
+
+
+@query("""SELECT o_custkey, string_agg(o_orderkey || chr(9) || o_orderstatus || chr(9) || 'a, "b"' || chr(9) || o_orderpriority, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey""")
+def csv_tables(spark, d):
+    """Each customer's orders as a CSV file with quoted commas and quotes, read back as a table."""
+    from foliant.sources.packages import read_documents
+
+    row = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.lit('"a, ""b"""'), "o_orderpriority")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"])
+    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(rows, "\r\n").alias("t"))
+    files = files.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), F.col("t").cast("binary").alias("content"))
+    return read_documents(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("o_custkey"), "text")

@@ -626,16 +626,24 @@ class Interpreter:
         return self.fonts[known]
 
     def show(self, s: _State, tm: Matrix, data: bytes, mcid: int | None) -> Matrix:
-        if s.font is None:
+        font, base = s.font, times(tm, s.ctm)
+        if font is None:
             return tm
-        for text, width, blank in s.font.codes(data):
-            m = times((s.size * s.stretch, 0, 0, s.size, 0, s.rise), times(tm, s.ctm))
-            tall = (m[2] ** 2 + m[3] ** 2) ** 0.5
-            for k, c in enumerate(text):  # a ligature's letters share its place
-                self.box("char", m, width * k / len(text), -0.2, width * (k + 1) / len(text), 0.8, text=c, size=round(tall, 4), font=s.font.name, bold=s.font.bold, italic=s.font.italic, mcid=mcid)
-            step = (width * s.size + s.char + (s.word if blank else 0)) * s.stretch
-            tm = times((1, 0, 0, 1, step, 0), tm)
-        return tm
+        a, b, c, d, e, f = base
+        name, bold, italic, put = font.name, font.bold, font.italic, self.out.marks.append
+        up, down, wide, along = s.rise + 0.8 * s.size, s.rise - 0.2 * s.size, s.size * s.stretch, 0.0
+        tall = round((c * c + d * d) ** 0.5 * abs(s.size), 4)
+        flat = not b and not c and a * wide > 0 and d * s.size < 0
+        for text, width, blank in font.codes(data):
+            w = width * wide
+            if flat and len(text) == 1:
+                x = e + a * along
+                put(Mark("char", x, f + d * up, x + a * w, f + d * down, text, tall, name, bold, italic, mcid))
+            else:
+                for k, char in enumerate(text):  # a ligature's letters share its place
+                    self.box("char", base, along + w * k / len(text), down, along + w * (k + 1) / len(text), up, text=char, size=tall, font=name, bold=bold, italic=italic, mcid=mcid)
+            along += w + (s.char + (s.word if blank else 0)) * s.stretch
+        return times((1, 0, 0, 1, along, 0), tm)
 
     def paint(self, s: _State, path: list, filled: bool, drawn: bool) -> None:
         """A path as rules (thin or straight), rectangles and other paths."""
@@ -897,5 +905,16 @@ def paragraphs(chars: list[tuple]) -> Iterator[tuple[int, str, int | None, str]]
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, str, int | None, str]]:
-    """(page, type, level, text) of a file's paragraphs and titles; see ``paragraphs``."""
-    yield from paragraphs([(r[0], r[1], r[3], r[4], r[5], r[6], r[7], r[8], r[10]) for r in marks(data) if r[2] == "char"])
+    """(page, type, level, text) of a file's paragraphs and titles (see ``paragraphs``); pages that can't be read are left out, unless none can."""
+    doc = Document(data)
+    chars: list[tuple] = []
+    failed: Exception | None = PdfError("the file has no pages")
+    for k, head in enumerate(doc.pages()):
+        try:
+            chars += [(k, n, m.text, m.x0, m.y0, m.x1, m.y1, m.size, m.bold) for n, m in enumerate(Interpreter(doc, head).run().marks) if m.kind == "char"]
+            failed = None
+        except FAILURES as e:
+            failed = None if chars else e
+    if failed:
+        raise failed
+    yield from paragraphs(chars)
