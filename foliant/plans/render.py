@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from html import escape
+from html.parser import HTMLParser
 from xml.sax.saxutils import escape as xml_escape
 
 import pandas as pd
@@ -94,28 +95,133 @@ def to_structured(blocks: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("page_idx", "blocks"))).alias("pages"))).alias("json"))
 
 
+class _Grid(HTMLParser):
+    """Rows of (text, rowspan, colspan) of a table element."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[list[list]] = []
+        self.open = False
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            span = lambda k: int(given[k]) if (given.get(k) or "").isdigit() and 0 < int(given[k]) <= 1000 else 1
+            self.rows[-1].append(["", span("rowspan"), span("colspan")])
+            self.open = True
+        elif tag == "br" and self.open:
+            self.rows[-1][-1][0] += "\n"
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th"):
+            self.open = False
+
+    def handle_data(self, data):
+        if self.open:
+            self.rows[-1][-1][0] += data
+
+
+def grid_of(html: str) -> list[list[list]]:
+    """Rows of [text, rowspan, colspan] of a table element's cells."""
+    g = _Grid()
+    g.feed(html)
+    return g.rows
+
+
+def _run(text: str, style: str = "") -> str:
+    clean = "".join(c if c in "\t\n" or ord(c) >= 32 else "\ufffd" for c in text or "")
+    parts = [f'<w:t xml:space="preserve">{xml_escape(x)}</w:t>' for x in clean.split("\n")]
+    return f"<w:r>{style}{'<w:br/>'.join(parts)}</w:r>"
+
+
+def _docx_table(html: str) -> str:
+    """A table with joined cells: a cell over several rows goes on as empty ones below."""
+    out, held = [], {}
+    for row in grid_of(html):
+        cells, col = [], 0
+
+        def below() -> None:
+            nonlocal col
+            while col in held:
+                left, wide = held[col]
+                held[col] = (left - 1, wide)
+                if left == 1:
+                    del held[col]
+                cells.append(f'<w:tc><w:tcPr><w:gridSpan w:val="{wide}"/><w:vMerge/></w:tcPr><w:p/></w:tc>')
+                col += wide
+
+        for text, tall, wide in row:
+            below()
+            merge = '<w:vMerge w:val="restart"/>' if tall > 1 else ""
+            cells.append(f'<w:tc><w:tcPr><w:gridSpan w:val="{wide}"/>{merge}</w:tcPr><w:p>{_run(text.strip())}</w:p></w:tc>')
+            if tall > 1:
+                held[col] = (tall - 1, wide)
+            col += wide
+        below()
+        out.append(f"<w:tr>{''.join(cells)}</w:tr>")
+    edge = "".join(f'<w:{k} w:val="single" w:sz="4"/>' for k in ("top", "left", "bottom", "right", "insideH", "insideV"))
+    return f"<w:tbl><w:tblPr><w:tblBorders>{edge}</w:tblBorders></w:tblPr>{''.join(out)}</w:tbl>"
+
+
 def docx_bytes(rows: list[tuple]) -> bytes:
-    """A WordprocessingML package of (type, level, text) blocks."""
-    body = []
-    for kind, level, text in rows:
-        style = f'<w:pPr><w:pStyle w:val="Heading{int(level or 1)}"/></w:pPr>' if kind in ("doc_title", "paragraph_title") else ""
-        clean = "".join(c if c in "\t\n" or ord(c) >= 32 else "\ufffd" for c in text or "")
-        body.append(f'<w:p>{style}<w:r><w:t xml:space="preserve">{xml_escape(clean)}</w:t></w:r></w:p>')
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    """A WordprocessingML package of (type, level, text, html, href, ordered) blocks: headings, lists, tables, links and code."""
+    body, links = [], []
+    for kind, level, text, html, href, ordered in rows:
+        props = ""
+        if kind in ("doc_title", "paragraph_title"):
+            props = f'<w:pStyle w:val="Heading{min(max(int(level or 1), 1), 6)}"/>'
+        elif kind == "list_item":
+            props = f'<w:numPr><w:ilvl w:val="{min(max(int(level or 1), 1), 9) - 1}"/><w:numId w:val="{2 if ordered else 1}"/></w:numPr>'
+        if kind == "table" and html:
+            body.append(_docx_table(html))
+            continue
+        run = _run(text, '<w:rPr><w:rFonts w:ascii="Courier New" w:hAnsi="Courier New"/></w:rPr>' if kind == "code" else "")
+        if href:
+            links.append(href)
+            run = f'<w:hyperlink r:id="l{len(links)}">{run}</w:hyperlink>'
+        body.append(f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{run}</w:p>")
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     heads = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 7))
+    formats = "".join(
+        f'<w:abstractNum w:abstractNumId="{n}">' + "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{mark.format(k + 1)}"/></w:lvl>' for k in range(9)) + "</w:abstractNum>"
+        for n, kind, mark in ((1, "bullet", "•"), (2, "decimal", "%{}."))
+    )
+    numbers = "".join(f'<w:num w:numId="{n}"><w:abstractNumId w:val="{n}"/></w:num>' for n in (1, 2))
+    base = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    outer = "".join(f'<Relationship Id="l{k}" Type="{base}/hyperlink" Target="{escape(x)}" TargetMode="External"/>' for k, x in enumerate(links, 1))
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    parts = "".join(f'<Override PartName="/word/{name}.xml" ContentType="{kind}.{name if name != "document" else "document.main"}+xml"/>' for name in ("document", "styles", "numbering"))
     return _zip({
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{parts}</Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{base}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{base}/styles" Target="styles.xml"/><Relationship Id="r2" Type="{base}/numbering" Target="numbering.xml"/>{outer}</Relationships>',
         "word/styles.xml": f"<w:styles {ns}>{heads}</w:styles>",
+        "word/numbering.xml": f"<w:numbering {ns}>{formats}{numbers}</w:numbering>",
         "word/document.xml": f"<w:document {ns}><w:body>{''.join(body)}</w:body></w:document>",
     })
 
 
 def epub_bytes(rows: list[tuple], title: str) -> bytes:
-    """An EPUB 3 package with one body document."""
-    tag = lambda k, lv: f"h{int(lv or 2)}" if k in ("doc_title", "paragraph_title") else "p"
-    body = "".join(f"<{tag(k, lv)}>{escape(t or '')}</{tag(k, lv)}>" for k, lv, t in rows)
+    """An EPUB 3 package with one body document: headings, paragraphs, lists, tables, code and links."""
+    body = []
+    for kind, level, text, html, href, ordered in rows:
+        shown = escape(text or "")
+        if href and kind != "image":
+            shown = f'<a href="{escape(href)}">{shown}</a>'
+        tag = {"list_item": "li", "code": "pre", "quote": "blockquote"}.get(kind, "p")
+        if kind in ("doc_title", "paragraph_title"):
+            tag = f"h{min(max(int(level or 2), 1), 6)}"
+        if kind == "table" and html:
+            spans = lambda c: (f' rowspan="{c[1]}"' if c[1] > 1 else "") + (f' colspan="{c[2]}"' if c[2] > 1 else "")
+            body.append("<table>" + "".join("<tr>" + "".join(f"<td{spans(c)}>{escape(c[0].strip())}</td>" for c in r) + "</tr>" for r in grid_of(html) if r) + "</table>")
+        elif tag == "li":
+            frame = "ol" if ordered else "ul"
+            body.append(f"<{frame}><li>{shown}</li></{frame}>")
+        else:
+            body.append(f"<{tag}>{shown}</{tag}>")
+    body = "".join(body)
     page = f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(title)}</title></head><body>{body}</body></html>'
     nav = '<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>nav</title></head><body><nav epub:type="toc"><ol><li><a href="body.xhtml">Text</a></li></ol></nav></body></html>'
     opf = f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{escape(title)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>und</dc:language></metadata><manifest><item id="b" href="body.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="b"/></spine></package>'
@@ -140,11 +246,14 @@ def to_package(blocks: DataFrame, key: str, kind: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["page_idx", "idx"], kind="stable")
-        rows = [(k, None if pd.isna(lv) else lv, t) for k, lv, t in zip(pdf["type"], pdf["level"], pdf["text"])]
+        rows = [(k, None if pd.isna(lv) else lv, t, x, h, bool(o)) for k, lv, t, x, h, o in zip(*[pdf[c] for c in ("type", "level", "text", "html", "href", "ordered")])]
         name = pdf[key].iloc[0]
         return pd.DataFrame({key: [name], "content": [docx_bytes(rows) if kind == "docx" else epub_bytes(rows, str(name))]})
 
-    d = planned(blocks).select(key, page.alias("page_idx"), "idx", "type", "level", "text")
+    none = F.lit(None).cast("string")
+    more = [(F.col(c) if c in blocks.columns else none).alias(c) for c in ("html", "href")]
+    ordered = F.coalesce(F.col("ordered") if "ordered" in blocks.columns else F.lit(False), F.lit(False)).alias("ordered")
+    d = planned(blocks).select(key, page.alias("page_idx"), "idx", "type", "level", "text", *more, ordered)
     return d.groupBy(key).applyInPandas(run, f"{key} {dtype}, content binary")
 
 

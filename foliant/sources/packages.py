@@ -17,6 +17,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.functions.formats import BUILTIN, format_value
 from foliant.functions.mathml import omml_to_latex
 from foliant.sources import compound, pdf
 from foliant.sources.delimited import records
@@ -149,13 +150,22 @@ def column_number(letters: str) -> int:
 
 
 def sheets(data: bytes) -> Iterator[tuple[int, str, dict[tuple[int, int], str], list[tuple[int, int, int, int]]]]:
-    """(index, name, cells by (row, col), merged ranges) of each visible sheet of an XLSX file."""
+    """(index, name, cells by (row, col), merged ranges) of each visible sheet of an XLSX file; numbers as their formats show them."""
     p = Package(data)
     shared = []
     if (root := p.xml("xl/sharedStrings.xml")) is not None:
         shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in root]
     rels = p.relations("xl/workbook.xml")
     book = p.xml("xl/workbook.xml")
+    codes, own = [], {}
+    if (styles := p.xml("xl/styles.xml")) is not None:
+        for e in styles.iter():
+            if local(e.tag) == "numFmt":
+                own[int(e.get("numFmtId", 0))] = e.get("formatCode", "General")
+        for xf in (x for e in styles if local(e.tag) == "cellXfs" for x in e):
+            n = int(xf.get("numFmtId", 0))
+            codes.append(own.get(n, BUILTIN.get(n, "General")))
+    since_1904 = any(local(e.tag) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book.iter())
     for k, s in enumerate(x for x in book.iter() if local(x.tag) == "sheet"):
         if s.get("state") in ("hidden", "veryHidden"):
             continue
@@ -171,6 +181,8 @@ def sheets(data: bytes) -> Iterator[tuple[int, str, dict[tuple[int, int], str],
                     v = "".join(t.text or "" for t in e.iter() if local(t.tag) == "t")
                 elif kind == "b":
                     v = "TRUE" if v == "1" else "FALSE"
+                elif kind in (None, "n") and v and (code := codes[int(e.get("s", 0))] if int(e.get("s", 0)) < len(codes) else "General") != "General":
+                    v = format_value(float(v), code, since_1904)
                 if v:
                     cells[int(m[2]) - 1, column_number(m[1])] = v
             elif local(e.tag) == "mergeCell" and (m := re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", e.get("ref", ""))):

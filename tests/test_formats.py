@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from foliant.functions import images
-from foliant.functions.formats import format_value
+from foliant.functions.formats import BUILTIN, format_value
 from foliant.functions.mathml import mathml_to_latex, omml_to_latex
 from foliant.sources.fixed_layout import deltas, lines_of, ofd, pdf, read_chars
 from foliant.sources.main_content import select, text_of
@@ -102,3 +102,45 @@ def test_metadata():
     assert properties(html, "a.html")[:6] == ("a.html", "html", "B", ["X"], None, "fr")
     docx = zipped({"word/document.xml": "<d/>", "docProps/core.xml": "<c xmlns:dc='http://d'><dc:title>T</dc:title><dc:creator>Y</dc:creator></c>", "docProps/app.xml": "<a><Pages>3</Pages></a>"})
     assert properties(docx)[2:4] == ("T", ["Y"]) and properties(docx)[8] == 3
+
+
+RICH = [
+    ("paragraph_title", 1, "Top", None, None, None), ("text", None, "See the site", None, "https://example.org/?a=1&b=2", None), ("list_item", 1, "first", None, None, False), ("list_item", 2, "inner", None, None, True),
+    ("table", None, "a\tb", '<table><tr><th rowspan="2">a</th><th colspan="2">b</th></tr><tr><td>c</td><td>d &amp; e</td></tr></table>', None, None), ("text", None, "The end.", None, None, None),
+]
+
+
+def test_packages_keep_lists_tables_and_links():
+    from foliant.plans.render import docx_bytes, epub_bytes
+    from foliant.sources.packages import parse
+
+    for data, name in ((docx_bytes(RICH), "a.docx"), (epub_bytes(RICH, "t"), "a.epub")):
+        assert data == (docx_bytes(RICH) if name == "a.docx" else epub_bytes(RICH, "t"))
+        got = parse(data, name)
+        by = {}
+        for r in got:
+            by.setdefault(r[5], []).append(r)
+        assert [r[7] for k in ("doc_title", "paragraph_title") for r in by.get(k, [])] == ["Top"] and [r[7] for r in by["text"]] == ["See the site", "The end."]
+        assert [(r[7], bool(r[10])) for r in by["list_item"]] == [("first", False), ("inner", True)]
+        (t,) = by["table"]
+        assert 'rowspan="2">a' in t[8] and 'colspan="2">b' in t[8] and "<td>d &amp; e</td>" in t[8]
+        assert by["text"][0][9] == "https://example.org/?a=1&b=2"
+
+
+def test_sheet_numbers_are_shown_by_their_formats():
+    from foliant.sources.packages import parse
+
+    ns = "xmlns='http://m' xmlns:r='http://r'"
+    data = zipped({
+        "[Content_Types].xml": "<Types/>", "xl/workbook.xml": f"<workbook {ns}><sheets><sheet name='S' r:id='r1'/></sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": "<Relationships><Relationship Id='r1' Type='t' Target='worksheets/s.xml'/></Relationships>",
+        "xl/styles.xml": "<styleSheet><numFmts><numFmt numFmtId='170' formatCode='yyyy-mm-dd'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='10'/><xf numFmtId='170'/><xf numFmtId='4'/></cellXfs></styleSheet>",
+        "xl/worksheets/s.xml": "<worksheet><sheetData><row><c r='A1'><v>1.5</v></c><c r='B1' s='1'><v>0.125</v></c><c r='C1' s='2'><v>45292</v></c><c r='D1' s='3'><v>1234.5</v></c><c r='E1' s='9'><v>7</v></c></row></sheetData></worksheet>",
+    })
+    (row,) = parse(data, "a.xlsx")
+    assert row[7] == "1.5\t12.50%\t2024-01-01\t1,234.50\t7"
+
+
+def test_formats_of_odd_numbers_do_not_raise():
+    assert format_value(float("inf"), "0.00") == "inf" and format_value(1e9, "yyyy-mm-dd") == "#####" and format_value(1e-6, None) == "1e-06"
+    assert BUILTIN[14] == "mm-dd-yy" and BUILTIN[22] == "m/d/yy h:mm" and BUILTIN[40].startswith("#,##0.00;[Red]")
