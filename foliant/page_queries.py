@@ -310,7 +310,7 @@ def places(spark, d) -> DataFrame:
     return _of(spark, d, "part", PLACE)
 
 
-TABLES = """(SELECT doc, "left", "right", min(x0) AS x0, max(x1) AS x1, min(y) AS top, max(y) AS bottom, count(*) AS n FROM (SELECT *, sum(CASE WHEN y - p <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, "left", "right" ORDER BY y ROWS UNBOUNDED PRECEDING) AS t
+TABLES = """(SELECT doc, "left", "right", min(x0) AS x0, max(x1) AS x1, min(y) AS top, max(y) AS bottom, count(*) AS n FROM (SELECT *, sum(CASE WHEN y - p <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, "left", "right" ORDER BY y) AS t
  FROM (SELECT *, lag(y) OVER (PARTITION BY doc, "left", "right" ORDER BY y) AS p FROM (SELECT *, round(x0 / 2) AS "left", round(x1 / 2) AS "right" FROM r))) GROUP BY doc, "left", "right", t HAVING count(*) >= 2)"""
 
 
@@ -386,7 +386,7 @@ def column_occupancy(spark, d):
     return page_tables.column_occupancy(lines(spark, d).select("page", "idx", "x0", "x1"), t, ["page"])
 
 
-@query(M + """, u AS (SELECT page, min(x0) AS a, max(x1) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM r)) GROUP BY page, g)
+@query(M + """, u AS (SELECT page, min(x0) AS a, max(x1) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM (SELECT DISTINCT page, x0, x1 FROM r))) GROUP BY page, g)
  SELECT z.page, cx0 AS lo, cx1 AS hi, sum(coalesce(greatest(0, least(cx1, b) - greatest(cx0, a)), 0)) / (cx1 - cx0) AS covered FROM (SELECT DISTINCT page, cx0, cx1 FROM z) z LEFT JOIN u ON z.page = u.page GROUP BY z.page, cx0, cx1""")
 def rule_coverage(spark, d):
     s = places(spark, d).select("page", F.col("cx0").alias("lo"), F.col("cx1").alias("hi")).distinct()
