@@ -36,7 +36,8 @@ def ship(spark: SparkSession) -> None:
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its store's scheme: without one it is in the default store, on executors as on the driver."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 def shared_dir(spark: SparkSession) -> str:
