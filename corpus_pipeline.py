@@ -11,7 +11,7 @@ from foliant.llm.decontaminate import decontaminated
 from foliant.llm.mixing import laid_out
 from foliant.llm.sharding import shard
 from foliant.llm.similar import similar_dedup
-from foliant.plans.shared import materialise, ship
+from foliant.plans.shared import give_back, materialise, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns of the input are kept as they are.
     """
     ship(spark)
+    give_back(spark)
     return langid.accepted(docs, langid.train(docs))
 
 
@@ -38,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     any name are kept.
     """
     ship(spark)
+    give_back(spark)
     return similar_dedup(docs)
 
 
@@ -50,6 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns of any name are kept.
     """
     ship(spark)
+    give_back(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -62,6 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alike; an empty table gives no rows; columns of any name are kept.
     """
     ship(spark)
+    give_back(spark)
     return laid_out(docs)
 
 
@@ -74,6 +78,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other columns are not read.
     """
     ship(spark)
+    give_back(spark)
     return shard(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

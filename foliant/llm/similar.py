@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.trie_join import near_links, one_of_each, text_key
 from foliant.operators.components import connected_components
-from foliant.plans.shared import materialise, side, trim, whole_groups
+from foliant.plans.shared import give_back, materialise, side, trim, whole_groups
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 SHINGLE = 5
@@ -204,32 +204,40 @@ def similar_components(docs: DataFrame, threshold: float = THRESHOLD, few: int =
     are compared whole; ties can't arise, since no pair is preferred; rows
     with a null doc_id take part; repeated rows stay; no rows give no rows.
     """
+    spark = docs.sparkSession
+
+    def settled(df: DataFrame, label: str) -> DataFrame:
+        """``materialise``; then the driver gives back what that step's plan and broadcasts took."""
+        got = materialise(df, label)
+        give_back(spark)
+        return got
+
     common, counts = _common(docs)
-    prints = materialise(_each(docs, "key long, fp long, n int, h array<long>, s array<long>", _prefixes(common, counts)), "prefixes")
+    prints = settled(_each(docs, "key long, fp long, n int, h array<long>, s array<long>", _prefixes(common, counts)), "prefixes")
     row = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t1", "t2")).alias("row")
-    nodes = materialise(prints.groupBy("key").agg(row, *[F.first(c).alias(c) for c in ("fp", "n", "h", "s")]), "nodes")
+    nodes = settled(prints.groupBy("key").agg(row, *[F.first(c).alias(c) for c in ("fp", "n", "h", "s")]), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = [nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab"]
         apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
         near = pairs.join(sides[0], "a").join(sides[1], "b").where(apart <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-9)
-        near = materialise(near.select("a", "b"), "candidates")
+        near = settled(near.select("a", "b"), "candidates")
         keys = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
         rows = nodes.join(keys, "key", "left_semi").select(F.col("row.doc_id").alias("__i"), F.col("row.t1").alias("__1"), F.col("row.t2").alias("__2"))
-        rows = side(materialise(rows, "held"))
+        rows = side(settled(rows, "held"))
         t1, t2 = text_key()
         held = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__i"]) & (t1 == rows["__1"]) & (t2 == rows["__2"]), "left_semi")
-        sets = materialise(_each(held.select("doc_id", "text"), "key long, h array<long>", _sets).select("key", "h"), "sets")
+        sets = settled(_each(held.select("doc_id", "text"), "key long, h array<long>", _sets).select("key", "h"), "sets")
         once = sets.agg(F.count("key").alias("n"), F.count_distinct("key").alias("m")).first()
         if once.n != once.m:  # rows that repeat
             sets = sets.groupBy("key").agg(F.first("h").alias("h"))
         sides = [sets.select(F.col("key").alias(c), F.col("h").alias(f"h{c}")) for c in "ab"]
         both = near.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         sure = F.col("common") / (F.size("ha") + F.size("hb") - F.col("common")) >= threshold
-        return materialise(both.where(sure).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        return settled(both.where(sure).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
-    named = nodes.groupBy("fp").agg(F.min("key").alias("first"))
-    close = materialise(near_links(named.select("fp"), budget), "close")
+    named = settled(nodes.groupBy("fp").agg(F.min("key").alias("first")), "named")
+    close = settled(near_links(named.select("fp"), budget), "close")
     ends = [named.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key")) for c in ("src", "dst")]
     tried = close.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))
     equal = nodes.select("key", "fp").join(named, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
@@ -244,16 +252,16 @@ def similar_components(docs: DataFrame, threshold: float = THRESHOLD, few: int =
 
     schema = "h long, a long, b long, n int, pos int"
     posted = labelled(nodes.select("key", "n", "h"), near).select("key", "n", "label", F.posexplode("h").alias("pos", "h")).select("h", "key", "n", "pos", "label")
-    first = materialise(posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, False), schema), "pairs")
-    tried = materialise(first.where("b is not null").select("a", "b").distinct(), "tried")
+    first = settled(posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, False), schema), "pairs")
+    tried = settled(first.where("b is not null").select("a", "b").distinct(), "tried")
     links = links.union(verified(tried))
     large = first.where("h is not null")
     if large.limit(1).count():
-        comp = materialise(connected_components(links), "setcomp")
+        comp = settled(connected_components(links, between=lambda: give_back(spark)), "setcomp")
         posted = labelled(large.withColumnRenamed("a", "key"), comp).select("h", "key", "n", "pos", "label")
         rest = posted.repartition("h").sortWithinPartitions("h").mapInArrow(_bucket_pairs(threshold, few, True), schema).select("a", "b").distinct()
-        links = links.union(verified(materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")))
-    comp = materialise(connected_components(links), "setcomp")
+        links = links.union(verified(settled(rest.join(tried, ["a", "b"], "left_anti"), "rest")))
+    comp = settled(connected_components(links, between=lambda: give_back(spark)), "setcomp")
     roots = labelled(nodes.select("key"), comp).select(F.col("key").alias("__key"), F.col("label").alias("root"))
     return prints.join(roots, prints.key == F.col("__key")).select("doc_id", "t1", "t2", "root")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,14 @@ def _small_star(edges: DataFrame, hub: int, hubs: bool) -> DataFrame:
     return to_least.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, hub: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, hub: int | None = None, between: Callable[[], None] | None = None) -> DataFrame:
     """One row (node, component) for each node that has an edge; a component's id is its smallest node.
 
     Each round contracts stars (two joins and distinct edges), is written to
     the shared folder, and the rounds end when an edge set repeats. Where a
     node, by all its edges, is a hub (see ``hub_size``), the round's joins
-    leave hubs' edges where they lie. Nodes without edges, and edges with a
-    null end, are left out.
+    leave hubs' edges where they lie. ``between`` is called after each round.
+    Nodes without edges, and edges with a null end, are left out.
     """
     spark = edges.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,6 +75,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         after = materialise(after, "", new)
         n, seen, most = state(after)
         forget(spark, path)
+        if between:
+            between()
         now, path, done, mark = after, new, (n, seen) == mark, (n, seen)
         if done:
             break

@@ -99,3 +99,38 @@ def test_rows_that_share_an_id_are_told_by_their_texts(spark):
     a, b, c = (prose(rng, 40) for _ in range(3))
     docs = spark.createDataFrame(rows([(1, a), (2, a), (2, b), (None, c), (None, c), (None, b), (3, ""), (4, None)]), SCHEMA)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in similar_dedup(docs).collect()) == sorted([(False, 1, a), (False, 2, b), (True, 0, c), (False, 3, "")])
+
+
+def test_the_driver_gives_back_broadcasts_between_steps(spark, corpus, monkeypatch):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from foliant.llm import similar
+
+    stored = spark.sparkContext._jsc.sc().env().memoryManager().storageMemoryUsed
+    give_back, steps = similar.give_back, []
+
+    def option():
+        of = spark._jvm.java.lang.Class.forName
+        kind = of("com.sun.management.HotSpotDiagnosticMXBean")
+        types, values = (spark.sparkContext._gateway.new_array(x, 1) for x in (spark._jvm.java.lang.Class, spark._jvm.java.lang.Object))
+        types[0], values[0] = of("java.lang.String"), "MaxHeapFreeRatio"
+        return kind.getMethod("getVMOption", types).invoke(spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind), values).getValue()
+
+    was = option()
+    before = stored()
+    for k in range(8):
+        assert spark.range(1000).join(F.broadcast(spark.range(k, 50_000)), "id").count()
+    held = stored() - before
+    give_back(spark)
+    for _ in range(50):
+        if stored() < before + held // 2:
+            break
+        time.sleep(0.2)
+    assert stored() < before + held // 2 or held <= 0
+    assert option() == was
+
+    monkeypatch.setattr(similar, "give_back", lambda s: (give_back(s), steps.append(s)))
+    got = {(r.doc_id, r.t1): r.root for r in similar_components(corpus).collect()}
+    assert len(got) == 300 and len(steps) > 10
