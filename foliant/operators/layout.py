@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from math import isfinite
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from foliant.functions import bbox
 from foliant.functions.text import marginal_key
 from foliant.operators.relational import interval_join, last_behind_barrier
+from foliant.plans.shared import group_codes, whole_groups
 
 # Marks after which a paragraph is over.
 STOP_MARKS = ".!?。！？)）\"”:：;；"
@@ -22,44 +24,28 @@ STOP_MARKS = ".!?。！？)）\"”:：;；"
 HEADER, FOOTER, SHIFT, GROWTH = 0.15, 0.90, 0.025, 1.35
 
 
-def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], list[int]], out: str) -> DataFrame:
-    """Adds the whole numbers that ``fn`` gives for the rows of each group, in ``order``.
+def per_group(df: DataFrame, keys: list[str], order: list[str], values: list[str], fn: Callable[..., list[int]], out: str, dtype: str | None = None) -> DataFrame:
+    """Adds the whole numbers that ``fn`` gives for the lists of ``values`` (as ``dtype``) of each group's rows, in ``order``.
 
-    Groups are runs of a sorted partition, cut out of the Arrow batches as
-    they come: many small groups cost no more than their rows, and one group
-    at a time is held.
+    Groups are runs of a sorted partition, taken from tables that hold some
+    thousand rows of whole groups: a small group costs no more than its rows.
     """
     schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            cuts = [*new.nonzero()[0].tolist(), len(pdf)]
-            values: list[int] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys, 8192):
+            new = np.zeros(len(table) - 1, bool)
+            for k in keys:
+                codes = group_codes(table, k)
+                new |= codes[1:] != codes[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(table)]
+            columns = [np.asarray(table.column(v).to_numpy(), dtype).tolist() for v in values]
+            got: list[int] = []
             for lo, hi in zip(cuts, cuts[1:]):
-                values += fn(pdf.iloc[lo:hi])
-            return pdf.assign(**{out: pd.Series(values, dtype="int32")})
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            last = (pdf[keys] != pdf[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
-            at = int(last[-1]) + 1 if len(last) else 0
-            if at:
-                yield done([*held, pdf.iloc[:at]])
-                held = [pdf.iloc[at:]]
-            elif held and (held[-1][keys].iloc[-1] != pdf[keys].iloc[0]).any():
-                yield done(held)
-                held = [pdf]
-            else:
-                held.append(pdf)
-        if held:
-            yield done(held)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+                got += fn(*[c[lo:hi] for c in columns])
+            yield from table.append_column(out, pa.array(got, pa.int32())).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relative: bool = False) -> DataFrame:
@@ -70,12 +56,12 @@ def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relat
     is that of a key's different values, not of its rows. Equal values share
     a cluster: once one has joined, the median only comes nearer to them.
     """
-    def run(group: pd.DataFrame) -> list[int]:
+    def run(found: list[float], counts: list[int]) -> list[int]:
         labels: list[int] = []
         values: list[float] = []
         upto: list[int] = []
         label = -1
-        for v, n in zip(group[value].tolist(), group["__n"].tolist()):
+        for v, n in zip(found, counts):
             total = upto[-1] if upto else 0
             if total:
                 mid = (values[bisect_right(upto, (total - 1) // 2)] + values[bisect_right(upto, total // 2)]) / 2
@@ -87,7 +73,7 @@ def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relat
         return labels
 
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    named = per_group(counts, keys, [value], run, "cluster").drop("__n")
+    named = per_group(counts, keys, [value], [value, "__n"], run, "cluster").drop("__n")
     other = named.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(value).alias("__value"), "cluster")
     same = F.col(value).eqNullSafe(F.col("__value"))
     for k in keys:
@@ -98,6 +84,8 @@ def clusters(df: DataFrame, keys: list[str], value: str, tolerance: float, relat
 # Fixed values of the reading order: a wide box by the median width, the share of a dense region, the least white gap in points,
 # the least sideways overlap and number of boxes that a wide one spans, and the share of a region's width up to which a box is narrow.
 WIDE, DENSE, WHITE, SPANNED, SPANS, NARROW = 1.3, 0.9, 5.0, 0.1, 2, 0.1
+#: Boxes up to which a region is ordered without arrays: for few boxes these cost more than the work on them.
+FEW = 64
 
 
 def _white(lo: np.ndarray, hi: np.ndarray) -> tuple[float, float]:
@@ -110,6 +98,81 @@ def _white(lo: np.ndarray, hi: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(start[k] - reach[k])), float(start[k] + reach[k]) / 2
 
 
+def _white_few(spans: list[tuple[float, float]]) -> tuple[float, float]:
+    """``_white`` of few intervals."""
+    if len(spans) < 2:
+        return 0.0, 0.0
+    spans = sorted(spans)
+    reach, best, at = spans[0][1], float("-inf"), 0.0
+    for lo, hi in spans[1:]:
+        if lo - reach > best:
+            best, at = lo - reach, (lo + reach) / 2
+        if hi > reach:
+            reach = hi
+    return max(0.0, best), at
+
+
+def _few(x0: list[float], y0: list[float], x1: list[float], y1: list[float]) -> list[int]:
+    """``xy_cut`` of few boxes, step by step the same."""
+    width = [b - a for a, b in zip(x0, x1)]
+
+    def from_top(ids: list[int]) -> list[int]:
+        return sorted(ids, key=lambda i: (y0[i], x0[i], i))
+
+    def region(ids: list[int]) -> list[int]:
+        n = len(ids)
+        if n < 2:
+            return ids
+        wide: list[int] = []
+        if n > 2:
+            sizes = sorted([width[i] for i in ids])
+            bar = WIDE * ((sizes[(n - 1) // 2] + sizes[n // 2]) / 2)
+            for i in ids if sizes[-1] >= bar else ():
+                if width[i] >= bar:
+                    a, b, w = x0[i], x1[i], width[i]
+                    if sum([min(x1[j], b) - max(x0[j], a) >= SPANNED * min(width[j], w) for j in ids]) - 1 >= SPANS:
+                        wide.append(i)
+        if not wide:
+            return cut(ids)
+        across = set(wide)
+        wide, rest = from_top(wide), [i for i in ids if i not in across]
+        starts, bands = [y0[i] for i in wide], [[] for _ in range(len(wide) + 1)]
+        for i in cut(rest):
+            bands[bisect_left(starts, y1[i])].append(i)
+        out = bands[0]
+        for i, band in zip(wide, bands[1:]):
+            out += [i, *band]
+        return out
+
+    def cut(ids: list[int]) -> list[int]:
+        if len(ids) < 2:
+            return ids
+        xs, ys = [(x0[i], x1[i]) for i in ids], [(y0[i], y1[i]) for i in ids]
+        left, top, right, bottom = min(xs)[0], min(ys)[0], max([b for _, b in xs]), max([b for _, b in ys])
+        rows, columns = _white_few(ys), _white_few(xs)
+        if columns[0] < WHITE and len(ids) > 2:
+            broad = [v for v in xs if v[1] - v[0] >= NARROW * (right - left)]
+            if 2 <= len(broad) < len(ids):
+                again = _white_few(broad)
+                columns = again if again[0] >= WHITE else columns
+        if rows[0] < WHITE and columns[0] < WHITE:
+            return from_top(ids)
+        areas, page = [width[i] * (y1[i] - y0[i]) for i in ids], (right - left) * (bottom - top)
+        share = sum(areas) / page if page else float("inf")
+        if abs(share - DENSE) < 1e-9:  # as near as that, the sum's rounding counts
+            share = float(np.sum(np.array(areas))) / page
+        by_row, by_column = (rows, ys), (columns, xs)
+        for (gap, at), spans in (by_row, by_column) if share > DENSE else (by_column, by_row):
+            if gap >= WHITE:
+                first = [(a + b) / 2 < at for a, b in spans]
+                if any(first) and not all(first):
+                    return region([i for i, f in zip(ids, first) if f]) + region([i for i, f in zip(ids, first) if not f])
+                break
+        return from_top(ids)
+
+    return region(list(range(len(x0))))
+
+
 def xy_cut(sides: np.ndarray) -> list[int]:
     """The reading order of boxes (rows x0, y0, x1, y1): recursive cuts at white gaps, wide boxes put back between.
 
@@ -120,13 +183,15 @@ def xy_cut(sides: np.ndarray) -> list[int]:
     can't be cut goes from the top, then from the left. Each wide box comes
     behind all that ends above it.
     """
+    if len(sides) <= FEW:
+        return _few(*sides.T.tolist())
     x0, y0, x1, y1 = sides.T
     width = x1 - x0
     from_top = lambda ids: ids[np.lexsort((ids, x0[ids], y0[ids]))]
 
     def region(ids: np.ndarray) -> np.ndarray:
-        if len(ids) < 2:
-            return ids
+        if len(ids) <= FEW:
+            return ids[_few(*sides[ids].T.tolist())]
         across = np.zeros(len(ids), bool)
         if len(ids) > 2:
             for k in np.flatnonzero(width[ids] >= WIDE * np.median(width[ids])):
@@ -168,17 +233,19 @@ def reading_order(df: DataFrame, keys: list[str], index: str = "idx") -> DataFra
 
     The cuts are decided by the page as a whole, so a page is one group.
     """
-    def run(group: pd.DataFrame) -> list[int]:
-        sides = group[["x0", "y0", "x1", "y1"]].to_numpy(np.float64, na_value=np.nan)
-        good = np.isfinite(sides).all(axis=1) & (sides[:, 2] > sides[:, 0]) & (sides[:, 3] > sides[:, 1])
-        ids = np.flatnonzero(good)
-        order = [*ids[xy_cut(sides[ids])].tolist(), *np.flatnonzero(~good).tolist()] if len(ids) else np.flatnonzero(~good).tolist()
-        place = [0] * len(order)
+    def run(*sides: list[float]) -> list[int]:
+        good = [a < c and b < d and isfinite(c - a) and isfinite(d - b) for a, b, c, d in zip(*sides)]
+        ids = [i for i, g in enumerate(good) if g]
+        some = [[v[i] for i in ids] for v in sides] if len(ids) < len(good) else sides
+        order = _few(*some) if len(ids) <= FEW else xy_cut(np.array(some).T)
+        place = [0] * len(good)
         for k, i in enumerate(order):
+            place[ids[i]] = k
+        for k, i in enumerate([i for i, g in enumerate(good) if not g], len(ids)):
             place[i] = k
         return place
 
-    return per_group(df, keys, [index], run, "position")
+    return per_group(df, keys, [index], ["x0", "y0", "x1", "y1"], run, "position", "float64")
 
 
 def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:

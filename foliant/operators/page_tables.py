@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,13 +149,13 @@ def visual_rows(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     Near is 0.75 points or 0.4 of the median height, if that is more. A row's
     bounds grow with its members, so the scan is one after another.
     """
-    def run(group: pd.DataFrame) -> list[int]:
-        heights = sorted((group["y1"] - group["y0"]).tolist())
+    def run(tops: list[float], bottoms: list[float]) -> list[int]:
+        heights = sorted([b - a for a, b in zip(tops, bottoms)])
         n = len(heights)
         near = max(0.75, 0.4 * (heights[n // 2] + heights[(n - 1) // 2]) / 2)
         rows: list[list[float]] = []
         out = []
-        for top, bottom in zip(group["y0"].tolist(), group["y1"].tolist()):
+        for top, bottom in zip(tops, bottoms):
             best, least = -1, float("inf")
             for k in range(len(rows) - 1, -1, -1):
                 lo, hi = rows[k]
@@ -172,7 +171,7 @@ def visual_rows(glyphs: DataFrame, keys: list[str]) -> DataFrame:
             out.append(best)
         return out
 
-    return per_group(glyphs.withColumn("cy", (F.col("y0") + F.col("y1")) / 2), keys, ["cy", "x0", "idx"], run, "row").drop("cy")
+    return per_group(glyphs.withColumn("cy", (F.col("y0") + F.col("y1")) / 2), keys, ["cy", "x0", "idx"], ["y0", "y1"], run, "row", "float64").drop("cy")
 
 
 def link_spans(chars: DataFrame, links: DataFrame, keys: list[str], width: float = 100.0) -> DataFrame:

@@ -100,6 +100,13 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def group_codes(table: pa.Table, key: str) -> np.ndarray:
+    """Equal numbers for equal values of a column, missing ones too."""
+    column = table.column(key).combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
     """Rows sorted by ``keys`` in tables of at least ``least`` rows that hold whole groups; only a larger group makes a larger table."""
     held, n, bar = [], 0, least
@@ -112,7 +119,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int)
             table = pa.Table.from_batches(held)
             same = np.ones(n, bool)
             for k in keys:
-                col = table.column(k).to_numpy()
+                col = group_codes(table, k) if table.column(k).null_count else table.column(k).to_numpy()
                 same &= col == col[-1]
             other = np.flatnonzero(~same)
             if len(other):
@@ -223,6 +230,16 @@ def buckets_for(rows: int, per_bucket: int = 4096, least: int = 64) -> int:
     return n
 
 
+def dealt(df: DataFrame, keys: list[str], each: int = 250_000) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as keep each at about ``each`` rows, the session's number at least.
+
+    Rows that compress well look small to the session, which would put
+    millions of them into one task's sorts and hash tables.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, -(-df.count() // each)), *keys)
+
+
 def prefix_sums(df: DataFrame, groups: list[str], key: Column, order: list[Column], n_buckets: int, value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the group's rows before this one, in the order of (bucket of ``key``, ``order``).
 
