@@ -8,11 +8,11 @@ from html import escape
 from html.parser import HTMLParser
 from xml.sax.saxutils import escape as xml_escape
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.plans.shared import by_group
 
 # Block types that frame a page and aren't part of the text.
 FURNITURE = ("header", "footer", "page_number", "page_footnote", "aside_text", "index")
@@ -244,17 +244,15 @@ def to_package(blocks: DataFrame, key: str, kind: str) -> DataFrame:
     dtype = blocks.schema[key].dataType.simpleString()
     page = F.coalesce(F.col("page_idx") if "page_idx" in blocks.columns else F.lit(0), F.lit(0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_idx", "idx"], kind="stable")
-        rows = [(k, None if pd.isna(lv) else lv, t, x, h, bool(o)) for k, lv, t, x, h, o in zip(*[pdf[c] for c in ("type", "level", "text", "html", "href", "ordered")])]
-        name = pdf[key].iloc[0]
-        return pd.DataFrame({key: [name], "content": [docx_bytes(rows) if kind == "docx" else epub_bytes(rows, str(name))]})
+    def run(name, group: list[tuple]) -> list[tuple]:
+        rows = [r[3:] for r in group]
+        return [(name, docx_bytes(rows) if kind == "docx" else epub_bytes(rows, str(name)))]
 
     none = F.lit(None).cast("string")
     more = [(F.col(c) if c in blocks.columns else none).alias(c) for c in ("html", "href")]
     ordered = F.coalesce(F.col("ordered") if "ordered" in blocks.columns else F.lit(False), F.lit(False)).alias("ordered")
     d = planned(blocks).select(key, page.alias("page_idx"), "idx", "type", "level", "text", *more, ordered)
-    return d.groupBy(key).applyInPandas(run, f"{key} {dtype}, content binary")
+    return by_group(d, key, [F.asc_nulls_last("page_idx"), F.asc_nulls_last("idx")], run, f"{key} {dtype}, content binary")
 
 
 def write_bundle(artifacts: DataFrame, path: str, key: str, content: str, overwrite: bool = False) -> DataFrame:
