@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import bbox
+from foliant.plans.shared import dealt
 
 # Which block types may have captions and footnotes.
 MAIN = ("image", "table", "chart", "code")
 
 
-def caption_parents(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def caption_parents(blocks: DataFrame, keys: list[str], placed: bool = False) -> DataFrame:
     """(keys, child, parent): each caption's or footnote's block among the MAIN blocks, at any distance.
 
     Only captions may stand between a caption and its block, and captions or
     footnotes between a footnote and its; a footnote never comes first. Of
     the legal ones the nearest in order wins; on a tie the smaller gap, then,
-    for a table's caption the later block, for others the earlier.
+    for a table's caption the later block, for others the earlier. The rows
+    of a task are bounded (``dealt``); ``placed``: the blocks already lie so.
     """
     order = Window.partitionBy(*keys).orderBy("idx")
-    b = blocks.withColumn("pos", F.row_number().over(order))
+    b = blocks.select(*keys, "idx", "type", "b")
+    b = (b if placed else dealt(b, keys)).withColumn("pos", F.row_number().over(order))
     other = F.when(~F.col("type").isin("caption", "footnote"), 1).otherwise(0)
     b = b.withColumn("solid", F.sum(other).over(order)).withColumn("noncaption", F.sum(F.when(F.col("type") == "caption", 0).otherwise(1)).over(order))
     # no MAIN block may stand between, so only the last one before and the first one after can be legal

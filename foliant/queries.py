@@ -642,11 +642,12 @@ def number_formats(spark, d):
  AND c.type IN ('caption', 'footnote') AND (c.type = 'caption' OR t.pos < c.pos) WHERE NOT EXISTS (SELECT 1 FROM p u WHERE u.doc = c.doc AND u.pos > least(c.pos, t.pos) AND u.pos < greatest(c.pos, t.pos) AND NOT (u.type = 'caption' OR (c.type = 'footnote' AND u.type = 'footnote')))) WHERE rn = 1""")
 def caption_parents(spark, d):
     from foliant.operators.visual import caption_parents as parents
+    from foliant.plans.shared import dealt
 
-    one = boxes(spark, d).groupBy("doc", "idx").agg(F.struct(*[F.lit(v).cast("double").alias(s) for v, s in zip((0, 0, 1, 1), bbox.SIDES)]).alias("b"))
+    one = dealt(boxes(spark, d).select("doc", "idx"), ["doc"]).groupBy("doc", "idx").agg(F.struct(*[F.lit(v).cast("double").alias(s) for v, s in zip((0, 0, 1, 1), bbox.SIDES)]).alias("b"))
     i = F.col("idx") % 4
     kind = F.when(i == 1, "caption").when(i == 2, "table").when(i == 3, "footnote").otherwise("text")
-    return parents(one.withColumn("type", kind).withColumn("text", F.lit("")), ["doc"])
+    return parents(one.withColumn("type", kind), ["doc"], placed=True)
 
 
 @query("""WITH a AS (SELECT n_regionkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, n_name AS value FROM nation) SELECT k, CAST(0 AS INTEGER) AS row, 'Name' AS value FROM region, (SELECT r_regionkey AS k FROM region) z WHERE r_regionkey = 0
