@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from html import escape
 from html.parser import HTMLParser
@@ -130,8 +131,11 @@ def grid_of(html: str) -> list[list[list]]:
     return g.rows
 
 
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f]")
+
+
 def _run(text: str, style: str = "") -> str:
-    clean = "".join(c if c in "\t\n" or ord(c) >= 32 else "\ufffd" for c in text or "")
+    clean = _CONTROL.sub("\ufffd", text or "")
     parts = [f'<w:t xml:space="preserve">{xml_escape(x)}</w:t>' for x in clean.split("\n")]
     return f"<w:r>{style}{'<w:br/>'.join(parts)}</w:r>"
 
